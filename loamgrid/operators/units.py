@@ -1,9 +1,9 @@
 """Quantities recorded in different units: levels of known metrics as whole numbers of each metric's base unit.
 
-A grammar of numbers (groups of digits, Chinese numerals, compound amounts such as 3亿2,000万) and of unit expressions is
-compiled to regular expressions and runs in the JVM, over text in one form. A unit expression (千元, 元/股, MWh, per cent) is a
-product of atoms with exponents; each atom has a vector of dimensions, a scale and an offset. An amount is converted only if its
-vector is that of the metric. Arithmetic is on whole numbers, so that conversions are exact.
+The JVM brings text to one form, takes tables apart and cuts the statements of a level out of running text. The grammar of
+numbers (groups of digits, Chinese numerals, compound amounts such as 3亿2,000万) and of unit expressions (千元, 元/股, MWh,
+per cent) then reads these short pieces in Arrow batches. A unit is a product of atoms with exponents; each atom has a vector of
+dimensions, a scale and an offset. An amount is converted only if its vector is that of the metric, with exact fractions.
 
 Defined results: null and empty tables, rows, cells and texts give nothing; a cell without a number gives nothing; an amount
 without any unit in reach gives nothing; an amount that isn't a whole number of base units, or is beyond a bigint, gives
@@ -15,9 +15,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from fractions import Fraction
-from itertools import product
-from math import prod
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,199 +142,181 @@ def level_pattern(names: str) -> str:
     )
 
 
-def named(**fields: Column) -> Column:
-    """A struct whose names also hold inside a lambda."""
-    return F.named_struct(*[x for name, value in fields.items() for x in (F.lit(name), value)])
+@lru_cache(maxsize=1)
+def _expressions() -> tuple[re.Pattern, ...]:
+    """Amount, nothing but an amount, an unadorned unit, and a statement of the unit of a passage."""
+    alone = rf"(?i)^(?:.*?(?:[(/:]|单位|\s))??\s?({_MONEY})?\s?(?:({_SCALE}|'000)?\s?({_UNIT})|({_SCALE}|'000))\s?\)?\s*$"
+    return tuple(re.compile(x) for x in (rf"(?i){QUANTITY}", rf"(?i)^\s*{QUANTITY}\s*\)?\s*$", alone, rf"(?i){_STATED}"))
 
 
-def chinese_number(text: Column) -> Column:
-    """The whole number a Chinese numeral means."""
-    digits = F.create_map(*[F.lit(x) for k, c in enumerate("零一二三四五六七八九") for x in (c, k)], F.lit("〇"), F.lit(0), F.lit("两"), F.lit(2))
-    small_units = F.create_map(F.lit("十"), F.lit(10), F.lit("百"), F.lit(100), F.lit("千"), F.lit(1000))
-    zero = F.lit(0).cast("bigint")
-    start = named(total=zero, section=zero, digit=zero)
-
-    def step(s: Column, c: Column) -> Column:
-        total, section, digit = s["total"], s["section"], s["digit"]
-        unit = small_units[c].cast("bigint")
-        return (
-            F.when(c == "亿", named(total=((total + section + digit) * 100_000_000), section=zero, digit=zero))
-            .when(c == "万", named(total=(total + (section + digit) * 10_000), section=zero, digit=zero))
-            .when(unit.isNotNull(), named(total=total, section=(section + F.greatest(digit, F.lit(1).cast("bigint")) * unit), digit=zero))
-            .otherwise(named(total=total, section=section, digit=F.coalesce(digits[c].cast("bigint"), zero)))
-        )
-
-    # "亿" multiplies what stands before it, also an earlier "亿"; totals beyond a bigint don't occur in numerals.
-    return F.aggregate(F.split(text, ""), start, step, lambda s: s["total"] + s["section"] + s["digit"])
-
-
-def scale_table() -> dict[str, int]:
-    """Powers of ten by scale words; up to three Chinese ones are multiplied, as in 百万."""
-    chinese = [c for c in SCALES if len(c) == 1]
-    out = {"": 1, **{w: n for w, n in SCALES.items() if len(w) > 1}}
-    for size in (1, 2, 3):
-        for word in product(chinese, repeat=size):
-            if (n := prod(SCALES[c] for c in word)) <= 10**12:
-                out["".join(word)] = n
-    return out
-
-
-def _text(word: str) -> str:
-    """A string literal of SQL."""
-    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _scale_map() -> Column:
-    return F.expr("map(" + ",".join(f"{_text(w)},{n}L" for w, n in scale_table().items()) + ")")
-
-
-def _unit_sql(unit: Unit) -> str:
-    return f"named_struct('powers','{','.join(map(str, unit.powers))}','num',{unit.scale.numerator}L,'den',{unit.scale.denominator}L)"
-
-
-def _unit_map() -> Column:
-    return F.expr("map(" + ",".join(f"{_text(w)},{_unit_sql(u)}" for w, u in unit_table().items()) + ")")
-
+@lru_cache(maxsize=1)
+def _units() -> dict[str, Unit]:
+    return unit_table()
 
-_NO_UNIT = "struct<powers:string,num:bigint,den:bigint>"
-
-
-def unit_struct(scale: Column, unit: Column, money: Column) -> Column:
-    """struct<powers, num, den> of a scale and a unit; `money` says that a currency stands before. Null without a unit."""
-    word = F.regexp_replace(F.lower(unit), r"\s", " ")
-    word = F.when((word == "per share") & money, F.lit("rmb per share")).when((word == "") & money, F.lit("元")).otherwise(word)
-    pair = F.array(named(u=F.try_element_at(_unit_map(), word), s=F.try_element_at(_scale_map(), F.lower(scale))))
-    made = F.transform(pair, lambda x: F.when(x["u"].isNotNull(), named(powers=x["u"]["powers"], num=(x["u"]["num"] * x["s"]), den=x["u"]["den"])))
-    return F.when((word != ""), F.element_at(made, 1))
-
-
-_CUT = "\u0001"
-
-
-def _groups(text: Column, pattern: str, count: int) -> Column:
-    """All groups of the first match in one pass of the expression; null where it doesn't match."""
-    around = pattern if pattern.startswith("(?i)^") else "(?is)^.*?" + pattern.removeprefix("(?i)") + ".*$"
-    return F.when(text.rlike(around), F.split(F.regexp_replace(text, around, _CUT.join(f"${k}" for k in range(1, count + 1))), _CUT))
 
+def chinese_number(text: str) -> int:
+    """The whole number a Chinese numeral means."""
+    total = section = digit = 0
+    for char in text:
+        if char == "亿":
+            total, section, digit = (total + section + digit) * 10**8, 0, 0
+        elif char == "万":
+            total, section, digit = total + (section + digit) * 10**4, 0, 0
+        elif char in "十百千":
+            section, digit = section + max(digit, 1) * SCALES[char], 0
+        else:
+            digit = 2 if char == "两" else 0 if char == "〇" else "零一二三四五六七八九".index(char)
+    return total + section + digit
+
+
+def scale_of(word: str) -> int:
+    """The power of ten of scale words; 百万 is a product."""
+    word = word.lower()
+    if word in SCALES:
+        return SCALES[word]
+    out = 1
+    for char in word:
+        out *= SCALES[char]
+    return out
 
-def quantity(text: Column, whole: bool = False) -> Column:
-    """struct<digits, places, unit> of the first amount in a text, or of a text that is nothing else; null without a number.
 
-    The amount is digits / 10^places.
-    """
-    groups = _groups(text, rf"(?i)^\s*{QUANTITY}\s*\)?\s*$" if whole else rf"(?i){QUANTITY}", 9)
+@lru_cache(maxsize=100_000)
+def scaled_unit(scale: str, unit: str, money: bool) -> Unit | None:
+    """The unit that a scale and a unit expression mean; `money` says that a currency stands before. None without a unit."""
+    word = re.sub(r"\s", " ", unit.lower())
+    if word == "per share" and money:
+        word = "rmb per share"
+    elif not word and money:
+        word = "元"
+    found = _units().get(word)
+    return found and Unit(found.powers, found.scale * scale_of(scale), found.offset)
+
+
+def quantity(text: str, whole: bool = False) -> tuple[Fraction, Unit | None] | None:
+    """The first amount in a text, or a text that is nothing else, with its unit if it has one."""
+    match = _expressions()[1].match(text) if whole else _expressions()[0].search(text)
+    if not match:
+        return None
+    loss, sign, money, second_sign, number, more, scale, unit, scale_alone = (x or "" for x in match.groups())
+    value = Fraction(re.sub("[, ]", "", number)) if number[0].isdigit() and number[0].isascii() else Fraction(chinese_number(number))
+    if more:  # a compound is counted in 万: 795亿2,663万 is 7950000 + 2663
+        value = value * 10**4 + Fraction(re.sub("[, ]", "", more))
+    scale = scale or scale_alone
+    return -value if loss or sign or second_sign else value, scaled_unit(scale, unit, bool(money or (scale and not unit)))
+
+
+@lru_cache(maxsize=100_000)
+def stated_unit(text: str | None) -> Unit | None:
+    """The unit an unadorned expression names: `(RMB million)`, `单位:千元`, `(元)`, `/ 千人`."""
+    match = text and _expressions()[2].match(text)
+    if not match:
+        return None
+    money, scale, unit, alone = (x or "" for x in match.groups())
+    return scaled_unit(scale or alone, unit, bool(money or alone))
 
-    def parsed(g: Column) -> Column:
-        number, second = F.regexp_replace(g[4], "[, ]", ""), F.regexp_replace(g[5], "[, ]", "")
-        arabic = g[4].rlike(r"^\d")
-        plainly = F.when(arabic, F.replace(number, F.lit("."), F.lit("")).try_cast("decimal(18,0)")).otherwise(chinese_number(g[4]).cast("decimal(18,0)"))
-        # A compound is counted in 万: 795亿2,663万 is 7950000 + 2663.
-        compound = (second != "") & ~number.contains(".") & ~second.contains(".")
-        digits = F.when(compound, plainly * 10_000 + second.try_cast("decimal(18,0)")).otherwise(plainly).cast("decimal(18,0)")
-        scale = F.when(g[6] != "", g[6]).otherwise(g[8])
-        money = (g[2] != "") | ((scale != "") & (g[7] == ""))
-        places = F.when(arabic & ~compound & number.contains("."), F.length(F.substring_index(number, ".", -1))).otherwise(0)
-        negative = (g[0] != "") | (g[1] != "") | (g[3] != "")
-        return named(digits=F.when(negative, -digits).otherwise(digits), places=places, unit=unit_struct(scale, g[7], money))
 
-    # The lambda keeps the groups one value, so that the expression runs once.
-    return F.when(groups.isNotNull(), F.element_at(F.transform(F.array(groups), parsed), 1))
+@lru_cache(maxsize=100_000)
+def passage_unit(text: str | None) -> Unit | None:
+    """The unit of money that a sentence states for its surroundings."""
+    match = text and _expressions()[3].search(text)
+    return scaled_unit(match.group(1).removesuffix("元"), "元", True) if match else None
 
 
-def stated_unit(text: Column) -> Column:
-    """The unit an unadorned expression names: `(RMB million)`, `单位:千元`, `(元)`, `/ 千人`."""
-    pattern = rf"(?i)^(?:.*?(?:[(/:]|单位|\s))??\s?({_MONEY})?\s?(?:({_SCALE}|'000)?\s?({_UNIT})|({_SCALE}|'000))\s?\)?\s*$"
-    groups = _groups(text, pattern, 4)
-    made = F.transform(F.array(groups), lambda g: unit_struct(F.when(g[1] != "", g[1]).otherwise(g[3]), g[2], (g[0] != "") | (g[3] != "")))
-    return F.when(groups.isNotNull(), F.element_at(made, 1))
+@dataclass(frozen=True)
+class Metric:
+    metric_id: int
+    base: Unit
+    water: bool
 
+    def fits(self, unit: Unit | None) -> bool:
+        return unit is not None and (unit.powers == self.base.powers or (self.water and unit.powers == _KG))
 
-def passage_unit(text: Column) -> Column:
-    """The unit of money that a sentence states for its surroundings."""
-    groups = _groups(text, rf"(?i){_STATED}", 1)
-    made = F.transform(F.array(groups), lambda g: unit_struct(F.regexp_replace(g[0], "元$", ""), F.lit("元"), F.lit(True)))
-    return F.when(groups.isNotNull(), F.element_at(made, 1))
+    def in_base(self, value: Fraction, unit: Unit | None) -> int | None:
+        """The amount as a whole number of base units within a bigint, else nothing."""
+        if not self.fits(unit):
+            return None
+        out = value * unit.scale + unit.offset
+        if unit.powers != self.base.powers:
+            out /= 1000  # a kilogram of water is a litre, a thousandth of a cubic metre
+        out = (out - self.base.offset) / self.base.scale
+        return out.numerator if out.denominator == 1 and abs(out.numerator) < 2**63 else None
 
 
 @dataclass(frozen=True)
 class Metrics:
-    """The known metrics as expressions: names in one pattern, and a map from a name to its metric."""
+    """The known metrics: their names as one pattern, and each by its names."""
 
     names: str
-    by_name: Column
+    by_name: dict[str, Metric]
+
+    def named(self, name: str) -> Metric | None:
+        return self.by_name.get(re.sub(r"\s", " ", name.lower()))
 
 
 def metrics(table: DataFrame) -> Metrics:
-    """Reads the table of metrics: a dictionary, bounded by its meaning, that is made part of the plan."""
-    rows = small(table.select("metric_id", "name_zh", "name_en", "dimension", "base_unit", "aliases"), 10_000, "metrics")
-    entries, words = [], []
-    for row in rows:
-        base = parse_unit(row.base_unit)
+    """Reads the table of metrics: a dictionary, bounded by its meaning."""
+    by_name = {}
+    for row in small(table.select("metric_id", "name_zh", "name_en", "dimension", "base_unit", "aliases"), 10_000, "metrics"):
         for name in (row.name_zh, row.name_en, *(row.aliases or [])):
-            if not name:
-                continue
-            words.append(name.lower())
-            made = _unit_sql(base)[:-1] + f",'metric_id',{row.metric_id},'water',{str(row.dimension == 'volume').lower()})"
-            entries.append(f"{_text(name.lower())},{made}")
-    return Metrics("|".join(re.escape(w).replace(r"\ ", r"\s") for w in sorted(set(words), key=len, reverse=True)), F.expr("map(" + ",".join(entries) + ")"))
-
+            if name:
+                by_name[name.lower()] = Metric(row.metric_id, parse_unit(row.base_unit), row.dimension == "volume")
+    return Metrics("|".join(re.escape(w).replace(r"\ ", r"\s") for w in sorted(by_name, key=len, reverse=True)), by_name)
 
-#: A kilogram of water is a litre, a thousandth of a cubic metre.
-_WATER = ",".join(map(str, _KG)), ",".join(map(str, _powers(length=3)))
 
+_CHANGE = "增|减|变动|同比|环比|幅|change|growth|yoy"
+_LEVEL = "struct<metric_id: int, value_base: bigint>"
 
-def in_base(amount: Column, unit: Column, metric: Column) -> Column:
-    """The amount as a bigint of the metric's base unit; null where dimensions differ or it isn't whole."""
-    water = metric["water"] & (unit["powers"] == _WATER[0])
-    fits = (unit["powers"] == metric["powers"]) | water
-    top = amount["digits"].cast("decimal(18,0)") * (unit["num"] * metric["den"]).cast("decimal(19,0)")
-    bottom = F.pow(F.lit(10.0), amount["places"]).cast("bigint") * unit["den"] * metric["num"] * F.when(water, 1000).otherwise(1)
-    bottom = bottom.cast("decimal(19,0)")
-    whole = (top / bottom).cast("decimal(38,0)")
-    return F.when(fits & (top % bottom == 0) & (F.abs(whole) < F.lit(2**63 - 1).cast("decimal(38,0)")), whole.cast("bigint"))
 
+def _cell_reader(known: Metrics):
+    """A column function from label, cell, head, title and what is said around to a level."""
+    label_pattern = rf"(?i)^\s*({known.names})\s*(?:[(/]\s*(.*?)\s*\)?)?\s*$"
 
-def _fits(unit: Column, metric: Column) -> Column:
-    return F.when((unit["powers"] == metric["powers"]) | (metric["water"] & (unit["powers"] == _WATER[0])), unit)
+    def labelled(label: str) -> tuple[Metric | None, Unit | None]:
+        match = re.match(label_pattern, label)
+        return (known.named(match.group(1)), stated_unit(match.group(2))) if match else (None, None)
 
+    @F.arrow_udf(_LEVEL)
+    def read(label: pa.Array, cell: pa.Array, head: pa.Array, title: pa.Array, around: pa.Array) -> pa.Array:
+        ids, values = [], []
+        for a, c, h, t, s in zip(*(x.to_pylist() for x in (label, cell, head, title, around)), strict=True):
+            metric, unit_of_label = labelled(a) if a else (None, None)
+            amount = quantity(c, whole=True) if metric and c else None
+            value = None
+            if amount:
+                number, unit = amount
+                if unit is None:
+                    near = (unit_of_label, stated_unit(h), stated_unit(t), passage_unit(s))
+                    unit = next((u for u in near if metric.fits(u)), None)
+                value = metric.in_base(number, unit)
+            ids.append(None if value is None else metric.metric_id)
+            values.append(value)
+        return pa.StructArray.from_arrays([pa.array(ids, pa.int32()), pa.array(values, pa.int64())], names=["metric_id", "value_base"])
 
-_CHANGE = r"(?i)增|减|变动|同比|环比|幅|change|growth|yoy"
+    return read
 
 
-def _labelled(rows: DataFrame, known: Metrics) -> DataFrame:
-    """Rows whose first cell is a metric, with metric and of_label."""
-    pattern = rf"(?i)^\s*({known.names})\s*(?:[(/]\s*(.*?)\s*\)?)?\s*$"
-    rows = rows.withColumn("label", _groups(F.col("label"), pattern, 2)).where("label is not null")
-    metric = F.try_element_at(known.by_name, F.lower(F.regexp_replace(F.col("label")[0], r"\s", " ")))
-    return rows.withColumn("metric", metric).withColumn("of_label", stated_unit(F.col("label")[1])).where("metric is not null")
-
-
-def _heads(heads: Column) -> Column:
-    """array<struct<change, unit>> of the head row."""
-    return F.transform(heads, lambda h: named(change=F.coalesce(h.rlike(_CHANGE), F.lit(False)), unit=stated_unit(h)))
-
-
-def cell_levels(cells: DataFrame) -> DataFrame:
-    """Levels in cells. Columns rec_key, metric, of_label, head, of_title, around, cell give rec_key, metric_id, value_base."""
-    cells = cells.where(~F.coalesce(F.col("head.change"), F.lit(False)) & F.col("cell").rlike(r"[0-9零〇一二两三四五六七八九十]"))
-    cells = cells.withColumn("q", quantity(F.col("cell"), whole=True)).where("q is not null")
-    m = F.col("metric")
-    near = F.coalesce(_fits(F.col("of_label"), m), _fits(F.col("head.unit"), m), _fits(F.col("of_title"), m), _fits(F.col("around"), m))
-    cells = cells.withColumn("unit", F.coalesce(F.col("q.unit"), near))
-    return cells.select("rec_key", m["metric_id"].alias("metric_id"), in_base(F.col("q"), F.col("unit"), m).alias("value_base"))
+def _levels(rows: DataFrame, level: Column) -> DataFrame:
+    return rows.select("rec_key", level.alias("x")).select("rec_key", "x.metric_id", "x.value_base").where("value_base is not null")
 
 
 def table_levels(pages: DataFrame, known: Metrics, key: str = "page_id", tables: str = "tables", text: str = "text") -> DataFrame:
     """Levels in nested tables of pages: rec_key, metric_id, value_base."""
     # Only what is said of tables counts; what is said of a paragraph doesn't.
     said = F.regexp_extract(plain(F.col(text)), rf"(?i)(?:表|tables?)[^。\n]{{0,20}}?{_plain_stated()}", 0)
-    needed = pages.where(F.size(tables) > 0).select(F.col(key).cast("string").alias("rec_key"), passage_unit(said).alias("around"), F.explode(tables).alias("t")).where("size(t.rows) > 0")
+    one = pages.where(F.size(tables) > 0).select(F.col(key).cast("string").alias("rec_key"), said.alias("around"), F.explode(tables).alias("t")).where("size(t.rows) > 0")
     heads = F.transform(F.get("t.rows", F.lit(0)), plain)
-    one = needed.select("rec_key", "around", stated_unit(plain(F.col("t.title"))).alias("of_title"), _heads(heads).alias("heads"), F.posexplode("t.rows").alias("row_no", "r")).where("size(r) > 1")
-    rows = _labelled(one.withColumn("label", plain(F.col("r")[0])), known)
-    body = rows.select("rec_key", "around", "of_title", "heads", "row_no", "of_label", "metric", F.posexplode("r").alias("cell_no", "cell")).where("cell_no > 0 and cell is not null")
+    rows = one.select("rec_key", "around", plain(F.col("t.title")).alias("title"), heads.alias("heads"), F.posexplode("t.rows").alias("row_no", "r")).where("size(r) > 1")
+    rows = rows.withColumn("label", plain(F.col("r")[0])).where(F.col("label").rlike(rf"(?i)^\s*(?:{known.names})"))
+    body = rows.select("rec_key", "around", "title", "heads", "row_no", "label", F.posexplode("r").alias("cell_no", "cell")).where("cell_no > 0")
+    return _read_cells(body.withColumn("cell", plain(F.col("cell"))), known)
+
+
+def _read_cells(body: DataFrame, known: Metrics) -> DataFrame:
+    """Cells with a number, unless their column is one of changes."""
     head = F.when(F.col("row_no") > 0, F.get("heads", F.col("cell_no")))
-    return cell_levels(body.withColumn("head", head).withColumn("cell", plain(F.col("cell"))))
+    body = body.where(F.col("cell").rlike(r"[0-9零〇一二两三四五六七八九十]")).withColumn("head", head)
+    body = body.where(~F.coalesce(F.col("head").rlike(f"(?i){_CHANGE}"), F.lit(False)))
+    return _levels(body, _cell_reader(known)("label", "cell", "head", "title", "around"))
 
 
 def table_text_levels(chunks: DataFrame, known: Metrics, key: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -343,41 +325,55 @@ def table_text_levels(chunks: DataFrame, known: Metrics, key: str = "chunk_id",
     titled = F.get("lines", F.lit(0)).startswith("【表】")
     lines = lines.select(
         "rec_key",
-        stated_unit(F.when(titled, F.regexp_replace(F.get("lines", F.lit(0)), "^【表】", ""))).alias("of_title"),
+        F.when(titled, F.regexp_replace(F.get("lines", F.lit(0)), "^【表】", "")).alias("title"),
         F.when(titled, F.slice("lines", 2, F.size("lines"))).otherwise(F.col("lines")).alias("body"),
     )
-    lines = lines.withColumn("heads", _heads(F.split(F.get("body", F.lit(0)), r" \| ")))
-    rows = lines.select("rec_key", "of_title", "heads", F.posexplode("body").alias("row_no", "line")).where(r"line like '% | %'")
-    rows = _labelled(rows.withColumn("label", F.substring_index("line", " | ", 1)), known)
-    body = rows.select("rec_key", "of_title", "heads", "row_no", "of_label", "metric", F.posexplode(F.split("line", r" \| ")).alias("cell_no", "cell")).where("cell_no > 0")
-    head = F.when(F.col("row_no") > 0, F.get("heads", F.col("cell_no")))
-    return cell_levels(body.withColumn("head", head).withColumn("around", F.lit(None).cast(_NO_UNIT)))
+    rows = lines.select("rec_key", "title", F.split(F.get("body", F.lit(0)), r" \| ").alias("heads"), F.posexplode("body").alias("row_no", "line"))
+    rows = rows.where(F.col("line").contains(" | ") & F.col("line").rlike(rf"(?i)^\s*(?:{known.names})"))
+    body = rows.select("rec_key", "title", "heads", "row_no", F.substring_index("line", " | ", 1).alias("label"), F.posexplode(F.split("line", r" \| ")).alias("cell_no", "cell"))
+    return _read_cells(body.where("cell_no > 0").withColumn("around", F.lit(None).cast("string")), known)
+
+
+#: Between the two amounts of "from A to B", "由上年的A变为B", "A;上年同期为B" and "A, compared with B".
+_BETWEEN = re.compile(r"(?i)变为|;\s?上年同期(?:为|:)?|(?:\sin\s\d{4})?,?\scompared\swith\s|(?<=[\da-z%])\sto\s(?=[\d¥￥(-]|rmb|cny)")
+_STATEMENT = re.compile("(?i)^(?:单位|数字|金额|amounts?|figures?)")
+
+
+def _part_reader(known: Metrics):
+    """A column function from the parts cut out of a text, in their order, to its levels."""
+    begins = re.compile(f"(?i)^({known.names})")
+
+    def levels(parts: list[str]) -> list[tuple[int, int]]:
+        # The unit stated last holds; before the first statement, the first one holds.
+        around = next((x for x in parts if _STATEMENT.match(x)), None)
+        out = []
+        for part in parts:
+            if _STATEMENT.match(part):
+                around = part
+                continue
+            name = begins.match(part)
+            metric = known.named(name.group(1)) if name else None
+            for piece in _BETWEEN.split(part[name.end() :]) if metric else ():
+                if amount := quantity(piece):
+                    number, unit = amount
+                    value = metric.in_base(number, passage_unit(around) if unit is None else unit)
+                    if value is not None:
+                        out.append((metric.metric_id, value))
+        return out
+
+    @F.arrow_udf(f"array<{_LEVEL}>")
+    def read(parts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("metric_id", pa.int32()), ("value_base", pa.int64())]))
+        return pa.array([[{"metric_id": m, "value_base": v} for m, v in levels(x)] for x in parts.to_pylist()], kind)
+
+    return read
 
 
 def text_levels(chunks: DataFrame, known: Metrics, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """Levels in running text. An amount without a unit takes the one stated last before it, else first after it."""
-    found = chunks.select(F.col(key).cast("string").alias("rec_key"), plain(F.col(text)).alias("t"))
-    found = found.select("rec_key", F.regexp_extract_all("t", F.lit(level_pattern(known.names)), F.lit(0)).alias("parts")).where("size(parts) > 0")
-    stated = r"(?i)^(?:单位|数字|金额|amounts?|figures?)"
-    # One walk over the parts: the unit stated last is carried along; before the first one, the first one holds.
-    kept = "array<struct<part:string,stated:string>>"
-    start = named(unit=F.get(F.filter("parts", lambda x: x.rlike(stated)), F.lit(0)), out=F.array().cast(kept))
-
-    def step(s: Column, part: Column) -> Column:
-        is_unit = part.rlike(stated)
-        out = F.when(is_unit, s["out"]).otherwise(F.concat(s["out"], F.array(named(part=part, stated=s["unit"]))))
-        return named(unit=F.when(is_unit, part).otherwise(s["unit"]), out=out)
-
-    found = found.select("rec_key", F.explode(F.aggregate("parts", start, step, lambda s: s["out"])).alias("x"))
-    found = found.select("rec_key", _groups(F.col("x.part"), rf"(?i)^({known.names})(.*)$", 2).alias("g"), passage_unit(F.col("x.stated")).alias("around")).where("g is not null")
-    found = found.select("rec_key", "around", F.try_element_at(known.by_name, F.lower(F.regexp_replace(F.col("g")[0], r"\s", " "))).alias("metric"), F.col("g")[1].alias("rest"))
-    # "from A to B", "由上年的A变为B", "A;上年同期为B" and "A, compared with B" hold two amounts.
-    two = r"(?i)变为|;\s?上年同期(?:为|:)?|(?:\sin\s\d{4})?,?\scompared\swith\s|(?<=\d|[a-z%])\sto\s(?=[^a-z]|rmb|cny)"
-    each = found.where("metric is not null").select("rec_key", "metric", "around", F.explode(F.split("rest", two)).alias("piece"))
-    each = each.withColumn("q", quantity(F.col("piece"))).where("q is not null")
-    m = F.col("metric")
-    unit = F.coalesce(F.col("q.unit"), _fits(F.col("around"), m))
-    return each.withColumn("unit", unit).select("rec_key", m["metric_id"].alias("metric_id"), in_base(F.col("q"), F.col("unit"), m).alias("value_base"))
+    parts = F.regexp_extract_all(plain(F.col(text)), F.lit(level_pattern(known.names)), F.lit(0))
+    found = chunks.select(F.col(key).cast("string").alias("rec_key"), _part_reader(known)(F.coalesce(parts, F.array().cast("array<string>"))).alias("levels"))
+    return found.select("rec_key", F.explode("levels").alias("x")).select("rec_key", "x.metric_id", "x.value_base")
 
 
 def found_levels(pages: DataFrame, chunks: DataFrame, metric_table: DataFrame) -> DataFrame:
@@ -388,5 +384,5 @@ def found_levels(pages: DataFrame, chunks: DataFrame, metric_table: DataFrame) -
         table_text_levels(chunks.where("kind = 'table'").select("chunk_id", "text"), known).withColumn("src", F.lit("chunks")),
         text_levels(chunks.where("kind <> 'table' or kind is null").select("chunk_id", "text"), known).withColumn("src", F.lit("chunks")),
     ]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("value_base is not null")
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return out.select("src", "rec_key", "metric_id", "value_base").distinct()
