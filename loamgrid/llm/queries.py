@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm import canon, leakage, repeated_lines
+from loamgrid.llm import canon, leakage, pairs, repeated_lines
 from loamgrid.session import table
 
 
@@ -32,6 +32,11 @@ def p3_cleaned(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_lines.without_running_lines(table(spark, folder, "documents"), "doc_id", "source", "text")
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Defective pairs of question and answer."""
+    return pairs.defects(table(spark, folder, "eval_results"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with passages of held-out items."""
     return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
@@ -42,5 +47,5 @@ def p6_proximity(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.proximity(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_cleaned": p3_cleaned, "p6_found": p6_found, "p6_proximity": p6_proximity}
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_cleaned": p3_cleaned, "p5_found": p5_found, "p6_found": p6_found, "p6_proximity": p6_proximity}
 SQL: dict[str, str] = {}
