@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm import canon, leakage, pairs, repeated_lines
+from loamgrid.llm import canon, leakage, mixing, pairs, repeated_lines, splitting
 from loamgrid.session import table
 
 
@@ -47,5 +47,20 @@ def p6_proximity(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.proximity(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_cleaned": p3_cleaned, "p5_found": p5_found, "p6_found": p6_found, "p6_proximity": p6_proximity}
+def p7_selection(spark: SparkSession, folder: str) -> DataFrame:
+    """Records chosen for the mix with their repeats."""
+    return mixing.mix(spark, table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of the mix that each source reaches."""
+    return mixing.shares(p7_selection(spark, folder), table(spark, folder, "mix_targets"))
+
+
+def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents under each profile of limits."""
+    return splitting.split_texts(table(spark, folder, "documents"), table(spark, folder, "size_limits"))
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_cleaned": p3_cleaned, "p5_found": p5_found, "p6_found": p6_found, "p6_proximity": p6_proximity, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_pieces": p8_pieces}
 SQL: dict[str, str] = {}
