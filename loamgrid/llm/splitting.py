@@ -3,18 +3,23 @@
 A text is tokenized once; every span is then sized by its tokens. Atoms are sentences; one that is too large is cut at clauses, then
 at blanks, and only then between two characters. Adjacent atoms are held in a heap and the weakest boundary is merged first (a
 clause before a sentence before a line before a paragraph, smaller results first) while the merged size plus the overlap fits. Each piece
-but the first begins with the last tokens of the text before it. Pieces are tokenized again by themselves; a text with a
-piece over the limit is cut once more with a larger reserve.
+but the first begins with the last tokens of the text before it.
+
+Pieces begin and end between tokens of the whole text, so by themselves they have those very tokens: pairs that were merged inside a
+piece don't depend on what stands outside, and the tokenizer cuts a text without looking back. Only white space at
+the end of a piece, which the tokenizer parts by what follows, is tokenized again to count exactly.
 
 Defined results: null and empty texts give no piece; a text within the limit is one piece; pieces without their overlaps make the
 text again; an overlap is never larger than the piece before and begins between two characters, so it may have up to three
-tokens more; an overlap that leaves no room is cut down to half of the limit.
+tokens more; an overlap that leaves no room is cut down to half of the limit; a single character of more tokens than the limit
+stays whole.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,74 +30,129 @@ from pyspark.sql import functions as F
 from loamgrid.llm.tokens import TOKENIZER, token_ends, tokenizer
 from loamgrid.session import small
 
-#: Tokens kept free, as a piece by itself may have a token more at its start.
-RESERVE = 2
 #: Strength of boundaries.
 HARD, BLANK, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
-_SENTENCES = re.compile(rb"(?:\n[ \t\xe3\x80\x80]*)+|(?:\xe3\x80\x82|\xef\xbc\x81|\xef\xbc\x9f|[!?])+(?:\xe2\x80\x9d|\"|\xef\xbc\x89|\))*|\.(?=[ \n])(?:\")?")
 _CLAUSES = re.compile(rb"\xef\xbc\x8c|\xef\xbc\x9b|\xe3\x80\x81|\xef\xbc\x9a|[,;:|]")
-_BLANKS = re.compile(rb"[ \t]+|\xe3\x80\x80+")
+_BLANKS = re.compile(rb"[ \t]+|(?:\xe3\x80\x80)+")
+_NEWLINE, _FULL = ord("\n"), np.frombuffer("。！？".encode(), np.uint8).reshape(3, 3)
 
 
 def _cuts(data: bytes, a: int, b: int, pattern: re.Pattern, strength: int) -> list[tuple[int, int]]:
     return [(m.end(), strength) for m in pattern.finditer(data, a, b) if a < m.end() < b]
 
 
+def sentence_ends(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of sentences and the strength of the boundary behind each, by whole arrays of bytes.
+
+    A run of line ends is one boundary: a line, or a paragraph if there are several. A run of sentence signs is one, too, with the
+    closing quotes and brackets behind it. An English full stop counts before a blank.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    n = len(raw)
+    line = raw == _NEWLINE
+    kind = np.zeros(n + 4, np.uint8)  # by the byte behind a sign: 1 a sentence, 2 a line
+    kind[1 : n + 1] = np.where(line, 2, (raw == 33) | (raw == 63))
+    if n >= 3:
+        lead = np.flatnonzero((raw[:-2] == 0xE3) | (raw[:-2] == 0xEF))
+        second, third = raw[lead + 1], raw[lead + 2]
+        first = raw[lead]
+        for a, b, c in _FULL:
+            kind[lead[(first == a) & (second == b) & (third == c)] + 3] = 1
+    stop = np.flatnonzero(raw[:-1] == 46) if n > 1 else np.zeros(0, int)
+    kind[stop[(raw[stop + 1] == 32) | (raw[stop + 1] == _NEWLINE)] + 1] = 1
+    at = np.flatnonzero(kind[: n + 1])
+    what = kind[at]
+    out, strength = [], []
+    # Signs that follow each other at once are one boundary, behind the last; closing signs go with it.
+    ends, kinds = at.tolist(), what.tolist()
+    i, m = 0, len(ends)
+    while i < m:
+        end, lines = ends[i], kinds[i] == 2
+        while True:
+            while data[end : end + 3] in (b"\xe2\x80\x9d", b"\xef\xbc\x89") and not lines:
+                end += 3
+            if not lines and data[end : end + 1] in (b'"', b")"):
+                end += 1
+            if i + 1 < m and ends[i + 1] - end in (1, 3) and ends[i + 1] > end and (data[end:ends[i + 1]] in _SIGNS):
+                i += 1
+                end = ends[i]
+                lines += kinds[i] == 2
+                continue
+            break
+        out.append(end)
+        strength.append(SENTENCE if not lines else LINE if lines == 1 else PARAGRAPH)
+        i += 1
+        while i < m and ends[i] <= end:
+            i += 1
+    if not out or out[-1] < n:
+        out.append(n)
+        strength.append(PARAGRAPH)
+    return np.array(out), np.array(strength)
+
+
+_SIGNS = {b"\n", b"!", b"?", *(bytes(x) for x in _FULL)}
+
+
 class Sized:
-    """A tokenized text."""
+    """A tokenized text. Its places are the ends of tokens that are ends of characters, too; pieces begin and end there."""
 
-    def __init__(self, data: bytes, ids: list[int], path: str):
-        self.data, self.ends = data, token_ends(data, ids, path)
-        self.starts = np.r_[0, self.ends[:-1]]
+    def __init__(self, data: bytes, ends: np.ndarray):
+        self.data, self.ends, self.starts, self._lists = data, ends, np.concatenate(([0], ends[:-1])), None
+        inner = np.frombuffer(data, np.uint8)[ends[:-1]] & 0xC0 == 0x80
+        self.places = np.concatenate(([0], ends[:-1][~inner], [len(data)]))
 
-    def first(self, places) -> np.ndarray:
+    def first(self, at) -> np.ndarray:
         """The first token with a byte at or behind each place."""
-        return np.searchsorted(self.ends, places, "right")
+        return np.searchsorted(self.ends, at, "right")
 
-    def last(self, places) -> np.ndarray:
+    def last(self, at) -> np.ndarray:
         """The first token with no byte before each place."""
-        return np.searchsorted(self.starts, places)
+        return np.searchsorted(self.starts, at)
 
+    def snapped(self, ends: np.ndarray, strengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Boundaries moved behind the token they lie in; of those that fall together the last counts."""
+        ends = self.places[np.searchsorted(self.places, ends)]
+        keep = np.ones(len(ends), bool)
+        keep[:-1] = ends[1:] > ends[:-1]
+        return ends[keep], strengths[keep]
 
-def _sentences(data: bytes) -> list[tuple[int, int]]:
-    """Ends of sentences with the strength of the boundary behind each."""
-    out = []
-    for m in _SENTENCES.finditer(data):
-        lines = m.group().count(b"\n")
-        out.append((m.end(), SENTENCE if not lines else LINE if lines == 1 else PARAGRAPH))
-    if not out or out[-1][0] < len(data):
-        out.append((len(data), PARAGRAPH))
-    return [x for x in out if x[0] > 0]
+    def listed(self) -> tuple[list[int], list[int], list[int]]:
+        """places, ends and starts as lists, which are faster to search for single values."""
+        if self._lists is None:
+            self._lists = self.places.tolist(), self.ends.tolist(), self.starts.tolist()
+        return self._lists
 
 
 def _small_enough(text: Sized, a: int, b: int, strength: int, most: int, level: int = 0) -> list[tuple[int, int]]:
     """A segment of too many tokens as atoms of at most so many: at clauses, then blanks, then between characters."""
+    places, token_end, token_start = text.listed()
+    out, at = [], a
     if level < 2:
         pattern, kind = ((_CLAUSES, CLAUSE), (_BLANKS, BLANK))[level]
         cuts = [*_cuts(text.data, a, b, pattern, kind), (b, strength)]
-        if len(cuts) == 1:
-            return _small_enough(text, a, b, strength, most, level + 1)
-        ends = [e for e, _ in cuts]
-        sizes = text.last(ends) - text.first([a, *ends[:-1]])
-        if (sizes <= most).all():
-            return cuts
-        out, at = [], a
-        for (end, s), size in zip(cuts, sizes.tolist(), strict=True):
-            out += [(end, s)] if size <= most else _small_enough(text, at, end, s, most, level + 1)
-            at = end
+        token = bisect_right(token_end, a)
+        for end, k in cuts:
+            end = places[bisect_left(places, end)]
+            if end <= at:
+                continue
+            if end == b:
+                k = strength
+            behind = bisect_left(token_start, end)
+            if behind - token <= most:
+                out.append((end, k))
+            else:
+                out += _small_enough(text, at, end, k, most, level + 1)
+            at, token = end, behind
         return out
-    out, at = [], a
-    while int(text.last(b) - text.first(at)) > most:
-        end = int(text.ends[int(text.first(at)) + most - 1])
-        while end > at + 1 and text.data[end] & 0xC0 == 0x80:
-            end -= 1
-        if end <= at + 1 and text.data[at] >= 0xC0:  # a single character larger than the limit stays whole
-            end = at + 1
-            while end < b and text.data[end] & 0xC0 == 0x80:
-                end += 1
-        out.append((end, HARD))
-        at = end
-    return [*out, (b, strength)] if at < b else out
+    while bisect_left(token_start, b) - (token := bisect_right(token_end, at)) > most:
+        k = bisect_right(places, token_end[token + most - 1]) - 1
+        if places[k] <= at:
+            k += 1  # a single character of more tokens than the limit stays whole
+        at = places[k]
+        if at >= b:
+            break
+        out.append((at, HARD))
+    return [*out, (b, strength)]
 
 
 def merged(ends: list[int], strengths: list[int], low: list[int], high: list[int], first: int, rest: int) -> list[int]:
@@ -134,62 +194,71 @@ def merged(ends: list[int], strengths: list[int], low: list[int], high: list[int
     return [x for x in last if x >= 0]
 
 
-def cut(text: Sized, sentences: list[tuple[int, int]], limit: int, overlap: int, reserve: int) -> list[tuple[int, int, int]]:
-    """Begin, end and begin without the overlap of each piece, in bytes."""
+def cut(text: Sized, ends: np.ndarray, strengths: np.ndarray, limit: int, overlap: int) -> tuple[list[int], list[int], list[int]]:
+    """Begins with the overlap, begins without it, and ends of the pieces, in bytes."""
     overlap = min(overlap, limit // 2)
-    rest = max(limit - overlap - reserve - (3 if overlap else 0), 1)
-    first = max(limit - reserve, 1)
-    ends = [e for e, _ in sentences]
-    sizes = (text.last(ends) - text.first([0, *ends[:-1]])).tolist()
-    atoms, at = [], 0
-    for (end, strength), size in zip(sentences, sizes, strict=True):
-        if size <= rest:
-            atoms.append((end, strength))
-        else:
-            atoms += _small_enough(text, at, end, strength, rest)
-        at = end
-    ends = [e for e, _ in atoms]
-    low, high = text.first([0, *ends[:-1]]), text.last(ends)
-    stops = [ends[k] for k in merged(ends, [s for _, s in atoms], low.tolist(), high.tolist(), first, rest)]
+    rest, first = max(limit - overlap - (3 if overlap else 0), 1), max(limit, 1)
+    ends, strengths = text.snapped(ends, strengths)
+    last = text.last(ends)
+    large = np.flatnonzero(np.diff(last, prepend=0) > rest)
+    if len(large):
+        atoms, kinds, before = [], [], 0
+        for k in large.tolist():
+            atoms += ends[before:k].tolist()
+            kinds += strengths[before:k].tolist()
+            for end, kind in _small_enough(text, int(ends[k - 1]) if k else 0, int(ends[k]), int(strengths[k]), rest):
+                atoms.append(end)
+                kinds.append(kind)
+            before = k + 1
+        atoms += ends[before:].tolist()
+        kinds += strengths[before:].tolist()
+        high = text.last(atoms).tolist()
+    else:
+        atoms, kinds, high = ends.tolist(), strengths.tolist(), last.tolist()
+    stops = merged(atoms, kinds, [0, *high[:-1]], high, first, rest)
+    behind = [high[k] for k in stops]
+    stops = [atoms[k] for k in stops]
     starts = [0, *stops[:-1]]
     if not overlap:
-        return list(zip(starts, stops, starts, strict=True))
-    # The overlap begins so many tokens before, between two characters and not before the piece before it.
-    backs = text.starts[np.maximum(text.first(starts) - overlap, 0)].tolist()
+        return starts, starts, stops
+    # The overlap begins so many tokens before, at a place, and not before the piece before it.
+    backs = text.starts[np.maximum(np.array([0, *behind[:-1]]) - overlap, 0)]
+    backs = text.places[np.searchsorted(text.places, backs, "right") - 1].tolist()
     out, before = [], 0
-    for k, (at, end, begin) in enumerate(zip(starts, stops, backs, strict=True)):
-        begin = max(begin, before) if k else 0
-        while begin > before and text.data[begin] & 0xC0 == 0x80:
-            begin -= 1
-        out.append((begin, end, at))
-        before = begin
-    return out
+    for begin in backs:
+        before = max(begin, before)
+        out.append(before)
+    return out, starts, stops
+
+
+_TRAILING = re.compile(r"\s+$")
 
 
 def pieces_of(texts: list[str], profiles: list[tuple[str, int, int]], path: str = TOKENIZER) -> Iterator[tuple[int, str, int, int, int, str]]:
     """Row, profile, number, bytes of overlap, tokens and text of each piece."""
     model = tokenizer(path)
-    for row, (value, ids) in enumerate(zip(texts, model.encode(texts, num_threads=1), strict=True)):
+    for row, value in enumerate(texts):
         if not value:
             continue
-        text = sentences = None
+        token = token_ends(value, path)
+        text = None
         for name, limit, overlap in profiles:
-            if len(ids) <= limit:
-                yield row, name, 0, 0, len(ids), value
+            if len(token) <= limit:
+                yield row, name, 0, 0, len(token), value
                 continue
             if text is None:
                 data = value.encode()
-                text, sentences = Sized(data, ids, path), _sentences(data)
-            reserve = RESERVE
-            while True:
-                spans = cut(text, sentences, limit, overlap, reserve)
-                parts = [text.data[a:b].decode() for a, b, _ in spans]
-                sizes = list(map(len, model.encode(parts, num_threads=1)))
-                if max(sizes) <= limit or reserve >= limit:
-                    break
-                reserve *= 2
-            for k, ((a, _, own), size, part) in enumerate(zip(spans, sizes, parts, strict=True)):
-                yield row, name, k, own - a, size, part
+                text = Sized(data, token)
+                ends, strengths = sentence_ends(data)
+            begins, own, stops = cut(text, ends, strengths, limit, overlap)
+            sizes = (text.last(stops) - text.first(begins)).tolist()
+            for k, (a, b, c, size) in enumerate(zip(begins, own, stops, sizes, strict=True)):
+                part = data[a:c].decode()
+                if part[-1].isspace() and c < len(data):
+                    blank = _TRAILING.search(part, max(len(part) - 200, 0)) if not part[-200:].isspace() else _TRAILING.search(part)
+                    place = a + len(part[: blank.start()].encode())
+                    size += len(model.encode_ordinary(blank.group())) - int(text.last(c) - text.first(place))
+                yield row, name, k, b - a, size, part
 
 
 def split_texts(df: DataFrame, limits: DataFrame, key: str = "doc_id", text: str = "text", path: str = TOKENIZER) -> DataFrame:

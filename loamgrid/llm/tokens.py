@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 from functools import lru_cache
 
 import numpy as np
@@ -9,34 +10,34 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A vocabulary file of the sentencepiece library.
-TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+#: A vocabulary file of ranks for byte-level pairs.
+TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: Fixed value: how that vocabulary's tokenizer cuts a text before pairs are merged.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str = TOKENIZER):
-    import sentencepiece
+    import tiktoken
 
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 @lru_cache(maxsize=4)
 def piece_bytes(path: str = TOKENIZER) -> np.ndarray:
-    """Bytes of text that each token stands for; the sign for a blank counts as one."""
+    """Bytes of text that each token stands for; they make up the text again."""
     model = tokenizer(path)
-    return np.array([1 if model.is_byte(i) else len(model.id_to_piece(i).replace("▁", " ").encode()) for i in range(model.get_piece_size())], np.int64)
+    out = np.zeros(model.max_token_value + 1, np.int32)
+    for data in model.token_byte_values():
+        out[model.encode_single_token(data)] = len(data)
+    return out
 
 
-def token_ends(data: bytes, ids: list[int], path: str = TOKENIZER) -> np.ndarray:
-    """The byte at which each token of a text ends. The tokenizer puts one blank before the text, which is taken off again."""
-    sizes = piece_bytes(path)[np.asarray(ids, np.int64)]
-    ends = np.cumsum(sizes) - 1
-    if len(ends) and ends[-1] == len(data):
-        return np.maximum(ends, 0)
-    # The text holds the very sign for a blank: ask for places, which is slower.
-    text = data.decode()
-    wide = np.r_[0, np.cumsum([len(c.encode()) for c in text])]
-    return np.array([wide[p.end] for p in tokenizer(path).encode(text, out_type="immutable_proto").pieces], np.int64)
+def token_ends(text: str, path: str = TOKENIZER) -> np.ndarray:
+    """The byte at which each token of a text ends."""
+    return np.cumsum(piece_bytes(path)[tokenizer(path).encode_to_numpy(text, disallowed_special=())], dtype=np.int64)
 
 
 def token_count(text: Column, path: str = TOKENIZER) -> Column:
@@ -44,11 +45,7 @@ def token_count(text: Column, path: str = TOKENIZER) -> Column:
 
     @F.arrow_udf("int")
     def count(texts: pa.Array) -> pa.Array:
-        model, out = tokenizer(path), []
-        values = texts.to_pylist()
-        for at in range(0, len(values), 256):
-            some = [x or "" for x in values[at : at + 256]]
-            out.extend(map(len, model.encode(some, num_threads=1)))
-        return pa.array(out, pa.int32())
+        encode = tokenizer(path).encode_to_numpy
+        return pa.array([len(encode(x.as_py(), disallowed_special=())) if x.is_valid else 0 for x in texts], pa.int32())
 
     return count(text)
