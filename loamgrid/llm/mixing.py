@@ -3,7 +3,8 @@
 Records with one text, once in one form, are one text that several sources hold. Texts are added up by the set of sources that
 hold them, their pattern: few rows, whatever the corpus. A flow routes the tokens of patterns to the quotas; each further use of
 a text costs more than the one before, so that small sources repeat only as often as they must, and evenly. Texts of a pattern
-then lie on a circle in a seeded order, and each source takes an arc as long as its flow: a text is used as often as arcs pass it.
+then lie on a circle in a seeded order, and each source takes an arc as long as its flow: a text is used as often as arcs hold all of
+it. What texts at the ends of arcs leave open is filled in further rounds by texts that fit.
 
 Where each text lies is a running sum over hash buckets, first of the buckets and then within each, so that no task holds a source.
 
@@ -24,8 +25,8 @@ from loamgrid.llm.canon import canonical
 from loamgrid.llm.tokens import TOKENIZER, token_count
 from loamgrid.session import durable, small
 
-#: Buckets of the seeded order of a pattern.
-BUCKETS = 4096
+#: Rounds that fill what is left open of the quotas.
+ROUNDS = 3
 #: Patterns that the driver routes at most. Sources of a corpus are few, and texts held by several of them fewer kinds still.
 PATTERNS = 100_000
 
@@ -76,9 +77,10 @@ class _Network:
 
 @dataclass(frozen=True)
 class Plan:
-    """total: tokens of the whole mix; arcs: (pattern, source) and where its arc on the circle begins and ends."""
+    """total: tokens of the whole mix; quotas by source; arcs: (pattern, source) and where its arc on the circle begins and ends."""
 
     total: int
+    quotas: dict[str, int]
     arcs: list[tuple[int, str, int, int]]
 
 
@@ -120,7 +122,7 @@ def route(patterns: list[tuple[tuple[str, ...], int]], targets: dict[str, tuple[
     for k, s, size in flow(total)[1]:
         arcs.append((k, s, ends[k], ends[k] + size))
         ends[k] += size
-    return Plan(total, arcs)
+    return Plan(total, {s: round(total * wanted[s][0]) for s in names}, arcs)
 
 
 def sized_records(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
@@ -132,6 +134,19 @@ def sized_records(documents: DataFrame, targets: DataFrame, path: str = TOKENIZE
     return rows.join(targets.where("target_share > 0").select("source").distinct(), "source", "left_semi").dropDuplicates(["doc_id"])
 
 
+def with_start(df: DataFrame, groups: list[str], place: str, size: str, ties: list[str]) -> DataFrame:
+    """Adds start: the sizes that lie before a row of its group in the order of `place`, a hash.
+
+    Buckets of the hash are added up first; only rows of one bucket are sorted together.
+    """
+    df = df.withColumn("_bucket", F.shiftrightunsigned(place, 52).cast("int"))  # the order of buckets is that of the hash
+    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy(*groups, "_bucket").agg(F.sum(size).alias("_n")).select(*groups, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*groups, "_bucket").orderBy(place, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.join(sums, [*groups, "_bucket"])
+    return out.withColumn("start", F.col("_before") + F.coalesce(F.sum(size).over(inside), F.lit(0))).drop("_bucket", "_before")
+
+
 def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, seed: int = 1, total: int | None = None, path: str = TOKENIZER) -> DataFrame:
     """doc_id, source, n_tokens and repeats of the chosen records."""
     rows = sized_records(documents, targets, path)
@@ -140,26 +155,26 @@ def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, seed: int
     texts = held.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("source", "x.doc_id", "x.n_tokens"))).alias("records"))
     size = F.element_at("records", 1)["n_tokens"].cast("bigint")
     texts = texts.select("h1", "h2", "records", F.transform("records", lambda r: r["source"]).alias("pattern"), size.alias("size"))
-    place = F.xxhash64(F.lit(seed), "h1", "h2")
-    texts = durable(texts.withColumn("place", place).withColumn("bucket", F.pmod(F.shiftrightunsigned("place", 20), F.lit(BUCKETS)).cast("int")))
+    texts = durable(texts.withColumn("place", F.xxhash64(F.lit(seed), "h1", "h2")))
     sums = small(texts.groupBy("pattern").agg(F.sum("size").alias("tokens")), PATTERNS, "patterns of membership")
     patterns = sorted((tuple(r.pattern), r.tokens) for r in sums)
     wanted = {r.source: (r.target_share or 0.0, max(r.max_repeats or 1, 1)) for r in small(targets.select("source", "target_share", "max_repeats"), 100_000, "targets")}
     plan = route(patterns, wanted, total)
-    kind = "pattern array<string>, source string, begins bigint, ends bigint, round bigint"
-    arcs = spark.createDataFrame([(list(patterns[k][0]), s, a, b, patterns[k][1]) for k, s, a, b in plan.arcs], kind)
-    # Running sums: of the buckets of a pattern, then within each bucket.
-    before = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = texts.groupBy("pattern", "bucket").agg(F.sum("size").alias("n")).select("pattern", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("pattern", "bucket").orderBy("place", "h1", "h2").rowsBetween(Window.unboundedPreceding, -1)
-    lain = texts.join(starts, ["pattern", "bucket"]).withColumn("at", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    met = lain.select("pattern", "records", "at").join(arcs, "pattern")
-    # A text counts where its middle lies, so that sources are over and under their quota alike.
-    middle = F.col("at") + F.expr("records[0].n_tokens div 2")
-    turns = [F.ceil((F.col(edge) - middle) / F.col("round")) for edge in ("ends", "begins")]
-    met = met.withColumn("repeats", (turns[0] - turns[1]).cast("int")).where("repeats > 0")
-    own = F.element_at(F.filter("records", lambda r: r["source"] == F.col("source")), 1)
-    return met.select(own["doc_id"].alias("doc_id"), "source", own["n_tokens"].alias("n_tokens"), "repeats")
+    arcs = [(list(patterns[k][0]), s, a, b, patterns[k][1]) for k, s, a, b in plan.arcs]
+    arcs = spark.createDataFrame(arcs, "pattern array<string>, source string, begins bigint, ends bigint, round bigint")
+    quotas = spark.createDataFrame([(s, n, wanted[s][1]) for s, n in plan.quotas.items()], "source string, quota bigint, most int")
+    lain = with_start(texts, ["pattern"], "place", "size", ["h1", "h2"])
+    lain = lain.select("pattern", "start", F.explode("records").alias("r")).select("pattern", "start", "r.source", "r.doc_id", F.col("r.n_tokens").cast("bigint").alias("n_tokens"))
+    lain = lain.join(arcs, ["pattern", "source"], "left").join(quotas, "source")
+    turns = F.floor((F.col("ends") - F.col("start") - F.col("n_tokens")) / F.col("round")) - F.ceil((F.col("begins") - F.col("start")) / F.col("round")) + 1
+    chosen = durable(lain.select("doc_id", "source", "n_tokens", "quota", "most", F.greatest(F.coalesce(turns, F.lit(0)), F.lit(0)).cast("int").alias("repeats")))
+    for again in range(ROUNDS):
+        got = chosen.groupBy("source", "quota").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("got")).select("source", (F.col("quota") - F.col("got")).alias("open"))
+        fits = chosen.join(got, "source").where((F.col("repeats") < F.col("most")) & (F.col("n_tokens") <= F.col("open")))
+        fits = fits.withColumn("place", F.xxhash64(F.lit(seed + again + 1), "doc_id"))
+        added = with_start(fits, ["source"], "place", "n_tokens", ["doc_id"]).where(F.col("start") + F.col("n_tokens") <= F.col("open")).select("doc_id", F.lit(1).alias("more"))
+        chosen = durable(chosen.join(added, "doc_id", "left").withColumn("repeats", F.col("repeats") + F.coalesce("more", F.lit(0))).drop("more"))
+    return chosen.where("repeats > 0").select("doc_id", "source", F.col("n_tokens").cast("int").alias("n_tokens"), "repeats")
 
 
 def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
