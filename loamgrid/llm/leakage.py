@@ -108,7 +108,7 @@ def runs_in_block(documents: DataFrame, items: DataFrame, run: int, doc_key: str
     moved = store.join(candidates, "doc_id").select("doc_id", "item_id", "offset", "term", (F.col("dpos") - F.col("offset")).alias("ipos"))
     met = moved.where("ipos >= 0").join(terms, ["item_id", "ipos", "term"])
     order = Window.partitionBy("doc_id", "item_id", "offset").orderBy("ipos")
-    island = met.withColumn("island", F.col("ipos") - F.row_number().over(order))
+    island = met.withColumn("island", F.col("ipos") - F.dense_rank().over(order))
     found = island.groupBy("doc_id", "item_id", "offset", "island").agg(F.min("ipos").alias("first"), F.max("ipos").alias("last"))
     found = found.withColumn("last", F.col("last") + TERM - 1)
     return found.where(F.col("last") - F.col("first") + 1 >= run).select("doc_id", "item_id", "offset", "first", "last")
