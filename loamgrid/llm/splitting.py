@@ -27,70 +27,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.llm.tokens import TOKENIZER, token_ends, tokenizer
+from loamgrid.llm.tokens import TOKENIZER, token_ends, token_sizes
 from loamgrid.session import small
 
 #: Strength of boundaries.
 HARD, BLANK, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
-_CLAUSES = re.compile(rb"\xef\xbc\x8c|\xef\xbc\x9b|\xe3\x80\x81|\xef\xbc\x9a|[,;:|]")
 _BLANKS = re.compile(rb"[ \t]+|(?:\xe3\x80\x80)+")
 _NEWLINE, _FULL = ord("\n"), np.frombuffer("。！？".encode(), np.uint8).reshape(3, 3)
+_CLAUSE_SIGNS, _COMMAS = np.frombuffer("，；、：".encode(), np.uint8).reshape(4, 3), list(b",;:|")
+_CLOSING = (b"\xe2\x80\x9d", b"\xef\xbc\x89", b'"', b")")
 
 
-def _cuts(data: bytes, a: int, b: int, pattern: re.Pattern, strength: int) -> list[tuple[int, int]]:
-    return [(m.end(), strength) for m in pattern.finditer(data, a, b) if a < m.end() < b]
+_LEADS, _IS_COMMA = np.zeros(256, bool), np.zeros(256, bool)
+_LEADS[[0xE3, 0xEF]], _IS_COMMA[_COMMAS] = True, True
 
 
-def sentence_ends(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _behind_wide(raw: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Places behind signs of three bytes."""
+    if len(raw) < 3:
+        return np.zeros(0, np.int64)
+    lead = np.flatnonzero(_LEADS[raw[:-2]])
+    value = raw[lead].astype(np.int32) << 16 | raw[lead + 1].astype(np.int32) << 8 | raw[lead + 2]
+    hit = np.zeros(len(lead), bool)
+    for a, b, c in signs.tolist():
+        hit |= value == (a << 16 | b << 8 | c)
+    return lead[hit] + 3
+
+
+def clause_ends(raw: np.ndarray) -> np.ndarray:
+    """Places behind commas and the like, ascending."""
+    return np.sort(np.concatenate((np.flatnonzero(_IS_COMMA[raw]) + 1, _behind_wide(raw, _CLAUSE_SIGNS))))
+
+
+def sentence_ends(data: bytes, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ends of sentences and the strength of the boundary behind each, by whole arrays of bytes.
 
-    A run of line ends is one boundary: a line, or a paragraph if there are several. A run of sentence signs is one, too, with the
-    closing quotes and brackets behind it. An English full stop counts before a blank.
+    Signs that follow each other at once are one boundary, behind the last: a line if there is a line end, a paragraph if there are several.
+    Closing quotes and brackets go with the sentence. An English full stop counts before a blank.
     """
-    raw = np.frombuffer(data, np.uint8)
     n = len(raw)
-    line = raw == _NEWLINE
-    kind = np.zeros(n + 4, np.uint8)  # by the byte behind a sign: 1 a sentence, 2 a line
-    kind[1 : n + 1] = np.where(line, 2, (raw == 33) | (raw == 63))
-    if n >= 3:
-        lead = np.flatnonzero((raw[:-2] == 0xE3) | (raw[:-2] == 0xEF))
-        second, third = raw[lead + 1], raw[lead + 2]
-        first = raw[lead]
-        for a, b, c in _FULL:
-            kind[lead[(first == a) & (second == b) & (third == c)] + 3] = 1
-    stop = np.flatnonzero(raw[:-1] == 46) if n > 1 else np.zeros(0, int)
-    kind[stop[(raw[stop + 1] == 32) | (raw[stop + 1] == _NEWLINE)] + 1] = 1
-    at = np.flatnonzero(kind[: n + 1])
-    what = kind[at]
-    out, strength = [], []
-    # Signs that follow each other at once are one boundary, behind the last; closing signs go with it.
-    ends, kinds = at.tolist(), what.tolist()
-    i, m = 0, len(ends)
-    while i < m:
-        end, lines = ends[i], kinds[i] == 2
-        while True:
-            while data[end : end + 3] in (b"\xe2\x80\x9d", b"\xef\xbc\x89") and not lines:
-                end += 3
-            if not lines and data[end : end + 1] in (b'"', b")"):
-                end += 1
-            if i + 1 < m and ends[i + 1] - end in (1, 3) and ends[i + 1] > end and (data[end:ends[i + 1]] in _SIGNS):
-                i += 1
-                end = ends[i]
-                lines += kinds[i] == 2
-                continue
-            break
-        out.append(end)
-        strength.append(SENTENCE if not lines else LINE if lines == 1 else PARAGRAPH)
-        i += 1
-        while i < m and ends[i] <= end:
-            i += 1
-    if not out or out[-1] < n:
-        out.append(n)
-        strength.append(PARAGRAPH)
-    return np.array(out), np.array(strength)
-
-
-_SIGNS = {b"\n", b"!", b"?", *(bytes(x) for x in _FULL)}
+    line = np.flatnonzero(raw == _NEWLINE) + 1
+    stop = np.flatnonzero(raw[:-1] == 46)
+    stop = stop[(raw[stop + 1] == 32) | (raw[stop + 1] == _NEWLINE)] + 1
+    marks = np.flatnonzero((raw == 33) | (raw == 63)) + 1
+    wide = _behind_wide(raw, _FULL)
+    at = np.concatenate((line, stop, marks, wide))
+    order = np.argsort(at, kind="stable")
+    at, width = at[order], np.concatenate((np.ones(len(at) - len(wide), np.int64), np.full(len(wide), 3)))[order]
+    lines = np.concatenate((np.ones(len(line), np.int64), np.zeros(len(at) - len(line), np.int64)))[order]
+    if len(at):
+        begins = np.flatnonzero(np.concatenate(([True], at[1:] - width[1:] != at[:-1])))
+        lines = np.add.reduceat(lines, begins)
+        at = at[np.concatenate((begins[1:] - 1, [len(at) - 1]))]
+        follows = raw[np.minimum(at, n - 1)]
+        for k in np.flatnonzero((lines == 0) & (at < n) & ((follows == 0x22) | (follows == 0x29) | (follows == 0xE2) | (follows == 0xEF))).tolist():
+            end = int(at[k])
+            while sign := next((c for c in _CLOSING if data.startswith(c, end)), None):
+                end += len(sign)
+            at[k] = min(end, int(at[k + 1])) if k + 1 < len(at) else end
+    strength = np.where(lines == 0, SENTENCE, np.where(lines == 1, LINE, PARAGRAPH))
+    if not len(at) or at[-1] < n:
+        at, strength = np.append(at, n), np.append(strength, PARAGRAPH)
+    return at, strength
 
 
 class Sized:
@@ -98,8 +96,17 @@ class Sized:
 
     def __init__(self, data: bytes, ends: np.ndarray):
         self.data, self.ends, self.starts, self._lists = data, ends, np.concatenate(([0], ends[:-1])), None
-        inner = np.frombuffer(data, np.uint8)[ends[:-1]] & 0xC0 == 0x80
-        self.places = np.concatenate(([0], ends[:-1][~inner], [len(data)]))
+        raw = np.frombuffer(data, np.uint8)
+        self.places = np.concatenate(([0], ends[:-1][raw[ends[:-1]] & 0xC0 != 0x80], [len(data)]))
+        self.sentences = self.snapped(*sentence_ends(data, raw))
+        self.behind = self.last(self.sentences[0])
+        clauses = clause_ends(raw)
+        clauses = self.places[np.searchsorted(self.places, clauses)]
+        clauses = clauses[np.diff(clauses, prepend=-1) > 0]
+        #: Ends of clauses inside a sentence, and the sentence that each lies in.
+        within = np.searchsorted(self.sentences[0], clauses)
+        inside = clauses < self.sentences[0][within]
+        self.clauses, self.clause_of = clauses[inside], within[inside]
 
     def first(self, at) -> np.ndarray:
         """The first token with a byte at or behind each place."""
@@ -123,25 +130,21 @@ class Sized:
         return self._lists
 
 
-def _small_enough(text: Sized, a: int, b: int, strength: int, most: int, level: int = 0) -> list[tuple[int, int]]:
-    """A segment of too many tokens as atoms of at most so many: at clauses, then blanks, then between characters."""
+def _small_enough(text: Sized, a: int, b: int, strength: int, most: int, blanks: bool = True) -> list[tuple[int, int]]:
+    """A clause of too many tokens as atoms of at most so many: at blanks, then between characters."""
     places, token_end, token_start = text.listed()
     out, at = [], a
-    if level < 2:
-        pattern, kind = ((_CLAUSES, CLAUSE), (_BLANKS, BLANK))[level]
-        cuts = [*_cuts(text.data, a, b, pattern, kind), (b, strength)]
+    if blanks:
         token = bisect_right(token_end, a)
-        for end, k in cuts:
+        for end in [*(m.end() for m in _BLANKS.finditer(text.data, a, b)), b]:
             end = places[bisect_left(places, end)]
             if end <= at:
                 continue
-            if end == b:
-                k = strength
-            behind = bisect_left(token_start, end)
+            kind, behind = strength if end == b else BLANK, bisect_left(token_start, end)
             if behind - token <= most:
-                out.append((end, k))
+                out.append((end, kind))
             else:
-                out += _small_enough(text, at, end, k, most, level + 1)
+                out += _small_enough(text, at, end, kind, most, False)
             at, token = end, behind
         return out
     while bisect_left(token_start, b) - (token := bisect_right(token_end, at)) > most:
@@ -155,67 +158,84 @@ def _small_enough(text: Sized, a: int, b: int, strength: int, most: int, level:
     return [*out, (b, strength)]
 
 
-def merged(ends: list[int], strengths: list[int], low: list[int], high: list[int], first: int, rest: int) -> list[int]:
+def atoms_of(text: Sized, most: int) -> tuple[list[int], list[int], list[int]]:
+    """Ends and strengths of atoms of at most so many tokens, and the first token behind each."""
+    ends, strengths = text.sentences
+    behind = text.behind
+    large = np.diff(behind, prepend=0) > most
+    if not large.any():
+        return ends.tolist(), strengths.tolist(), behind.tolist()
+    inner = text.clauses[large[text.clause_of]]
+    both = np.concatenate((ends, inner))
+    order = np.argsort(both, kind="stable")
+    ends, strengths = both[order], np.concatenate((strengths, np.full(len(inner), CLAUSE)))[order]
+    behind = text.last(ends)
+    large = np.flatnonzero(np.diff(behind, prepend=0) > most)
+    if not len(large):
+        return ends.tolist(), strengths.tolist(), behind.tolist()
+    ends, strengths, out, kinds, before = ends.tolist(), strengths.tolist(), [], [], 0
+    for k in large.tolist():
+        out += ends[before:k]
+        kinds += strengths[before:k]
+        for end, kind in _small_enough(text, ends[k - 1] if k else 0, ends[k], strengths[k], most):
+            out.append(end)
+            kinds.append(kind)
+        before = k + 1
+    out += ends[before:]
+    kinds += strengths[before:]
+    return out, kinds, text.last(out).tolist()
+
+
+def merged(strengths: list[int], high: list[int], first: int, rest: int) -> list[int]:
     """Atoms at which pieces end: neighbours merged from the weakest boundary on, up to `first` tokens at the start, else `rest`.
 
-    low and high are the first token of each atom and the first one behind it.
+    high is the first token behind each atom.
     """
-    n = len(ends)
+    n = len(high)
+    if n < 2:
+        return [0] * n
+    low = [0, *high[:-1]]
     left, right, last = list(range(-1, n - 1)), list(range(1, n + 1)), list(range(n))
     high = high.copy()
-    # A pair is known by its left atom and the token behind it, which changes with each merge. One number orders pairs:
-    # strength, then merged size, then place.
-    wide, long = 1 << 40, 1 << 20
-    heap = []
-    for i in range(n - 1):
-        size = high[i + 1] - low[i]
-        if size <= (rest if i else first):
-            heap.append((strengths[i] * wide + size * long + i, high[i + 1]))
+    # A pair is one number: strength of its boundary, then merged size, then place of its left atom. A number that no longer
+    # agrees with the atoms is one of a pair that has changed.
+    wide, long = 1 << 56, 1 << 28
+    behind = np.array(high)
+    sizes = behind[1:] - np.concatenate(([0], behind[:-2]))
+    most = np.full(n - 1, rest)
+    most[0] = first
+    fits = np.flatnonzero(sizes <= most)
+    heap = ((np.array(strengths[:-1])[fits] << 56) + sizes[fits] * long + fits).tolist()
     heapq.heapify(heap)
     pop, push = heapq.heappop, heapq.heappush
     while heap:
-        key, end = pop(heap)
+        key = pop(heap)
         i = key % long
         j = right[i]
-        if last[i] < 0 or j >= n or high[j] != end or high[j] - low[i] != key // long % long:
+        if last[i] < 0 or j >= n or strengths[i] != key // wide or high[j] - low[i] != key // long % long:
             continue
-        last[i], last[j], high[i], strengths[i] = last[j], -1, high[j], strengths[j]
+        last[i], last[j], high[i] = last[j], -1, high[j]
+        kind = strengths[i] = strengths[j]
         right[i] = k = right[j]
         if k < n:
             left[k] = i
             size = high[k] - low[i]
             if size <= (rest if i else first):
-                push(heap, (strengths[i] * wide + size * long + i, high[k]))
+                push(heap, kind * wide + size * long + i)
         h = left[i]
         if h >= 0:
             size = high[i] - low[h]
             if size <= (rest if h else first):
-                push(heap, (strengths[h] * wide + size * long + h, high[i]))
+                push(heap, strengths[h] * wide + size * long + h)
     return [x for x in last if x >= 0]
 
 
-def cut(text: Sized, ends: np.ndarray, strengths: np.ndarray, limit: int, overlap: int) -> tuple[list[int], list[int], list[int]]:
+def cut(text: Sized, limit: int, overlap: int) -> tuple[list[int], list[int], list[int]]:
     """Begins with the overlap, begins without it, and ends of the pieces, in bytes."""
     overlap = min(overlap, limit // 2)
     rest, first = max(limit - overlap - (3 if overlap else 0), 1), max(limit, 1)
-    ends, strengths = text.snapped(ends, strengths)
-    last = text.last(ends)
-    large = np.flatnonzero(np.diff(last, prepend=0) > rest)
-    if len(large):
-        atoms, kinds, before = [], [], 0
-        for k in large.tolist():
-            atoms += ends[before:k].tolist()
-            kinds += strengths[before:k].tolist()
-            for end, kind in _small_enough(text, int(ends[k - 1]) if k else 0, int(ends[k]), int(strengths[k]), rest):
-                atoms.append(end)
-                kinds.append(kind)
-            before = k + 1
-        atoms += ends[before:].tolist()
-        kinds += strengths[before:].tolist()
-        high = text.last(atoms).tolist()
-    else:
-        atoms, kinds, high = ends.tolist(), strengths.tolist(), last.tolist()
-    stops = merged(atoms, kinds, [0, *high[:-1]], high, first, rest)
+    atoms, kinds, high = atoms_of(text, rest)
+    stops = merged(kinds, high, first, rest)
     behind = [high[k] for k in stops]
     stops = [atoms[k] for k in stops]
     starts = [0, *stops[:-1]]
@@ -234,31 +254,43 @@ def cut(text: Sized, ends: np.ndarray, strengths: np.ndarray, limit: int, overla
 _TRAILING = re.compile(r"\s+$")
 
 
-def pieces_of(texts: list[str], profiles: list[tuple[str, int, int]], path: str = TOKENIZER) -> Iterator[tuple[int, str, int, int, int, str]]:
-    """Row, profile, number, bytes of overlap, tokens and text of each piece."""
-    model = tokenizer(path)
-    for row, value in enumerate(texts):
-        if not value:
-            continue
-        token = token_ends(value, path)
-        text = None
-        for name, limit, overlap in profiles:
-            if len(token) <= limit:
-                yield row, name, 0, 0, len(token), value
-                continue
+def add_pieces(out: tuple[list, ...], key, value: str, profiles: list[tuple[str, int, int]], path: str = TOKENIZER) -> None:
+    """Appends key, profile, number, bytes of overlap, tokens and text of each piece of a text to six lists."""
+    token = token_ends(value, path)
+    keys, names, numbers, laps, counts, parts = out
+    text = None
+    for name, limit, overlap in profiles:
+        if len(token) <= limit:
+            begins, own, stops, sizes, found = [0], [0], [0], [len(token)], [value]
+        else:
             if text is None:
                 data = value.encode()
                 text = Sized(data, token)
-                ends, strengths = sentence_ends(data)
-            begins, own, stops = cut(text, ends, strengths, limit, overlap)
+            begins, own, stops = cut(text, limit, overlap)
             sizes = (text.last(stops) - text.first(begins)).tolist()
-            for k, (a, b, c, size) in enumerate(zip(begins, own, stops, sizes, strict=True)):
-                part = data[a:c].decode()
-                if part[-1].isspace() and c < len(data):
-                    blank = _TRAILING.search(part, max(len(part) - 200, 0)) if not part[-200:].isspace() else _TRAILING.search(part)
-                    place = a + len(part[: blank.start()].encode())
-                    size += len(model.encode_ordinary(blank.group())) - int(text.last(c) - text.first(place))
-                yield row, name, k, b - a, size, part
+            found = [data[a:c].decode() for a, c in zip(begins, stops, strict=True)]
+            for k, part in enumerate(found):
+                # A single blank at the end is the token that it was.
+                if part[-2:].isspace() and len(part) > 1 and stops[k] < len(data):
+                    blank = _TRAILING.search(part)
+                    place = begins[k] + len(part[: blank.start()].encode())
+                    sizes[k] += len(token_sizes(blank.group(), path)) - int(text.last(stops[k]) - text.first(place))
+        n = len(found)
+        keys += [key] * n
+        names += [name] * n
+        numbers += range(n)
+        laps += [b - a for a, b in zip(begins, own, strict=True)]
+        counts += sizes
+        parts += found
+
+
+def pieces_of(texts: list[str], profiles: list[tuple[str, int, int]], path: str = TOKENIZER) -> list[tuple[int, str, int, int, int, str]]:
+    """Row, profile, number, bytes of overlap, tokens and text of each piece."""
+    out: tuple[list, ...] = ([], [], [], [], [], [])
+    for row, value in enumerate(texts):
+        if value:
+            add_pieces(out, row, value, profiles, path)
+    return list(zip(*out, strict=True))
 
 
 def split_texts(df: DataFrame, limits: DataFrame, key: str = "doc_id", text: str = "text", path: str = TOKENIZER) -> DataFrame:
@@ -269,10 +301,12 @@ def split_texts(df: DataFrame, limits: DataFrame, key: str = "doc_id", text: str
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-            for at in range(0, len(ids), 64):  # few texts at a time bound the memory
-                rows = [(ids[at + r], *rest) for r, *rest in pieces_of(texts[at : at + 64], profiles, path)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
+            for at in range(0, len(ids), 128):  # few texts at a time bound the memory
+                out: tuple[list, ...] = ([], [], [], [], [], [])
+                for k in range(at, min(at + 128, len(ids))):
+                    if texts[k]:
+                        add_pieces(out, ids[k], texts[k], profiles, path)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind, strict=True)], schema=kind)
 
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     out = rows.mapInArrow(batches, "key bigint, profile string, piece_no int, overlap_bytes int, n_tokens int, text string")

@@ -87,3 +87,11 @@ def test_mix_reaches_shares_and_keeps_caps(spark):
     assert shares["none"] == 0 and all(abs(shares[s] - w) < 0.01 for s, w in (("a", 0.625), ("b", 0.25), ("c", 0.125)))
     assert sorted(map(tuple, mixing.mix(spark, docs, targets).collect())) == sorted(map(tuple, got))
     assert mixing.mix(spark, docs.limit(0), targets).count() == 0
+
+
+def test_sizes_are_those_of_the_tokenizer():
+    from loamgrid.llm.tokens import token_sizes
+
+    model = tokenizer()
+    for value in [*texts(), "it's we'll DON'T １２ ½²Ⅷ٣ _x_  \n\t y　z\x85\x1c", "​  ﻿a"]:
+        assert list(token_sizes(value)) == [len(model.decode_single_token_bytes(t)) for t in model.encode_ordinary(value)]
