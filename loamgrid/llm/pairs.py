@@ -4,9 +4,10 @@ Response openings are clustered by verified MinHash. A template that recurs acro
 number, citation or quotation) and isn't the stock answer to prompts that should be rejected reveals refusals. Copy, language
 and termination checks label the rest, all as expressions in the JVM over texts in one form.
 
-Unique openings only are clustered, with their counts, so that copies cost nothing. Each band of each signature joins the
-first opening of its bucket; what isn't alike enough meets the first of those left over, in rounds until none is left.
-Classes are then the smallest number reachable over verified links.
+Unique openings only are clustered, with their counts, so that copies cost nothing. Each band of each signature meets the first
+opening of its bucket. Openings that turn out unlike the first of a bucket (one template with many names in it) are then
+joined exactly: two that are alike share one of their rarest shingles, so those few are compared only. Classes are the smallest
+number reachable over verified links.
 
 Defined results: a null answer is empty; a null question is no copy and has no language; a null expect_reject is false; rows delivered
 again count once; at most one defect for each pair, in the order empty, copy, refusal, other_language, truncated.
@@ -14,7 +15,7 @@ again count once; at most one defect for each pair, in the order empty, copy, re
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgrid.llm.canon import canonical
@@ -77,22 +78,29 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def _rarest(unique: DataFrame) -> DataFrame:
+    """id and run: the rarest shingles of each opening, as many as make it sure that two alike openings share one."""
+    runs = unique.select("id", F.size("runs").alias("k"), F.explode("runs").alias("run"))
+    counted = runs.join(runs.groupBy("run").agg(F.count("*").alias("n")), "run")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("n", "run"))  # as many rows as an opening has shingles
+    return counted.withColumn("place", place).where(F.col("place") <= F.col("k") - F.ceil(F.col("k") * ALIKE - 1e-9) + 1).select("id", "run")
+
+
 def verified_links(unique: DataFrame) -> DataFrame:
-    """Links a < b of openings that share a band and are alike. unique has id and runs."""
+    """Links a < b of alike openings that make up the classes. unique has id and runs."""
     signed = unique.select("id", "runs", signature(F.col("runs")).alias("s"))
     bands = F.array(*[F.xxhash64(F.lit(k), *[F.get("s", F.lit(k * BAND + j)) for j in range(BAND)]) for k in range(HASHES // BAND)])
-    left = durable(signed.select("id", "runs", F.explode(bands).alias("bucket")))
-    links = None
-    while True:
-        # The first of each bucket is carried to the others by an aggregate, not by pairs.
-        heads = left.groupBy("bucket").agg(F.min_by(F.struct("id", "runs"), "id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-        met = left.join(heads, "bucket").where(F.col("id") != F.col("head.id")).withColumn("alike", jaccard(F.col("runs"), F.col("head.runs")) >= ALIKE)
-        met = durable(met.select("id", "runs", "bucket", F.col("head.id").alias("to"), "alike"))
-        new = met.where("alike").select(F.col("to").alias("a"), F.col("id").alias("b"))
-        links = new if links is None else links.unionByName(new)
-        left = met.where("not alike").select("id", "runs", "bucket")
-        if left.isEmpty():
-            return links.distinct()
+    banded = durable(signed.select("id", "runs", F.explode(bands).alias("bucket")))
+    # The first of each bucket is carried to the others by an aggregate, not by pairs.
+    heads = banded.groupBy("bucket").agg(F.min_by(F.struct("id", "runs"), "id").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    met = banded.join(heads, "bucket").where(F.col("id") != F.col("head.id"))
+    met = durable(met.select("id", F.col("head.id").alias("to"), (jaccard(F.col("runs"), F.col("head.runs")) >= ALIKE).alias("alike")).distinct())
+    links = met.where("alike").select(F.col("to").alias("a"), F.col("id").alias("b"))
+    unlike = met.where("not alike").select("id").distinct()
+    rare = durable(_rarest(unique))
+    near = rare.join(unlike, "id").select(F.col("id").alias("x"), "run").join(rare.select(F.col("id").alias("y"), "run"), "run").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    near = near.join(unique.select(F.col("id").alias("a"), F.col("runs").alias("ra")), "a").join(unique.select(F.col("id").alias("b"), F.col("runs").alias("rb")), "b")
+    return links.unionByName(near.where(jaccard(F.col("ra"), F.col("rb")) >= ALIKE).select("a", "b")).distinct()
 
 
 def classes(unique: DataFrame, links: DataFrame) -> DataFrame:
