@@ -230,8 +230,8 @@ def merged(strengths: list[int], high: list[int], first: int, rest: int) -> list
     return [x for x in last if x >= 0]
 
 
-def cut(text: Sized, limit: int, overlap: int) -> tuple[list[int], list[int], list[int]]:
-    """Begins with the overlap, begins without it, and ends of the pieces, in bytes."""
+def cut(text: Sized, limit: int, overlap: int) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Begins with the overlap, begins without it and ends of the pieces, in bytes, and their tokens."""
     overlap = min(overlap, limit // 2)
     rest, first = max(limit - overlap - (3 if overlap else 0), 1), max(limit, 1)
     atoms, kinds, high = atoms_of(text, rest)
@@ -239,42 +239,44 @@ def cut(text: Sized, limit: int, overlap: int) -> tuple[list[int], list[int], li
     behind = [high[k] for k in stops]
     stops = [atoms[k] for k in stops]
     starts = [0, *stops[:-1]]
+    tokens = [0, *behind[:-1]]
     if not overlap:
-        return starts, starts, stops
+        return starts, starts, stops, [b - a for a, b in zip(tokens, behind, strict=True)]
     # The overlap begins so many tokens before, at a place, and not before the piece before it.
-    backs = text.starts[np.maximum(np.array([0, *behind[:-1]]) - overlap, 0)]
-    backs = text.places[np.searchsorted(text.places, backs, "right") - 1].tolist()
-    out, before = [], 0
-    for begin in backs:
-        before = max(begin, before)
-        out.append(before)
-    return out, starts, stops
+    backs = text.starts[np.maximum(np.array(tokens) - overlap, 0)]
+    backs = np.maximum.accumulate(text.places[np.searchsorted(text.places, backs, "right") - 1])
+    return backs.tolist(), starts, stops, (np.array(behind) - text.first(backs)).tolist()
 
 
-_TRAILING = re.compile(r"\s+$")
+_BLANK = [c for c in map(chr, range(0x3001)) if c.isspace() and not "\x1c" <= c <= "\x1f"]
+_TRAILING = re.compile("[" + "".join(map(re.escape, _BLANK)) + "]*$")
+_WHITE = tuple(c.encode() for c in _BLANK)
+
+
+def _trailing(part: bytes) -> str:
+    """The white space that a piece ends in."""
+    blank = _TRAILING.search(part[-40:].decode(errors="ignore")).group()
+    return blank if len(blank) < 12 else _TRAILING.search(part.decode()).group()
 
 
 def add_pieces(out: tuple[list, ...], key, value: str, profiles: list[tuple[str, int, int]], path: str = TOKENIZER) -> None:
-    """Appends key, profile, number, bytes of overlap, tokens and text of each piece of a text to six lists."""
-    token = token_ends(value, path)
+    """Appends key, profile, number, bytes of overlap, tokens and text, as UTF-8, of each piece of a text to six lists."""
+    token, data = token_ends(value, path), value.encode()
     keys, names, numbers, laps, counts, parts = out
     text = None
     for name, limit, overlap in profiles:
         if len(token) <= limit:
-            begins, own, stops, sizes, found = [0], [0], [0], [len(token)], [value]
+            begins, own, stops, sizes, found = [0], [0], [0], [len(token)], [data]
         else:
             if text is None:
-                data = value.encode()
                 text = Sized(data, token)
-            begins, own, stops = cut(text, limit, overlap)
-            sizes = (text.last(stops) - text.first(begins)).tolist()
-            found = [data[a:c].decode() for a, c in zip(begins, stops, strict=True)]
+            begins, own, stops, sizes = cut(text, limit, overlap)
+            found = [data[a:c] for a, c in zip(begins, stops, strict=True)]
             for k, part in enumerate(found):
-                # A single blank at the end is the token that it was.
-                if part[-2:].isspace() and len(part) > 1 and stops[k] < len(data):
-                    blank = _TRAILING.search(part)
-                    place = begins[k] + len(part[: blank.start()].encode())
-                    sizes[k] += len(token_sizes(blank.group(), path)) - int(text.last(stops[k]) - text.first(place))
+                # A single blank at the end is the token that it was; only a run of them is tokenized again.
+                if part.endswith(_WHITE) and stops[k] < len(data) and len(blank := _trailing(part)) > 1:
+                    place = stops[k] - len(blank.encode())
+                    sizes[k] += len(token_sizes(blank, path)) - int(text.last(stops[k]) - text.first(place))
         n = len(found)
         keys += [key] * n
         names += [name] * n
@@ -290,7 +292,7 @@ def pieces_of(texts: list[str], profiles: list[tuple[str, int, int]], path: str
     for row, value in enumerate(texts):
         if value:
             add_pieces(out, row, value, profiles, path)
-    return list(zip(*out, strict=True))
+    return [(*rest, part.decode()) for *rest, part in zip(*out, strict=True)]
 
 
 def split_texts(df: DataFrame, limits: DataFrame, key: str = "doc_id", text: str = "text", path: str = TOKENIZER) -> DataFrame:
@@ -306,7 +308,8 @@ def split_texts(df: DataFrame, limits: DataFrame, key: str = "doc_id", text: str
                 for k in range(at, min(at + 128, len(ids))):
                     if texts[k]:
                         add_pieces(out, ids[k], texts[k], profiles, path)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kind, strict=True)], schema=kind)
+                columns = [pa.array(c, f.type) for c, f in zip(out[:5], kind, strict=False)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(out[5], pa.binary()).cast(pa.string())], schema=kind)
 
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     out = rows.mapInArrow(batches, "key bigint, profile string, piece_no int, overlap_bytes int, n_tokens int, text string")

@@ -59,22 +59,27 @@ def piece_bytes(path: str = TOKENIZER) -> np.ndarray:
     return out
 
 
-_WORDS: dict[str, dict[str, bytes]] = {}
+class _Words(dict):
+    """The sizes of the tokens of words that came before."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __missing__(self, word: str) -> bytes:
+        sizes = bytes(piece_bytes(self.path)[tokenizer(self.path).encode_ordinary(word)].tolist())
+        if len(self) >= REMEMBERED:
+            self.clear()
+        if len(word) < 64:
+            self[word] = sizes
+        return sizes
+
+
+_words = lru_cache(maxsize=4)(_Words)
 
 
 def token_sizes(text: str, path: str = TOKENIZER) -> bytes:
     """The bytes of text that each token stands for. Words that came before are not tokenized again."""
-    known, out = _WORDS.setdefault(path, {}), []
-    for word in word_pattern().findall(text):
-        sizes = known.get(word)
-        if sizes is None:
-            sizes = bytes(piece_bytes(path)[tokenizer(path).encode_ordinary(word)].tolist())
-            if len(known) >= REMEMBERED:
-                known.clear()
-            if len(word) < 64:
-                known[word] = sizes
-        out.append(sizes)
-    return b"".join(out)
+    return b"".join(map(_words(path).__getitem__, word_pattern().findall(text)))
 
 
 def token_ends(text: str, path: str = TOKENIZER) -> np.ndarray:
