@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loamgrid.functions.text import SENTENCE_ENDS, clean_lines, sentences, words
-from loamgrid.operators import evaluate, layout, retrieve, segment
+from loamgrid.functions.text import SENTENCE_ENDS, clean_lines, sentences, stripped, words
+from loamgrid.operators import evaluate, layout, ports, retrieve, segment
 from loamgrid.sources import tables
 from loamgrid.session import fresh, table
 from loamgrid.streaming import incremental
@@ -357,6 +357,47 @@ def noise_line_clean(spark: SparkSession, folder: str) -> DataFrame:
     return _pages(spark, folder, "text").select("page_id", F.md5(clean_lines(F.col("text"))).alias("cleaned"))
 
 
+@query(f"SELECT page_id, (i - 1)::INT AS pos, l[i] AS line FROM (SELECT page_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: {_strip('x')}), lambda x: x <> '')[1:8] AS l FROM {_ONE_PAGE}), range(1, len(l) + 1) AS r(i)")
+def head_lines(spark: SparkSession, folder: str) -> DataFrame:
+    lines = F.filter(F.transform(F.split("text", "\n"), stripped), lambda x: x != "")
+    return _pages(spark, folder, "text").select("page_id", F.posexplode(F.slice(lines, 1, 8)).alias("pos", "line"))
+
+
+_HEADING = "^[一二三四五六七八九十]{1,3}、(.{2,24})$"
+
+
+@query(f"WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT source, regexp_extract(line, '{_HEADING}', 1) AS heading, min(doc_id) AS first_doc, count(DISTINCT doc_id)::BIGINT AS docs FROM l WHERE regexp_matches(line, '{_HEADING}') GROUP BY ALL")
+def heading_scan(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select("source", "doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(_HEADING))
+    rows = rows.groupBy("source", F.regexp_extract("line", _HEADING, 1).alias("heading"), "doc_id").agg(F.lit(1).alias("x"))
+    return rows.groupBy("source", "heading").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("docs"))
+
+
+@query(
+    f"WITH m AS ({_MARKS}), u AS (SELECT code, page, max(section) AS section FROM m GROUP BY code, page), t AS (SELECT code, max(page) AS pages FROM {_ONE_PAGE} GROUP BY code), s AS (SELECT code, section, coalesce(lead(page) OVER (PARTITION BY code ORDER BY page), pages + 1) - page AS span FROM u JOIN t USING (code)) SELECT code, section FROM s WHERE span >= 5 AND len(regexp_extract_all(section, '\\p{{Han}}')) >= 2 QUALIFY row_number() OVER (PARTITION BY code ORDER BY span DESC, section) <= 15"
+)
+def trusted_sections(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections that span enough pages, the widest 15 of each company."""
+    rows = section_span(spark, folder).where((F.col("span") >= 5) & (F.regexp_count("section", F.lit(r"\p{IsHan}")) >= 2))
+    place = F.row_number().over(Window.partitionBy("code").orderBy(F.col("span").desc(), "section"))
+    return rows.withColumn("place", place).where("place <= 15").select("code", "section")
+
+
+@query(f"SELECT count(*)::BIGINT AS n, count_if(embed_text IS NULL)::BIGINT AS n_missing, count_if(embed_text = company || '（' || code || '） ' || coalesce(section, '') || chr(10) || text)::BIGINT AS n_equal FROM {_ONE_CHUNK}")
+def embed_text_check(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _chunks(spark, folder, "company", "code", "section", "text", "embed_text")
+    made = F.concat("company", F.lit("（"), "code", F.lit("） "), F.coalesce("section", F.lit("")), F.lit("\n"), "text")
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("embed_text").isNull()).alias("n_missing"), F.count_if(F.col("embed_text") == made).alias("n_equal"))
+
+
+@query("WITH done AS (SELECT DISTINCT sha256(coalesce(embed_text, '')) AS content FROM chunks WHERE ingested_at < TIMESTAMP '2026-03-05') SELECT DISTINCT chunk_id, sha256(coalesce(embed_text, '')) AS content FROM chunks WHERE sha256(coalesce(embed_text, '')) NOT IN (SELECT content FROM done)")
+def resume_pending(spark: SparkSession, folder: str) -> DataFrame:
+    """What a run that is taken up again has still to embed."""
+    rows = table(spark, folder, "chunks")
+    done = rows.where(F.col("ingested_at") < F.lit("2026-03-05").cast("timestamp")).select(F.sha2(F.coalesce("embed_text", F.lit("")), 256).alias("content")).distinct()
+    return ports.pending(rows.select("chunk_id", "embed_text"), "embed_text", done).select("chunk_id", "content").distinct()
+
+
 # --- evidence and evaluation ------------------------------------------------------------------------------------------
 
 
@@ -461,6 +502,25 @@ def failure_lines(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("result_id", line.alias("line"))
 
 
+@query(_GRADED + " SELECT result_id, list_sort(hits) AS hits, list_sort(list_filter(list_distinct(wanted), lambda x: NOT list_contains(hits, x))) AS misses FROM g")
+def expected_values(spark: SparkSession, folder: str) -> DataFrame:
+    return _graded(spark, folder).select("result_id", F.array_sort("hits").alias("hits"), F.array_sort("misses").alias("misses"))
+
+
+@query(_GRADED + " SELECT kind, '| ' || coalesce(kind, '') || ' | ' || count(*) || ' | ' || count_if(grade = '正确') || ' | ' || count_if(grade = '错误') || ' |' AS line FROM g GROUP BY kind")
+def conclusion_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of a table in Markdown, one for each kind of question."""
+    rows = _graded(spark, folder).groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("grade") == "正确").alias("good"), F.count_if(F.col("grade") == "错误").alias("bad"))
+    return rows.select("kind", F.concat(F.lit("| "), F.coalesce("kind", F.lit("")), F.lit(" | "), "n", F.lit(" | "), "good", F.lit(" | "), "bad", F.lit(" |")).alias("line"))
+
+
+@query(f"SELECT run_id, count(*)::BIGINT AS n, count_if(llm_error IS NOT NULL AND llm_error <> '')::BIGINT AS n_errors, round(sum(elapsed_s), 4) AS seconds, round(max(elapsed_s), 4) AS slowest, count(DISTINCT question_id)::BIGINT AS questions FROM {_ONE_RESULT} GROUP BY run_id")
+def run_accounting(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _results(spark, folder, "run_id", "llm_error", "elapsed_s", "question_id")
+    bad = F.count_if(F.col("llm_error").isNotNull() & (F.col("llm_error") != ""))
+    return rows.groupBy("run_id").agg(F.count("*").alias("n"), bad.alias("n_errors"), F.round(F.sum("elapsed_s"), 4).alias("seconds"), F.round(F.max("elapsed_s"), 4).alias("slowest"), F.countDistinct("question_id").alias("questions"))
+
+
 # --- manifest, reports, lookups ---------------------------------------------------------------------------------------
 
 _LATEST = "(SELECT DISTINCT * FROM manifest QUALIFY row_number() OVER (PARTITION BY code ORDER BY updated_at DESC NULLS LAST, url DESC NULLS LAST, size DESC NULLS LAST, title DESC NULLS LAST) = 1)"
