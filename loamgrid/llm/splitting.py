@@ -33,62 +33,64 @@ from loamgrid.session import small
 #: Strength of boundaries.
 HARD, BLANK, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
 _BLANKS = re.compile(rb"[ \t]+|(?:\xe3\x80\x80)+")
-_NEWLINE, _FULL = ord("\n"), np.frombuffer("。！？".encode(), np.uint8).reshape(3, 3)
-_CLAUSE_SIGNS, _COMMAS = np.frombuffer("，；、：".encode(), np.uint8).reshape(4, 3), list(b",;:|")
 _CLOSING = (b"\xe2\x80\x9d", b"\xef\xbc\x89", b'"', b")")
-
-
-_LEADS, _IS_COMMA = np.zeros(256, bool), np.zeros(256, bool)
-_LEADS[[0xE3, 0xEF]], _IS_COMMA[_COMMAS] = True, True
-
-
-def _behind_wide(raw: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """Places behind signs of three bytes."""
-    if len(raw) < 3:
-        return np.zeros(0, np.int64)
-    lead = np.flatnonzero(_LEADS[raw[:-2]])
-    value = raw[lead].astype(np.int32) << 16 | raw[lead + 1].astype(np.int32) << 8 | raw[lead + 2]
-    hit = np.zeros(len(lead), bool)
-    for a, b, c in signs.tolist():
-        hit |= value == (a << 16 | b << 8 | c)
-    return lead[hit] + 3
-
-
-def clause_ends(raw: np.ndarray) -> np.ndarray:
-    """Places behind commas and the like, ascending."""
-    return np.sort(np.concatenate((np.flatnonzero(_IS_COMMA[raw]) + 1, _behind_wide(raw, _CLAUSE_SIGNS))))
-
-
-def sentence_ends(data: bytes, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of sentences and the strength of the boundary behind each, by whole arrays of bytes.
-
-    Signs that follow each other at once are one boundary, behind the last: a line if there is a line end, a paragraph if there are several.
-    Closing quotes and brackets go with the sentence. An English full stop counts before a blank.
+#: Kinds of signs: a line end, an end of a sentence, a full stop that counts before a blank, a comma.
+_LINE, _END, _STOP, _COMMA, _LEAD = range(1, 6)
+_KIND = np.zeros(256, np.uint8)
+_KIND[list(b"\n")], _KIND[list(b"!?")], _KIND[list(b".")], _KIND[list(b",;:|")], _KIND[[0xE3, 0xEF]] = _LINE, _END, _STOP, _COMMA, _LEAD
+#: Kinds by the last two bytes of a sign that begins with E3 or EF.
+_WIDE = np.zeros((2, 1 << 16), np.uint8)
+for _chars, _kind in (("。！？", _END), ("，；、：", _COMMA)):
+    for _char in _chars:
+        _a, _b, _c = _char.encode()
+        _WIDE[int(_a == 0xEF), _b << 8 | _c] = _kind
+
+
+def boundaries(data: bytes, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ends of sentences, the strength of the boundary behind each, and places behind commas and the like.
+
+    Signs of an end that follow each other at once are one boundary, behind the last: a line if there is a line end, a paragraph if
+    there are several. Closing quotes and brackets go with the sentence. An English full stop counts before a blank.
     """
     n = len(raw)
-    line = np.flatnonzero(raw == _NEWLINE) + 1
-    stop = np.flatnonzero(raw[:-1] == 46)
-    stop = stop[(raw[stop + 1] == 32) | (raw[stop + 1] == _NEWLINE)] + 1
-    marks = np.flatnonzero((raw == 33) | (raw == 63)) + 1
-    wide = _behind_wide(raw, _FULL)
-    at = np.concatenate((line, stop, marks, wide))
-    order = np.argsort(at, kind="stable")
-    at, width = at[order], np.concatenate((np.ones(len(at) - len(wide), np.int64), np.full(len(wide), 3)))[order]
-    lines = np.concatenate((np.ones(len(line), np.int64), np.zeros(len(at) - len(line), np.int64)))[order]
+    at = np.flatnonzero(_KIND[raw])
+    kind = _KIND[raw[at]]
+    lead = np.flatnonzero(kind == _LEAD)
+    place = at[lead]
+    low, high = raw[np.minimum(place + 2, n - 1)], raw[np.minimum(place + 1, n - 1)].astype(np.int64)
+    kind[lead] = _WIDE[(raw[place] == 0xEF).view(np.uint8), high << 8 | low]
+    width = np.ones(len(at), np.int64)
+    width[lead] = 3
+    stop = np.flatnonzero(kind == _STOP)
+    behind = raw[np.minimum(at[stop] + 1, n - 1)]
+    kind[stop] = np.where((at[stop] + 1 < n) & ((behind == 32) | (behind == 10)), _END, 0)
+    at += width
+    commas = at[kind == _COMMA]
+    ends = (kind == _END) | (kind == _LINE)
+    at, width, lines = at[ends], width[ends], (kind[ends] == _LINE).astype(np.int64)
     if len(at):
-        begins = np.flatnonzero(np.concatenate(([True], at[1:] - width[1:] != at[:-1])))
+        new = np.ones(len(at), bool)
+        new[1:] = at[1:] - width[1:] != at[:-1]
+        begins = np.flatnonzero(new)
         lines = np.add.reduceat(lines, begins)
-        at = at[np.concatenate((begins[1:] - 1, [len(at) - 1]))]
+        at = at[np.append(begins[1:] - 1, len(at) - 1)]
         follows = raw[np.minimum(at, n - 1)]
         for k in np.flatnonzero((lines == 0) & (at < n) & ((follows == 0x22) | (follows == 0x29) | (follows == 0xE2) | (follows == 0xEF))).tolist():
             end = int(at[k])
             while sign := next((c for c in _CLOSING if data.startswith(c, end)), None):
                 end += len(sign)
             at[k] = min(end, int(at[k + 1])) if k + 1 < len(at) else end
-    strength = np.where(lines == 0, SENTENCE, np.where(lines == 1, LINE, PARAGRAPH))
+    strength = np.minimum(lines, 2) + SENTENCE
     if not len(at) or at[-1] < n:
         at, strength = np.append(at, n), np.append(strength, PARAGRAPH)
-    return at, strength
+    return at, strength, commas
+
+
+def _steps(places: np.ndarray) -> np.ndarray:
+    """What lies between each place and the one before, the first counted from 0."""
+    out = places.copy()
+    out[1:] -= places[:-1]
+    return out
 
 
 class Sized:
@@ -98,15 +100,16 @@ class Sized:
         self.data, self.ends, self.starts, self._lists = data, ends, np.concatenate(([0], ends[:-1])), None
         raw = np.frombuffer(data, np.uint8)
         self.places = np.concatenate(([0], ends[:-1][raw[ends[:-1]] & 0xC0 != 0x80], [len(data)]))
-        self.sentences = self.snapped(*sentence_ends(data, raw))
+        ends, strengths, commas = boundaries(data, raw)
+        self.sentences = self.snapped(ends, strengths)
         self.behind = self.last(self.sentences[0])
-        clauses = clause_ends(raw)
-        clauses = self.places[np.searchsorted(self.places, clauses)]
-        clauses = clauses[np.diff(clauses, prepend=-1) > 0]
-        #: Ends of clauses inside a sentence, and the sentence that each lies in.
-        within = np.searchsorted(self.sentences[0], clauses)
-        inside = clauses < self.sentences[0][within]
-        self.clauses, self.clause_of = clauses[inside], within[inside]
+        commas = self.places[np.searchsorted(self.places, commas)]
+        commas = commas[_steps(commas) > 0]
+        #: Ends of clauses inside a sentence, the sentence that each lies in, and the first token behind each.
+        within = np.searchsorted(self.sentences[0], commas)
+        inside = commas < self.sentences[0][within]
+        self.clauses, self.clause_of = commas[inside], within[inside]
+        self.clause_behind = self.last(self.clauses)
 
     def first(self, at) -> np.ndarray:
         """The first token with a byte at or behind each place."""
@@ -162,15 +165,21 @@ def atoms_of(text: Sized, most: int) -> tuple[list[int], list[int], list[int]]:
     """Ends and strengths of atoms of at most so many tokens, and the first token behind each."""
     ends, strengths = text.sentences
     behind = text.behind
-    large = np.diff(behind, prepend=0) > most
+    large = _steps(behind) > most
     if not large.any():
         return ends.tolist(), strengths.tolist(), behind.tolist()
-    inner = text.clauses[large[text.clause_of]]
-    both = np.concatenate((ends, inner))
-    order = np.argsort(both, kind="stable")
-    ends, strengths = both[order], np.concatenate((strengths, np.full(len(inner), CLAUSE)))[order]
-    behind = text.last(ends)
-    large = np.flatnonzero(np.diff(behind, prepend=0) > most)
+    chosen = large[text.clause_of]
+    inner = text.clauses[chosen]
+    # Both are sorted: a clause goes before its sentence's end, behind the clauses before it.
+    at = text.clause_of[chosen] + np.arange(len(inner))
+    mask = np.ones(len(ends) + len(inner), bool)
+    mask[at] = False
+    both, kinds, tokens = np.empty(len(mask), np.int64), np.full(len(mask), CLAUSE), np.empty(len(mask), np.int64)
+    both[at], both[mask] = inner, ends
+    kinds[mask] = strengths
+    tokens[at], tokens[mask] = text.clause_behind[chosen], behind
+    ends, strengths, behind = both, kinds, tokens
+    large = np.flatnonzero(_steps(behind) > most)
     if not len(large):
         return ends.tolist(), strengths.tolist(), behind.tolist()
     ends, strengths, out, kinds, before = ends.tolist(), strengths.tolist(), [], [], 0
