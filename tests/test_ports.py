@@ -4,20 +4,6 @@ from loamgrid.operators import ports
 from loamgrid.streaming import incremental
 
 
-class Short:
-    dim = 4
-
-    def embed(self, texts):
-        return [[0.0] * 4] * (len(texts) - 1)
-
-
-class Echo:
-    def answer(self, prompt):
-        if prompt == "bad":
-            raise ports.Refused("no")
-        return prompt.upper()
-
-
 def test_retries_wait_longer_and_stop_at_refusals():
     waits, left = [], [ValueError(), ValueError()]
 
@@ -40,6 +26,12 @@ def test_retries_wait_longer_and_stop_at_refusals():
 
 
 def test_each_text_is_embedded_once(spark):
+    class Short:
+        dim = 4
+
+        def embed(self, texts):
+            return [[0.0] * 4] * (len(texts) - 1)
+
     rows = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", " "), ("d", None), ("e", "y")], "k string, t string")
     made = {r.content: r.embedding for r in ports.embed(rows, "k", "t", ports.HashEmbedder(), batch=2).collect()}
     assert len(made) == 4 and sum(not any(v) for v in made.values()) == 2
@@ -50,6 +42,12 @@ def test_each_text_is_embedded_once(spark):
 
 
 def test_a_failed_answer_is_an_error_not_an_end(spark):
+    class Echo:
+        def answer(self, prompt):
+            if prompt == "bad":
+                raise ports.Refused("no")
+            return prompt.upper()
+
     rows = spark.createDataFrame([(1, "q"), (2, "bad"), (3, ""), (4, None)], "k int, p string")
     got = {r.key: (r.answer, r.error) for r in ports.answers(rows, "k", "p", Echo()).collect()}
     assert got == {"1": ("Q", None), "2": (None, "no"), "3": (None, "empty answer"), "4": (None, "empty answer")}
