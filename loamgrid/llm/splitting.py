@@ -283,7 +283,9 @@ def add_pieces(out: tuple[list, ...], key, value: str, profiles: list[tuple[str,
             found = [data[a:c] for a, c in zip(begins, stops, strict=True)]
             for k, part in enumerate(found):
                 # A single blank at the end is the token that it was; only a run of them is tokenized again.
-                if part.endswith(_WHITE) and stops[k] < len(data) and len(blank := _trailing(part)) > 1:
+                if not part.endswith(_WHITE) or (part[-1] < 0x80 and not part.endswith(_WHITE, 0, len(part) - 1)):
+                    continue
+                if stops[k] < len(data) and len(blank := _trailing(part)) > 1:
                     place = stops[k] - len(blank.encode())
                     sizes[k] += len(token_sizes(blank, path)) - int(text.last(stops[k]) - text.first(place))
         n = len(found)
