@@ -208,20 +208,20 @@ def merged(strengths: list[int], high: list[int], first: int, rest: int) -> list
     high = high.copy()
     # A pair is one number: strength of its boundary, then merged size, then place of its left atom. A number that no longer
     # agrees with the atoms is one of a pair that has changed.
-    wide, long = 1 << 56, 1 << 28
+    low_bits = (1 << 28) - 1
     behind = np.array(high)
     sizes = behind[1:] - np.concatenate(([0], behind[:-2]))
     most = np.full(n - 1, rest)
     most[0] = first
     fits = np.flatnonzero(sizes <= most)
-    heap = ((np.array(strengths[:-1])[fits] << 56) + sizes[fits] * long + fits).tolist()
+    heap = ((np.array(strengths[:-1])[fits] << 56) + (sizes[fits] << 28) + fits).tolist()
     heapq.heapify(heap)
     pop, push = heapq.heappop, heapq.heappush
     while heap:
         key = pop(heap)
-        i = key % long
+        i = key & low_bits
         j = right[i]
-        if last[i] < 0 or j >= n or strengths[i] != key // wide or high[j] - low[i] != key // long % long:
+        if last[i] < 0 or j >= n or strengths[i] != key >> 56 or high[j] - low[i] != key >> 28 & low_bits:
             continue
         last[i], last[j], high[i] = last[j], -1, high[j]
         kind = strengths[i] = strengths[j]
@@ -230,12 +230,12 @@ def merged(strengths: list[int], high: list[int], first: int, rest: int) -> list
             left[k] = i
             size = high[k] - low[i]
             if size <= (rest if i else first):
-                push(heap, kind * wide + size * long + i)
+                push(heap, kind << 56 | size << 28 | i)
         h = left[i]
         if h >= 0:
             size = high[i] - low[h]
             if size <= (rest if h else first):
-                push(heap, strengths[h] * wide + size * long + h)
+                push(heap, strengths[h] << 56 | size << 28 | h)
     return [x for x in last if x >= 0]
 
 
