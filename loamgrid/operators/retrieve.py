@@ -35,6 +35,11 @@ def sized_tokens(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(F.col(key).alias("id"), words(F.col(text)).alias("tokens")).withColumn("dl", F.size("tokens"))
 
 
+def _exploded(tokens: DataFrame) -> DataFrame:
+    """id, dl and term. The outer form keeps the optimiser from tokenizing twice to drop rows without words first."""
+    return tokens.select("id", "dl", F.explode_outer("tokens").alias("term")).where("term is not null")
+
+
 def corpus_stats(tokens: DataFrame) -> DataFrame:
     return tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
@@ -42,7 +47,7 @@ def corpus_stats(tokens: DataFrame) -> DataFrame:
 def build_index(rows: DataFrame, key: str, text: str) -> Index:
     """The whole index, to be written as three tables."""
     tokens = sized_tokens(rows, key, text)
-    postings = tokens.select("id", "dl", F.explode("tokens").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    postings = _exploded(tokens).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     stats = corpus_stats(tokens)
     vocabulary = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats))  # one row
     return Index(postings, vocabulary.select("term", "df", _idf(F.col("n"), F.col("df")).alias("idf")), stats)
@@ -63,7 +68,7 @@ def bm25_topk(queries: DataFrame, rows: DataFrame, key: str, text: str, k: int |
     asked = queries.select("qid", F.explode(F.array_distinct(words(F.col("q")))).alias("term"))
     tokens = sized_tokens(rows, key, text)
     wanted = asked.select("term").distinct()
-    hits = tokens.select("id", "dl", F.explode("tokens").alias("term")).join(wanted, "term").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    hits = _exploded(tokens).join(wanted, "term").groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
     known = asked.join(frequency, "term").join(F.broadcast(corpus_stats(tokens)))  # one row
     known = known.select("qid", "term", "avgdl", _idf(F.col("n"), F.col("df")).alias("idf"))

@@ -292,7 +292,7 @@ def _cell_reader(known: Metrics):
             values.append(value)
         return pa.StructArray.from_arrays([pa.array(ids, pa.int32()), pa.array(values, pa.int64())], names=["metric_id", "value_base"])
 
-    return read
+    return read.asNondeterministic()  # so that a filter on its result doesn't run it a second time
 
 
 def _levels(rows: DataFrame, level: Column) -> DataFrame:
@@ -366,7 +366,7 @@ def _part_reader(known: Metrics):
         kind = pa.list_(pa.struct([("metric_id", pa.int32()), ("value_base", pa.int64())]))
         return pa.array([[{"metric_id": m, "value_base": v} for m, v in levels(x)] for x in parts.to_pylist()], kind)
 
-    return read
+    return read.asNondeterministic()  # so that a filter on its result doesn't run it a second time
 
 
 def text_levels(chunks: DataFrame, known: Metrics, key: str = "chunk_id", text: str = "text") -> DataFrame:

@@ -52,6 +52,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """Rows of a small table in few files over all cores, before heavy work on each row; a large table stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fresh(df: DataFrame, key: str) -> DataFrame:
     """One row for each key: rows delivered again are the same row. Which of unequal copies stays is left open."""
     return df.dropDuplicates([key])
