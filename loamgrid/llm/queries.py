@@ -6,14 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamgrid.llm import canon, leakage, mixing, pairs, repeated_lines, splitting
-from loamgrid.session import table
+from loamgrid.session import spread_out, table
+
+
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return spread_out(table(spark, folder, "documents").select("doc_id", "source", "text"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of one table whose texts differ but read the same."""
     out = []
     for name, key in (("documents", "doc_id"), ("chunks", "chunk_id")):
-        rows = table(spark, folder, name).select(F.col(key).cast("string").alias("key"), "text")
+        rows = spread_out(table(spark, folder, name).select(F.col(key).cast("string").alias("key"), "text"))
         out.append(canon.lookalike_pairs(rows).select(F.lit(name).alias("tbl"), "key_a", "key_b"))
     return out[0].unionByName(out[1])
 
@@ -22,7 +26,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Running lines of documents by source and of page records by company."""
     out = []
     for name, key, group in (("documents", "doc_id", "source"), ("page_records", "page_id", "code")):
-        found = repeated_lines.lines_to_remove(table(spark, folder, name).select(key, group, "text"), key, group, "text")
+        found = repeated_lines.lines_to_remove(spread_out(table(spark, folder, name).select(key, group, "text")), key, group, "text")
         out.append(found.select(F.lit(name).alias("tbl"), "row_id", "line_no"))
     return out[0].unionByName(out[1])
 
@@ -39,17 +43,17 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with passages of held-out items."""
-    return leakage.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return leakage.leaked(_documents(spark, folder), table(spark, folder, "eval_items"))
 
 
 def p6_proximity(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with passages of held-out items that were cut or lightly changed."""
-    return leakage.proximity(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    return leakage.proximity(_documents(spark, folder), table(spark, folder, "eval_items"))
 
 
 def p7_selection(spark: SparkSession, folder: str) -> DataFrame:
     """Records chosen for the mix with their repeats."""
-    return mixing.mix(spark, table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+    return mixing.mix(spark, _documents(spark, folder), table(spark, folder, "mix_targets"))
 
 
 def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,7 +63,7 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents under each profile of limits."""
-    return splitting.split_texts(table(spark, folder, "documents"), table(spark, folder, "size_limits"))
+    return splitting.split_texts(_documents(spark, folder), table(spark, folder, "size_limits"))
 
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_cleaned": p3_cleaned, "p5_found": p5_found, "p6_found": p6_found, "p6_proximity": p6_proximity, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_pieces": p8_pieces}

@@ -95,4 +95,4 @@ def token_count(text: Column, path: str = TOKENIZER) -> Column:
     def count(texts: pa.Array) -> pa.Array:
         return pa.array([len(token_sizes(x, path)) if x else 0 for x in texts.to_pylist()], pa.int32())
 
-    return count(text)
+    return count.asNondeterministic()(text)  # so that a filter on it doesn't count a second time
