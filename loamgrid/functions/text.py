@@ -29,10 +29,10 @@ def clean_lines(text: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: (x != "") & ~x.rlike("^(" + "|".join(NOISE) + ")")), "\n")
 
 
-def words(text: Column) -> Column:
+def words(text: Column, stop: tuple[str, ...] = ()) -> Column:
     """Words of letters or digits as they stand; a run of Chinese characters gives its overlapping pairs.
 
-    One letter alone is no word, one digit is. Repeated words are kept.
+    One letter alone is no word, one digit is. Repeated words are kept; those of `stop` are left out.
     """
     runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\p{IsHan}+|[A-Za-z0-9]+)"), F.lit(1))
     pairs = F.transform(
@@ -41,7 +41,8 @@ def words(text: Column) -> Column:
             F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: r.substr(i, F.lit(2)))
         ),
     )
-    return F.filter(F.flatten(pairs), lambda w: (F.length(w) > 1) | w.rlike("^[0-9]$"))
+    kept = F.filter(F.flatten(pairs), lambda w: (F.length(w) > 1) | w.rlike("^[0-9]$"))
+    return F.filter(kept, lambda w: ~w.isin(*stop)) if stop else kept
 
 
 def citations(answer: Column) -> Column:

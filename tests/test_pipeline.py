@@ -19,6 +19,7 @@ def test_sentences_and_words(spark):
     assert one(spark, "", sentences) == []
     assert one(spark, "营收 up5 A 7。", words) == ["营收", "up5", "7"]
     assert one(spark, "一二三", words) == ["一二", "二三"]
+    assert one(spark, "the sum of 3", lambda c: words(c, ("the", "of"))) == ["sum", "3"]
     assert one(spark, "a[1] b[9] c[1][2]", citations) == [1, 2, 9]
 
 
