@@ -1,12 +1,14 @@
 """Mixing sources to target weights: a min-cost flow from patterns of membership to the quotas of sources.
 
-Records with one text, once in one form, are one text that several sources hold. Texts are added up by the set of sources that
-hold them, their pattern: few rows, whatever the corpus. A flow routes the tokens of patterns to the quotas; each further use of
-a text costs more than the one before, so that small sources repeat only as often as they must, and evenly. Texts of a pattern
-then lie on a circle in a seeded order, and each source takes an arc as long as its flow: a text is used as often as arcs hold all of
-it. What texts at the ends of arcs leave open is filled in further rounds by texts that fit.
+Records with one text, once in one form, are one text that several sources hold, a source perhaps by several records. Records are
+added up by the set of sources that hold their text, its pattern: few rows, whatever the corpus. A flow routes the tokens of patterns
+to the quotas; each record of a source can be used, as often as the source may repeat. Each further use of
+a text costs more than the one before, so that small sources repeat only as often as they must, and evenly. For each source, the records of
+a pattern lie on a circle in a seeded order, further copies of a text behind the first ones, and the source takes an arc as long as
+its flow: a record is used as often as the arc holds all of it. What records at the ends of arcs leave open is filled in further rounds
+by records that fit.
 
-Where each text lies is a running sum over hash buckets, first of the buckets and then within each, so that no task holds a source.
+Where each record lies is a running sum over hash buckets, first of the buckets and then within each, so that no task holds a source.
 
 Defined results: records without a source, of a source without a target or without tokens aren't chosen; a record delivered again
 counts once; a source without records gets a share of 0 and the others keep their proportions; repeats of a source are at least 1
@@ -77,15 +79,20 @@ class _Network:
 
 @dataclass(frozen=True)
 class Plan:
-    """total: tokens of the whole mix; quotas by source; arcs: (pattern, source) and where its arc on the circle begins and ends."""
+    """total: tokens of the whole mix; quotas by source; arcs: (pattern, source) and where its arc on the source's circle begins and ends."""
 
     total: int
     quotas: dict[str, int]
     arcs: list[tuple[int, str, int, int]]
 
 
-def route(patterns: list[tuple[tuple[str, ...], int]], targets: dict[str, tuple[float, int]], total: int | None = None) -> Plan:
-    """Routes the tokens of patterns to sources. Without a total, the largest at which all sources with records keep their share."""
+def route(patterns: list[tuple[tuple[str, ...], int]], targets: dict[str, tuple[float, int]], total: int | None = None, records: list[dict[str, int]] | None = None) -> Plan:
+    """Routes the tokens of patterns to sources. Without a total, the largest at which all sources with records keep their share.
+
+    patterns has the tokens of each text once, records the tokens of all records by source: the same where no source has copies.
+    """
+    records = records or [dict.fromkeys(sources, tokens) for sources, tokens in patterns]
+    rounds = [max(x.values()) for x in records]
     held = {s for sources, _ in patterns for s in sources}
     wanted = {s: (share, repeats) for s, (share, repeats) in targets.items() if s in held and share > 0}
     names = sorted(wanted)
@@ -98,8 +105,10 @@ def route(patterns: list[tuple[tuple[str, ...], int]], targets: dict[str, tuple[
         for k, (sources, tokens) in enumerate(patterns):
             mine = [s for s in sources if s in wanted]
             for again in range(sum(wanted[s][1] for s in mine)):
-                net.arc(0, 2 + k, tokens, again)
-            used += [(k, s, net.arc(2 + k, at[s], tokens * wanted[s][1])) for s in mine]
+                net.arc(0, 2 + k, rounds[k] if again else tokens, again)
+                if not again and rounds[k] > tokens:  # a copy's first use is a further use of its text
+                    net.arc(0, 2 + k, rounds[k] - tokens, 1)
+            used += [(k, s, net.arc(2 + k, at[s], records[k][s] * wanted[s][1])) for s in mine]
         for s in names:
             net.arc(at[s], 1, quotas[s])
         sent = net.run(0, 1)
@@ -107,7 +116,7 @@ def route(patterns: list[tuple[tuple[str, ...], int]], targets: dict[str, tuple[
 
     if total is None:
         # No source can give more than all it holds as often as it may; between that and nothing the largest full flow is found.
-        most = {s: sum(t for sources, t in patterns if s in sources) * wanted[s][1] / wanted[s][0] for s in names}
+        most = {s: sum(x.get(s, 0) for x in records) * wanted[s][1] / wanted[s][0] for s in names}
         low, high = 0, int(min(most.values(), default=0))
         while low < high:
             middle = (low + high + 1) // 2
@@ -120,8 +129,10 @@ def route(patterns: list[tuple[tuple[str, ...], int]], targets: dict[str, tuple[
         total = low
     arcs, ends = [], [0] * len(patterns)
     for k, s, size in flow(total)[1]:
-        arcs.append((k, s, ends[k], ends[k] + size))
-        ends[k] += size
+        # Ends are told on the longest circle of the pattern and brought to the length of the source's own.
+        begins = ends[k] * records[k][s] // rounds[k]
+        arcs.append((k, s, begins, begins + size))
+        ends[k] += -(-size * rounds[k] // records[k][s])
     return Plan(total, {s: round(total * wanted[s][0]) for s in names}, arcs)
 
 
@@ -149,22 +160,25 @@ def with_start(df: DataFrame, groups: list[str], place: str, size: str, ties: li
 
 def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, seed: int = 1, total: int | None = None, path: str = TOKENIZER) -> DataFrame:
     """doc_id, source, n_tokens and repeats of the chosen records."""
-    rows = sized_records(documents, targets, path)
-    # One record for each text and source, then one row for each text with the sources that hold it.
-    held = rows.groupBy("h1", "h2", "source").agg(F.min(F.struct("doc_id", "n_tokens")).alias("x"))
-    texts = held.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("source", "x.doc_id", "x.n_tokens"))).alias("records"))
-    size = F.element_at("records", 1)["n_tokens"].cast("bigint")
-    texts = texts.select("h1", "h2", "records", F.transform("records", lambda r: r["source"]).alias("pattern"), size.alias("size"))
-    texts = durable(texts.withColumn("place", F.xxhash64(F.lit(seed), "h1", "h2")))
-    sums = small(texts.groupBy("pattern").agg(F.sum("size").alias("tokens")), PATTERNS, "patterns of membership")
-    patterns = sorted((tuple(r.pattern), r.tokens) for r in sums)
+    rows = durable(sized_records(documents, targets, path).withColumn("n_tokens", F.col("n_tokens").cast("bigint")))
+    # One row for each text with the sources that hold it and the first record of each; all others are copies.
+    held = rows.groupBy("h1", "h2", "source").agg(F.min("doc_id").alias("doc_id"))
+    texts = held.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("source")).alias("pattern"), F.collect_list("doc_id").alias("firsts"))
+    rows = rows.join(texts, ["h1", "h2"]).withColumn("copy", ~F.array_contains("firsts", F.col("doc_id")))
+    # Copies have the first bit, so that they lie behind; their place is by doc_id, as a text may have any number of them.
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "h1", "h2"), 1)
+    behind = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "h1", "h2", "doc_id"), 1).bitwiseOR(F.lit(-(1 << 63)).cast("bigint"))
+    rows = durable(rows.select("doc_id", "source", "n_tokens", "pattern", "copy", F.when(F.col("copy"), behind).otherwise(place).alias("place")))
+    sums = rows.groupBy("pattern", "source").agg(F.sum("n_tokens").alias("tokens"), F.sum(F.when(~F.col("copy"), F.col("n_tokens"))).alias("once"))
+    sums = sums.groupBy("pattern").agg(F.max("once").alias("once"), F.collect_list(F.struct("source", "tokens")).alias("records"))
+    sums = sorted((tuple(r.pattern), r.once, {x.source: x.tokens for x in r.records}) for r in small(sums, PATTERNS, "patterns of membership"))
+    patterns, records = [(p, once) for p, once, _ in sums], [x for *_, x in sums]
     wanted = {r.source: (r.target_share or 0.0, max(r.max_repeats or 1, 1)) for r in small(targets.select("source", "target_share", "max_repeats"), 100_000, "targets")}
-    plan = route(patterns, wanted, total)
-    arcs = [(list(patterns[k][0]), s, a, b, patterns[k][1]) for k, s, a, b in plan.arcs]
+    plan = route(patterns, wanted, total, records)
+    arcs = [(list(patterns[k][0]), s, a, b, records[k][s]) for k, s, a, b in plan.arcs]
     arcs = spark.createDataFrame(arcs, "pattern array<string>, source string, begins bigint, ends bigint, round bigint")
     quotas = spark.createDataFrame([(s, n, wanted[s][1]) for s, n in plan.quotas.items()], "source string, quota bigint, most int")
-    lain = with_start(texts, ["pattern"], "place", "size", ["h1", "h2"])
-    lain = lain.select("pattern", "start", F.explode("records").alias("r")).select("pattern", "start", "r.source", "r.doc_id", F.col("r.n_tokens").cast("bigint").alias("n_tokens"))
+    lain = with_start(rows, ["pattern", "source"], "place", "n_tokens", ["doc_id"])
     lain = lain.join(arcs, ["pattern", "source"], "left").join(quotas, "source")
     turns = F.floor((F.col("ends") - F.col("start") - F.col("n_tokens")) / F.col("round")) - F.ceil((F.col("begins") - F.col("start")) / F.col("round")) + 1
     chosen = durable(lain.select("doc_id", "source", "n_tokens", "quota", "most", F.greatest(F.coalesce(turns, F.lit(0)), F.lit(0)).cast("int").alias("repeats")))

@@ -89,6 +89,31 @@ def test_mix_reaches_shares_and_keeps_caps(spark):
     assert mixing.mix(spark, docs.limit(0), targets).count() == 0
 
 
+def test_each_record_of_a_repeated_text_counts(spark):
+    # Source a is three records of one text, two of another and a near copy in other characters; b repeats a text of a.
+    rows = [(k, "甲文本，写了一些字。", "a", 1) for k in (1, 2, 3)] + [(4, "乙文本", "a", 1), (5, "乙文本", "a", 1), (6, "乙\u200b文本", "a", 1)]
+    rows += [(7, "乙文本", "b", 1), (8, "丙" * 40, "b", 1), rows[0]]
+    targets = spark.createDataFrame([("a", 1.0, 2)], TARGETS)
+    got = {r.doc_id: r.repeats for r in mixing.mix(spark, spark.createDataFrame(rows, DOCS), targets).collect()}
+    assert got == dict.fromkeys(range(1, 7), 2)
+    # The routed repeats are spread over the records: none is used again before all are used.
+    whole = sum(r.n_tokens for r in mixing.mix(spark, spark.createDataFrame(rows[:3], DOCS), targets).collect())
+    got = {r.doc_id: r.repeats for r in mixing.mix(spark, spark.createDataFrame(rows[:3], DOCS), targets, total=whole * 4 // 3).collect()}
+    assert sorted(got.values()) == [1, 1, 2] and set(got) == {1, 2, 3}
+    # Copies wait until each text is used once.
+    once = mixing.mix(spark, spark.createDataFrame(rows[:5], DOCS), targets, total=whole * 2 // 3)
+    assert {1, 4} <= {r.doc_id for r in once.collect()}
+
+
+def test_copies_count_in_the_flow():
+    # A has 100 tokens of texts in 300 tokens of records: the mix needn't shrink to one record for each text.
+    plan = mixing.route([(("a",), 100), (("b",), 300)], {"a": (0.5, 1), "b": (0.5, 1)}, None, [{"a": 300}, {"b": 300}])
+    assert plan.total > 590 and {(k, s): y - x for k, s, x, y in plan.arcs}[0, "a"] > 295
+    # Copies of a are used only when the texts that a shares with b are.
+    plan = mixing.route([(("a",), 100), (("a", "b"), 100)], {"a": (1.0, 1), "b": (0.0, 1)}, 200, [{"a": 300}, {"a": 100, "b": 100}])
+    assert {(k, s): y - x for k, s, x, y in plan.arcs} == {(0, "a"): 100, (1, "a"): 100}
+
+
 def test_sizes_are_those_of_the_tokenizer():
     from loamgrid.llm.tokens import token_sizes
 
