@@ -132,10 +132,23 @@ def leaked(documents: DataFrame, items: DataFrame, run: int = 40) -> DataFrame:
 
 
 def proximity(documents: DataFrame, items: DataFrame, piece: int = 20, near: int = 12, whole: int = 40) -> DataFrame:
-    """doc_id, item_id and letters of passages kept in pieces: runs of at least `piece`, each at most `near` from the last."""
+    """doc_id, item_id and letters of passages kept in pieces: runs of at least `piece`, each at most `near` from the last.
+
+    Runs are parted by steps of the offset first, so that copies of a passage in one document don't break each other's chains,
+    then by gaps in the item. Both are done again within the parts, as a run of another part may have bridged a step. A
+    letter of the item counts once in a chain.
+    """
     runs = shared_runs(documents, items, piece)
-    order = Window.partitionBy("doc_id", "item_id").orderBy("first", "last", "offset")
-    gap = (F.col("first") - F.lag("last").over(order) > near) | (F.abs(F.col("offset") - F.lag("offset").over(order)) > near)
-    runs = runs.withColumn("chain", F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(order))
-    sums = runs.groupBy("doc_id", "item_id", "chain").agg(F.sum(F.col("last") - F.col("first") + 1).cast("int").alias("letters"), F.count("*").alias("pieces"))
+    parts = ["doc_id", "item_id"]
+    for again in ("1", "2"):
+        moved = Window.partitionBy(*parts).orderBy("offset")
+        step = F.coalesce(F.col("offset") - F.lag("offset").over(moved) > near, F.lit(True))
+        runs = runs.withColumn("step", step.cast("int")).withColumn("side" + again, F.sum("step").over(moved))
+        order = Window.partitionBy(*parts, "side" + again).orderBy("first", "last", "offset")
+        runs = runs.withColumn("reached", F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+        gap = F.coalesce(F.col("first") - F.col("reached") > near, F.lit(True))
+        runs = runs.withColumn("gap", gap.cast("int")).withColumn("chain" + again, F.sum("gap").over(order))
+        parts += ["side" + again, "chain" + again]
+    new = F.greatest(F.col("last") - F.greatest(F.col("first") - 1, F.coalesce("reached", F.lit(-1))), F.lit(0))
+    sums = runs.groupBy(*parts).agg(F.sum(new).cast("int").alias("letters"), F.count("*").alias("pieces"))
     return sums.where(F.col("letters") >= whole).groupBy("doc_id", "item_id").agg(F.max("letters").alias("letters"), F.max("pieces").alias("pieces"))

@@ -54,6 +54,24 @@ def test_pieces_close_to_each_other(spark):
     assert [(r.doc_id, r.letters, r.pieces) for r in leakage.proximity(a, b).collect()] == [(1, 50, 2)]
 
 
+def test_pieces_of_copies_do_not_break_each_other(spark):
+    item = "".join(chr(0x4E00 + j * 7) for j in range(80))
+    cut = item[:25] + "插入词语字" + item[30:55]
+    docs = [(1, cut), (2, cut + "乙" * 300 + cut), (3, cut + "乙" * 90 + item[10:30] + "丙" * 90), (4, (cut + "丁" * 50) * 5)]
+    # Pieces far from each other in the document, and two copies of one short piece, are no passage.
+    docs += [(5, item[:25] + "戊" * 60 + item[25:50]), (6, item[:25] + "己" * 60 + item[:25])]
+    a, b = frames(spark, docs, [(1, item)])
+    assert leakage.leaked(a, b).count() == 0
+    assert sorted((r.doc_id, r.letters, r.pieces) for r in leakage.proximity(a, b).collect()) == [(k, 50, 2) for k in (1, 2, 3, 4)]
+
+
+def test_overlapping_runs_count_letters_once(spark):
+    # A period of three makes runs at several offsets; together they cover 28 letters of the item.
+    item = "甲乙丙" * 9 + "丁" + "".join(chr(0x4E00 + j * 7) for j in range(60))
+    a, b = frames(spark, [(1, "甲乙丙" * 9 + "丁")], [(1, item)])
+    assert leakage.proximity(a, b).count() == 0
+
+
 def test_empty_tables(spark):
     a, b = frames(spark, [(1, "x" * 90)], [(1, "x" * 90)])
     assert leakage.leaked(a.limit(0), b).count() == leakage.leaked(a, b.limit(0)).count() == 0
