@@ -27,8 +27,6 @@ SHINGLE, ALIKE, HASHES, BAND = 5, 0.8, 48, 3
 PROMPTS = 2
 #: Share of an opening's pairs of words that must be those of revealed refusals, for a wording too rare to recur.
 FAMILIAR = 0.5
-#: Words of an opening that are compared; a refusal says so at once.
-OPENING = 40
 
 _MARKS = r"\[\s*\d+(?:\s*[,-]\s*\d+)*\s*\]"
 _QUOTED = r"“[^”]*”|\"[^\"]*\"|「[^」]*」|『[^』]*』|《[^》]*》|‘[^’]*’"
@@ -63,7 +61,7 @@ def opening_of(answer: Column) -> Column:
 
 def shingles(text: Column) -> Column:
     """Distinct runs of five words; a shorter text is one run. A Chinese or Japanese character is a word."""
-    words = F.slice(F.regexp_extract_all(text, F.lit(f"({_WORD})"), F.lit(1)), 1, OPENING)
+    words = F.regexp_extract_all(text, F.lit(f"({_WORD})"), F.lit(1))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - SHINGLE + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, SHINGLE), " "))
     return F.array_distinct(runs)
 
@@ -125,7 +123,7 @@ def opening_classes(pairs: DataFrame) -> DataFrame:
 
 
 def _pairs_of_words(text: Column) -> Column:
-    words = F.slice(F.regexp_extract_all(text, F.lit(f"({_WORD})"), F.lit(1)), 1, OPENING)
+    words = F.regexp_extract_all(text, F.lit(f"({_WORD})"), F.lit(1))
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, 2), " ")))
 
 

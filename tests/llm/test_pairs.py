@@ -68,3 +68,12 @@ def test_links_and_classes_equal_brute_force(spark):
 
 def test_empty_table(spark):
     assert found(spark, []) == {}
+
+
+def test_openings_are_compared_to_their_end(spark):
+    same = "".join(chr(0x4E00 + 7 * k) for k in range(45))
+    one, two = same + "材料没有提到这个指标所以无法回答", same + "".join(chr(0x6E00 + 5 * k) for k in range(40))
+    row = spark.createDataFrame([(one, two)], "a string, b string").select(
+        pairs.jaccard(pairs.shingles(F.col("a")), pairs.shingles(F.col("b"))).alias("alike"), pairs._pairs_of_words(F.col("a")).alias("words")
+    ).first()
+    assert row.alike < pairs.ALIKE and "回 答" in row.words
