@@ -1,9 +1,13 @@
 """Splitting oversized texts at natural boundaries: agglomerative merging of atomic segments.
 
-A text is tokenized once; every span is then sized by its tokens. Atoms are sentences; one that is too large is cut at clauses, then
-at blanks, and only then between two characters. Adjacent atoms are held in a heap and the weakest boundary is merged first (a
-clause before a sentence before a line before a paragraph, smaller results first) while the merged size plus the overlap fits. Each piece
-but the first begins with the last tokens of the text before it.
+A block of texts is tokenized once; every span is then sized by its tokens. Atoms are sentences; one that is too large is cut at clauses,
+then at blanks, and only then between two characters. The weakest boundaries between adjacent atoms are merged first (a clause before
+a sentence before a line before a paragraph, smaller results first) while the merged size plus the overlap fits. Each piece but the first
+begins with the last tokens of the text before it.
+
+A pair that doesn't fit never will, so strengths are taken one after the other. Neighbours at boundaries of one strength that fit all together
+become one piece whatever the order; those that don't are held in a heap of adjacent pairs. Only a text's first piece, which has no overlap,
+may later take up a neighbour that didn't fit before. Places are told in tokens of the block.
 
 Pieces begin and end between tokens of the whole text, so by themselves they have those very tokens: pairs that were merged inside a
 piece don't depend on what stands outside, and the tokenizer cuts a text without looking back. Only white space at
@@ -18,8 +22,6 @@ stays whole.
 from __future__ import annotations
 
 import heapq
-import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.llm.tokens import TOKENIZER, token_ends, token_sizes
+from loamgrid.llm.canon import blocks
+from loamgrid.llm.tokens import TOKENIZER, Tokenized, tokenized, tokens_in
 from loamgrid.session import small
 
-#: Strength of boundaries.
-HARD, BLANK, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
-_BLANKS = re.compile(rb"[ \t]+|(?:\xe3\x80\x80)+")
+#: Strength of boundaries; nothing is merged over the end of a text.
+HARD, BLANK, CLAUSE, SENTENCE, LINE, PARAGRAPH, EDGE = range(7)
 _CLOSING = (b"\xe2\x80\x9d", b"\xef\xbc\x89", b'"', b")")
 #: Kinds of signs: a line end, an end of a sentence, a full stop that counts before a blank, a comma.
 _LINE, _END, _STOP, _COMMA, _LEAD = range(1, 6)
@@ -46,8 +48,8 @@ for _chars, _kind in (("。！？", _END), ("，；、：", _COMMA)):
         _WIDE[int(_a == 0xEF), _b << 8 | _c] = _kind
 
 
-def boundaries(data: bytes, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ends of sentences, the strength of the boundary behind each, and places behind commas and the like.
+def boundaries(data: bytes, raw: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes behind sentences, the strength of each boundary, and bytes behind commas and the like. edge says where texts begin and end.
 
     Signs of an end that follow each other at once are one boundary, behind the last: a line if there is a line end, a paragraph if
     there are several. Closing quotes and brackets go with the sentence. An English full stop counts before a blank.
@@ -63,264 +65,221 @@ def boundaries(data: bytes, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     width[lead] = 3
     stop = np.flatnonzero(kind == _STOP)
     behind = raw[np.minimum(at[stop] + 1, n - 1)]
-    kind[stop] = np.where((at[stop] + 1 < n) & ((behind == 32) | (behind == 10)), _END, 0)
+    kind[stop] = np.where(~edge[at[stop] + 1] & ((behind == 32) | (behind == 10)), _END, 0)
     at += width
     commas = at[kind == _COMMA]
     ends = (kind == _END) | (kind == _LINE)
     at, width, lines = at[ends], width[ends], (kind[ends] == _LINE).astype(np.int64)
     if len(at):
         new = np.ones(len(at), bool)
-        new[1:] = at[1:] - width[1:] != at[:-1]
+        new[1:] = (at[1:] - width[1:] != at[:-1]) | edge[at[:-1]]
         begins = np.flatnonzero(new)
         lines = np.add.reduceat(lines, begins)
         at = at[np.append(begins[1:] - 1, len(at) - 1)]
         follows = raw[np.minimum(at, n - 1)]
-        for k in np.flatnonzero((lines == 0) & (at < n) & ((follows == 0x22) | (follows == 0x29) | (follows == 0xE2) | (follows == 0xEF))).tolist():
+        quoted = (follows == 0x22) | (follows == 0x29) | (follows == 0xE2) | (follows == 0xEF)
+        for k in np.flatnonzero((lines == 0) & ~edge[at] & quoted).tolist():
             end = int(at[k])
-            while sign := next((c for c in _CLOSING if data.startswith(c, end)), None):
+            while not edge[end] and (sign := next((c for c in _CLOSING if data.startswith(c, end)), None)):
                 end += len(sign)
             at[k] = min(end, int(at[k + 1])) if k + 1 < len(at) else end
-    strength = np.minimum(lines, 2) + SENTENCE
-    if not len(at) or at[-1] < n:
-        at, strength = np.append(at, n), np.append(strength, PARAGRAPH)
-    return at, strength, commas
-
-
-def _steps(places: np.ndarray) -> np.ndarray:
-    """What lies between each place and the one before, the first counted from 0."""
-    out = places.copy()
-    out[1:] -= places[:-1]
-    return out
+    return at, np.minimum(lines, 2) + SENTENCE, commas
 
 
-class Sized:
-    """A tokenized text. Its places are the ends of tokens that are ends of characters, too; pieces begin and end there."""
+class Places:
+    """Where a block of texts may be cut, counted in tokens from the start of the block."""
 
-    def __init__(self, data: bytes, ends: np.ndarray):
-        self.data, self.ends, self.starts, self._lists = data, ends, np.concatenate(([0], ends[:-1])), None
+    def __init__(self, block: Tokenized):
+        self.block = block
+        data, bounds, n = block.data, block.bounds, len(block.data)
         raw = np.frombuffer(data, np.uint8)
-        self.places = np.concatenate(([0], ends[:-1][raw[ends[:-1]] & 0xC0 != 0x80], [len(data)]))
-        ends, strengths, commas = boundaries(data, raw)
-        self.sentences = self.snapped(ends, strengths)
-        self.behind = self.last(self.sentences[0])
-        commas = self.places[np.searchsorted(self.places, commas)]
-        commas = commas[_steps(commas) > 0]
-        #: Ends of clauses inside a sentence, the sentence that each lies in, and the first token behind each.
-        within = np.searchsorted(self.sentences[0], commas)
-        inside = commas < self.sentences[0][within]
-        self.clauses, self.clause_of = commas[inside], within[inside]
-        self.clause_behind = self.last(self.clauses)
-
-    def first(self, at) -> np.ndarray:
-        """The first token with a byte at or behind each place."""
-        return np.searchsorted(self.ends, at, "right")
-
-    def last(self, at) -> np.ndarray:
-        """The first token with no byte before each place."""
-        return np.searchsorted(self.starts, at)
-
-    def snapped(self, ends: np.ndarray, strengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Boundaries moved behind the token they lie in; of those that fall together the last counts."""
-        ends = self.places[np.searchsorted(self.places, ends)]
-        keep = np.ones(len(ends), bool)
-        keep[:-1] = ends[1:] > ends[:-1]
-        return ends[keep], strengths[keep]
-
-    def listed(self) -> tuple[list[int], list[int], list[int]]:
-        """places, ends and starts as lists, which are faster to search for single values."""
-        if self._lists is None:
-            self._lists = self.places.tolist(), self.ends.tolist(), self.starts.tolist()
-        return self._lists
-
-
-def _small_enough(text: Sized, a: int, b: int, strength: int, most: int, blanks: bool = True) -> list[tuple[int, int]]:
-    """A clause of too many tokens as atoms of at most so many: at blanks, then between characters."""
-    places, token_end, token_start = text.listed()
-    out, at = [], a
-    if blanks:
-        token = bisect_right(token_end, a)
-        for end in [*(m.end() for m in _BLANKS.finditer(text.data, a, b)), b]:
-            end = places[bisect_left(places, end)]
-            if end <= at:
-                continue
-            kind, behind = strength if end == b else BLANK, bisect_left(token_start, end)
-            if behind - token <= most:
-                out.append((end, kind))
+        edge = np.zeros(n + 1, bool)
+        edge[block.rows] = True
+        #: Ends of tokens that are ends of characters, and the last and the next such place of each place.
+        valid = np.ones(len(bounds), bool)
+        valid[:-1] = raw[bounds[:-1]] & 0xC0 != 0x80
+        every = np.arange(len(bounds))
+        self.back = np.maximum.accumulate(np.where(valid, every, 0))
+        self.forth = np.minimum.accumulate(np.where(valid, every, len(bounds) - 1)[::-1])[::-1]
+        at, strength, commas = boundaries(data, raw, edge)
+        texts = np.unique(block.first[1:])
+        texts = texts[texts > 0]
+        at = np.append(self.of(at), texts)
+        strength = np.append(strength, np.full(len(texts), EDGE))
+        # Of boundaries that fall together the last counts, and the end of a text is last.
+        order = np.argsort(at, kind="stable")
+        at, strength = at[order], strength[order]
+        keep = np.append(at[1:] > at[:-1], True)
+        self.sentences, self.strengths = at[keep], strength[keep]
+        self.clauses = np.unique(self.of(commas))
+        blank = (raw == 32) | (raw == 9)
+        runs = np.flatnonzero(blank & ~np.append(blank[1:], False)) + 1
+        wide = np.flatnonzero(raw[:-2] == 0xE3) if n > 2 else np.zeros(0, np.int64)
+        wide = wide[(raw[wide + 1] == 0x80) & (raw[wide + 2] == 0x80)] + 3
+        wide = wide[np.append(wide[1:] - 3 != wide[:-1], True)] if len(wide) else wide
+        self.blanks = np.unique(self.of(np.append(runs, wide)))
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        """The first place at or behind each byte."""
+        return self.forth[np.searchsorted(self.block.bounds, at)]
+
+    def hard(self, a: int, b: int, most: int) -> Iterator[int]:
+        """Places that cut a span of tokens into parts of at most so many."""
+        while b - a > most:
+            place = int(self.back[a + most])
+            if place <= a:
+                place = int(self.forth[a + 1])  # a single character of more tokens than the limit stays whole
+            if place >= b:
+                return
+            yield place
+            a = place
+
+    def atoms(self, most: int, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ends and strengths of atoms of at most so many tokens; texts that begin in `whole` tokens are one atom."""
+        ends, strengths = self.sentences, self.strengths
+        inside = whole[ends - 1] & (strengths != EDGE)
+        ends, strengths = ends[~inside], strengths[~inside]
+        for finer, kind in ((self.clauses, CLAUSE), (self.blanks, BLANK), (None, HARD)):
+            size = np.diff(ends, prepend=0)
+            large = (size > most) & ~whole[ends - 1]
+            if not large.any():
+                break
+            if finer is None:
+                finer = np.array([p for k in np.flatnonzero(large).tolist() for p in self.hard(int(ends[k] - size[k]), int(ends[k]), most)], np.int64)
             else:
-                out += _small_enough(text, at, end, kind, most, False)
-            at, token = end, behind
-        return out
-    while bisect_left(token_start, b) - (token := bisect_right(token_end, at)) > most:
-        k = bisect_right(places, token_end[token + most - 1]) - 1
-        if places[k] <= at:
-            k += 1  # a single character of more tokens than the limit stays whole
-        at = places[k]
-        if at >= b:
-            break
-        out.append((at, HARD))
-    return [*out, (b, strength)]
-
-
-def atoms_of(text: Sized, most: int) -> tuple[list[int], list[int], list[int]]:
-    """Ends and strengths of atoms of at most so many tokens, and the first token behind each."""
-    ends, strengths = text.sentences
-    behind = text.behind
-    large = _steps(behind) > most
-    if not large.any():
-        return ends.tolist(), strengths.tolist(), behind.tolist()
-    chosen = large[text.clause_of]
-    inner = text.clauses[chosen]
-    # Both are sorted: a clause goes before its sentence's end, behind the clauses before it.
-    at = text.clause_of[chosen] + np.arange(len(inner))
-    mask = np.ones(len(ends) + len(inner), bool)
-    mask[at] = False
-    both, kinds, tokens = np.empty(len(mask), np.int64), np.full(len(mask), CLAUSE), np.empty(len(mask), np.int64)
-    both[at], both[mask] = inner, ends
-    kinds[mask] = strengths
-    tokens[at], tokens[mask] = text.clause_behind[chosen], behind
-    ends, strengths, behind = both, kinds, tokens
-    large = np.flatnonzero(_steps(behind) > most)
-    if not len(large):
-        return ends.tolist(), strengths.tolist(), behind.tolist()
-    ends, strengths, out, kinds, before = ends.tolist(), strengths.tolist(), [], [], 0
-    for k in large.tolist():
-        out += ends[before:k]
-        kinds += strengths[before:k]
-        for end, kind in _small_enough(text, ends[k - 1] if k else 0, ends[k], strengths[k], most):
-            out.append(end)
-            kinds.append(kind)
-        before = k + 1
-    out += ends[before:]
-    kinds += strengths[before:]
-    return out, kinds, text.last(out).tolist()
-
-
-def merged(strengths: list[int], high: list[int], first: int, rest: int) -> list[int]:
-    """Atoms at which pieces end: neighbours merged from the weakest boundary on, up to `first` tokens at the start, else `rest`.
-
-    high is the first token behind each atom.
-    """
-    n = len(high)
-    if n < 2:
-        return [0] * n
-    low = [0, *high[:-1]]
-    left, right, last = list(range(-1, n - 1)), list(range(1, n + 1)), list(range(n))
-    high = high.copy()
-    # A pair is one number: strength of its boundary, then merged size, then place of its left atom. A number that no longer
-    # agrees with the atoms is one of a pair that has changed.
-    low_bits = (1 << 28) - 1
-    behind = np.array(high)
-    sizes = behind[1:] - np.concatenate(([0], behind[:-2]))
-    most = np.full(n - 1, rest)
-    most[0] = first
-    fits = np.flatnonzero(sizes <= most)
-    heap = ((np.array(strengths[:-1])[fits] << 56) + (sizes[fits] << 28) + fits).tolist()
+                owner = np.searchsorted(ends, finer)
+                finer = finer[(owner < len(ends)) & large[np.minimum(owner, len(ends) - 1)]]
+                finer = finer[ends[np.searchsorted(ends, finer)] != finer]
+            at = np.searchsorted(ends, finer)
+            ends, strengths = np.insert(ends, at, finer), np.insert(strengths, at, kind)
+        return ends, strengths
+
+
+def _by_heap(low: list[int], high: list[int], joined: list[bool], limit: list[int]) -> list[bool]:
+    """Which pieces' ends stay. Adjacent pairs at joined boundaries are held in a heap; the smallest result that fits is merged first."""
+    n = len(low)
+    left, right, alive, stays = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n, [True] * n
+    last = list(range(n))
+    # A pair is one number: merged size, then place of its left piece. A number that no longer agrees is one of a pair that has changed.
+    heap = [(high[i + 1] - low[i]) << 32 | i for i in range(n - 1) if joined[i] and high[i + 1] - low[i] <= limit[i]]
     heapq.heapify(heap)
-    pop, push = heapq.heappop, heapq.heappush
+    pop, push, bits = heapq.heappop, heapq.heappush, (1 << 32) - 1
     while heap:
         key = pop(heap)
-        i = key & low_bits
+        i = key & bits
         j = right[i]
-        if last[i] < 0 or j >= n or strengths[i] != key >> 56 or high[j] - low[i] != key >> 28 & low_bits:
+        if not alive[i] or j >= n or not joined[i] or high[j] - low[i] != key >> 32:
             continue
-        last[i], last[j], high[i] = last[j], -1, high[j]
-        kind = strengths[i] = strengths[j]
+        stays[last[i]], alive[j] = False, False
+        last[i], high[i], joined[i] = last[j], high[j], joined[j]
         right[i] = k = right[j]
         if k < n:
             left[k] = i
-            size = high[k] - low[i]
-            if size <= (rest if i else first):
-                push(heap, kind << 56 | size << 28 | i)
+            if joined[i]:
+                size = high[k] - low[i]
+                if size <= limit[i]:
+                    push(heap, size << 32 | i)
         h = left[i]
-        if h >= 0:
+        if h >= 0 and joined[h]:
             size = high[i] - low[h]
-            if size <= (rest if h else first):
-                push(heap, strengths[h] << 56 | size << 28 | h)
-    return [x for x in last if x >= 0]
+            if size <= limit[h]:
+                push(heap, size << 32 | h)
+    return stays
 
 
-def cut(text: Sized, limit: int, overlap: int) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Begins with the overlap, begins without it and ends of the pieces, in bytes, and their tokens."""
+def merged(ends: np.ndarray, strengths: np.ndarray, heads: np.ndarray, first: int, rest: int) -> np.ndarray:
+    """Ends of pieces: neighbours merged from the weakest boundary on, up to `first` tokens where a text begins, else `rest`."""
+    low = np.concatenate(([0], ends[:-1]))
+    for level in range(HARD, EDGE):
+        joined = strengths == level
+        if not joined.any():
+            continue
+        begins = np.ones(len(ends), bool)
+        begins[1:] = ~joined[:-1]
+        at = np.flatnonzero(begins)
+        stop = np.append(at[1:], len(ends)) - 1
+        limit = np.where(heads, first, rest)
+        fits = (ends[stop] - low[at] <= limit[at])[np.cumsum(begins) - 1]
+        stays = ~(joined & fits)
+        some = np.flatnonzero(~fits & (joined | np.append(False, joined[:-1])))
+        if len(some):
+            stays[some] = _by_heap(low[some].tolist(), ends[some].tolist(), joined[some].tolist(), limit[some].tolist())
+        while True:
+            kept = np.flatnonzero(stays)
+            begin = np.concatenate(([0], kept[:-1] + 1))
+            low, heads, ends, strengths = low[begin], heads[begin], ends[kept], strengths[kept]
+            stays = np.append(~(heads[:-1] & (strengths[:-1] <= level) & (ends[1:] - low[:-1] <= first)), True)
+            if stays.all():
+                break
+    return ends
+
+
+def cut(places: Places, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, number in its text, first token with the overlap and without it, and end of each piece of all texts of a block."""
+    first = places.block.first
     overlap = min(overlap, limit // 2)
-    rest, first = max(limit - overlap - (3 if overlap else 0), 1), max(limit, 1)
-    atoms, kinds, high = atoms_of(text, rest)
-    stops = merged(kinds, high, first, rest)
-    behind = [high[k] for k in stops]
-    stops = [atoms[k] for k in stops]
-    starts = [0, *stops[:-1]]
-    tokens = [0, *behind[:-1]]
+    rest, most = max(limit - overlap - (3 if overlap else 0), 1), max(limit, 1)
+    sizes = np.diff(first)
+    ends, strengths = places.atoms(rest, np.repeat(sizes <= limit, sizes))
+    heads = np.append(True, strengths[:-1] == EDGE)
+    stops = merged(ends, strengths, heads, most, rest)
+    starts = np.concatenate(([0], stops[:-1]))
+    row = np.searchsorted(first, starts, "right") - 1
+    head = starts == first[row]
+    number = np.arange(len(row)) - np.maximum.accumulate(np.where(head, np.arange(len(row)), 0))
     if not overlap:
-        return starts, starts, stops, [b - a for a, b in zip(tokens, behind, strict=True)]
+        return row, number, starts, starts, stops
     # The overlap begins so many tokens before, at a place, and not before the piece before it.
-    backs = text.starts[np.maximum(np.array(tokens) - overlap, 0)]
-    backs = np.maximum.accumulate(text.places[np.searchsorted(text.places, backs, "right") - 1])
-    return backs.tolist(), starts, stops, (np.array(behind) - text.first(backs)).tolist()
-
-
-_BLANK = [c for c in map(chr, range(0x3001)) if c.isspace() and not "\x1c" <= c <= "\x1f"]
-_TRAILING = re.compile("[" + "".join(map(re.escape, _BLANK)) + "]*$")
-_WHITE = tuple(c.encode() for c in _BLANK)
-
-
-def _trailing(part: bytes) -> str:
-    """The white space that a piece ends in."""
-    blank = _TRAILING.search(part[-40:].decode(errors="ignore")).group()
-    return blank if len(blank) < 12 else _TRAILING.search(part.decode()).group()
+    backs = np.where(head, starts, places.back[np.maximum(starts - overlap, first[row])])
+    return row, number, np.maximum.accumulate(backs), starts, stops
 
 
-def add_pieces(out: tuple[list, ...], key, value: str, profiles: list[tuple[str, int, int]], path: str = TOKENIZER) -> None:
-    """Appends key, profile, number, bytes of overlap, tokens and text, as UTF-8, of each piece of a text to six lists."""
-    token, data = token_ends(value, path), value.encode()
-    keys, names, numbers, laps, counts, parts = out
-    text = None
+def block_pieces(block: Tokenized, profiles: list[tuple[str, int, int]], path: str = TOKENIZER) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """For each profile its name and text, number, bytes of overlap, tokens and UTF-8 of all pieces of a block."""
+    if not block.data:
+        return
+    places, data, bounds = Places(block), block.data, block.bounds
     for name, limit, overlap in profiles:
-        if len(token) <= limit:
-            begins, own, stops, sizes, found = [0], [0], [0], [len(token)], [data]
-        else:
-            if text is None:
-                text = Sized(data, token)
-            begins, own, stops, sizes = cut(text, limit, overlap)
-            found = [data[a:c] for a, c in zip(begins, stops, strict=True)]
-            for k, part in enumerate(found):
-                # A single blank at the end is the token that it was; only a run of them is tokenized again.
-                if not part.endswith(_WHITE) or (part[-1] < 0x80 and not part.endswith(_WHITE, 0, len(part) - 1)):
-                    continue
-                if stops[k] < len(data) and len(blank := _trailing(part)) > 1:
-                    place = stops[k] - len(blank.encode())
-                    sizes[k] += len(token_sizes(blank, path)) - int(text.last(stops[k]) - text.first(place))
-        n = len(found)
-        keys += [key] * n
-        names += [name] * n
-        numbers += range(n)
-        laps += [b - a for a, b in zip(begins, own, strict=True)]
-        counts += sizes
-        parts += found
+        row, number, backs, starts, stops = cut(places, limit, overlap)
+        a, b = bounds[backs], bounds[stops]
+        parts = [data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        sizes = stops - backs
+        # A single blank at the end is the token that it was; only a run of them is tokenized again.
+        behind = np.searchsorted(block.chars, b)
+        run = block.white[behind - 1] & block.white[np.maximum(behind - 2, 0)] & (b < block.rows[row + 1])
+        for k in np.flatnonzero(run).tolist():
+            begin = end = int(behind[k])
+            while begin and block.white[begin - 1] and block.chars[begin - 1] >= a[k]:
+                begin -= 1
+            if end - begin > 1:
+                byte = int(block.chars[begin])
+                sizes[k] += tokens_in(data[byte : int(b[k])].decode(), path) - (int(stops[k]) - int(np.searchsorted(bounds, byte, "right") - 1))
+        yield name, row, number, bounds[starts] - a, sizes, parts
 
 
 def pieces_of(texts: list[str], profiles: list[tuple[str, int, int]], path: str = TOKENIZER) -> list[tuple[int, str, int, int, int, str]]:
     """Row, profile, number, bytes of overlap, tokens and text of each piece."""
-    out: tuple[list, ...] = ([], [], [], [], [], [])
-    for row, value in enumerate(texts):
-        if value:
-            add_pieces(out, row, value, profiles, path)
-    return [(*rest, part.decode()) for *rest, part in zip(*out, strict=True)]
+    block = tokenized(pa.array(texts, pa.string()), path)
+    out = [(r, name, k, lap, n, p.decode()) for name, *columns, parts in block_pieces(block, profiles, path) for r, k, lap, n, p in zip(*(c.tolist() for c in columns), parts, strict=True)]
+    return sorted(out, key=lambda x: x[0])
 
 
 def split_texts(df: DataFrame, limits: DataFrame, key: str = "doc_id", text: str = "text", path: str = TOKENIZER) -> DataFrame:
     """key, profile, piece_no, overlap_bytes, n_tokens and text of all pieces of all texts for each profile of limits."""
     profiles = [(r.profile, r.max_tokens, r.overlap_tokens or 0) for r in small(limits.select("profile", "max_tokens", "overlap_tokens"), 1000, "limits") if r.max_tokens and r.max_tokens > 0]
-    kind = pa.schema([("key", pa.int64()), ("profile", pa.string()), ("piece_no", pa.int32()), ("overlap_bytes", pa.int32()), ("n_tokens", pa.int32()), ("text", pa.string())])
+    names = ["key", "profile", "piece_no", "overlap_bytes", "n_tokens", "text"]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-            for at in range(0, len(ids), 128):  # few texts at a time bound the memory
-                out: tuple[list, ...] = ([], [], [], [], [], [])
-                for k in range(at, min(at + 128, len(ids))):
-                    if texts[k]:
-                        add_pieces(out, ids[k], texts[k], profiles, path)
-                columns = [pa.array(c, f.type) for c, f in zip(out[:5], kind, strict=False)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(out[5], pa.binary()).cast(pa.string())], schema=kind)
+            ids, at = part.column(0), 0
+            for texts in blocks(part.column(1)):  # few texts at a time bound the memory
+                own = ids.slice(at, len(texts))
+                at += len(texts)
+                for name, row, number, lap, size, found in block_pieces(tokenized(texts, path), profiles, path):
+                    ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found))))).astype(np.int32)
+                    pieces = pa.Array.from_buffers(pa.string(), len(found), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(b"".join(found))])
+                    numbers = [pa.array(x.astype(np.int32)) for x in (number, lap, size)]
+                    yield pa.RecordBatch.from_arrays([own.take(pa.array(row)), pa.repeat(name, len(found)), *numbers, pieces], names=names)
 
     rows = df.where(F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
     out = rows.mapInArrow(batches, "key bigint, profile string, piece_no int, overlap_bytes int, n_tokens int, text string")

@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from loamgrid.llm import mixing, splitting
-from loamgrid.llm.tokens import tokenizer
+from loamgrid.llm.tokens import tokenized, tokenizer
 
 PROFILES = [("s", 32, 8), ("m", 100, 0), ("x", 8, 6)]
 
@@ -115,8 +117,41 @@ def test_copies_count_in_the_flow():
 
 
 def test_sizes_are_those_of_the_tokenizer():
-    from loamgrid.llm.tokens import token_sizes
-
     model = tokenizer()
-    for value in [*texts(), "it's we'll DON'T １２ ½²Ⅷ٣ _x_  \n\t y　z\x85\x1c", "​  ﻿a"]:
-        assert list(token_sizes(value)) == [len(model.decode_single_token_bytes(t)) for t in model.encode_ordinary(value)]
+    values = [*texts(), "it's we'll DON'T １２ ½²Ⅷ٣ _x_  \n\t y　z\x85\x1c", "​  ﻿a", "''s 's\n's 'll'd 'l 're're 'S a's'st", "'", "x'", " '", "'t", "s"]
+    rng = random.Random(5)
+    values += ["".join(rng.choice(["'", "s", "re", "l", "ll", " ", "  ", "\n", "1", "x", "中", "!", "é", "　"]) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    block = tokenized(pa.array([None, *values]))
+    sizes = np.diff(block.bounds).tolist()
+    for k, value in enumerate(values, 1):
+        wanted = [len(model.decode_single_token_bytes(t)) for t in model.encode_ordinary(value)]
+        assert sizes[block.first[k] : block.first[k + 1]] == wanted, value
+
+
+def plainly_merged(sizes, strengths, first, rest):
+    """Sizes of the pieces, by looking through all pairs at each step; strength by strength, and then the first piece takes up what fits."""
+    parts = [[n, k] for n, k in zip(sizes, strengths, strict=True)]
+    for level in range(splitting.EDGE):
+        while True:
+            fits = [(parts[i][0] + parts[i + 1][0], i) for i in range(len(parts) - 1) if parts[i][1] == level and parts[i][0] + parts[i + 1][0] <= (rest if i else first)]
+            if not fits:
+                break
+            n, i = min(fits)
+            parts[i : i + 2] = [[n, parts[i + 1][1]]]
+        while len(parts) > 1 and parts[0][1] <= level and parts[0][0] + parts[1][0] <= first:
+            parts[:2] = [[parts[0][0] + parts[1][0], parts[1][1]]]
+    return [n for n, _ in parts]
+
+
+def test_merging_by_levels_is_plain_agglomeration():
+    rng = random.Random(11)
+    for _ in range(300):
+        rest = rng.randint(5, 60)
+        first = rest + rng.randint(0, 20)
+        cases = [([rng.randint(1, rest) for _ in range(rng.randint(1, 40))], []) for _ in range(3)]
+        cases = [(sizes, [rng.choice(range(splitting.EDGE)) for _ in sizes[1:]] + [splitting.EDGE]) for sizes, _ in cases]
+        ends = np.cumsum([n for sizes, _ in cases for n in sizes])
+        strengths = np.array([k for _, kinds in cases for k in kinds])
+        heads = np.append(True, strengths[:-1] == splitting.EDGE)
+        got = np.diff(splitting.merged(ends, strengths, heads, first, rest), prepend=0).tolist()
+        assert got == [n for sizes, kinds in cases for n in plainly_merged(sizes, kinds, first, rest)]
