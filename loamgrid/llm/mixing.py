@@ -6,7 +6,7 @@ to the quotas; each record of a source can be used, as often as the source may r
 a text costs more than the one before, so that small sources repeat only as often as they must, and evenly. For each source, the records of
 a pattern lie on a circle in a seeded order, further copies of a text behind the first ones, and the source takes an arc as long as
 its flow: a record is used as often as the arc holds all of it. What records at the ends of arcs leave open is filled in further rounds
-by records that fit.
+by records that fit, until none fits.
 
 Where each record lies is a running sum over hash buckets, first of the buckets and then within each, so that no task holds a source.
 
@@ -17,9 +17,9 @@ and null ones are 1.
 
 from __future__ import annotations
 
-from collections import deque
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,54 +27,77 @@ from loamgrid.llm.canon import canonical
 from loamgrid.llm.tokens import TOKENIZER, token_count
 from loamgrid.session import durable, small
 
-#: Rounds that fill what is left open of the quotas.
-ROUNDS = 3
-#: Patterns that the driver routes at most. Sources of a corpus are few, and texts held by several of them fewer kinds still.
-PATTERNS = 100_000
+#: Pairs of a pattern and a source that the driver routes at most, as three arrays of numbers; beyond that `mix` raises. Sources of
+#: a corpus are few, and texts held by several of them make far fewer patterns than there are texts.
+ARCS = 5_000_000
 
 
-class _Network:
-    """Min-cost flow by shortest augmenting paths; sizes are whole numbers."""
+class Flow:
+    """Tokens of patterns on their way to sources, by levels of cost.
 
-    def __init__(self, nodes: int):
-        self.out: list[list[int]] = [[] for _ in range(nodes)]
-        self.to: list[int] = []
-        self.room: list[int] = []
-        self.cost: list[int] = []
+    A first use costs nothing, a second one 1 and so on, and nothing else has a cost. The cheapest way to the sources with
+    an open quota therefore costs the level of the supply it begins at: all that the supply of a level can give is sent before
+    the next level is opened. A way leads from a pattern with supply to a source, or on by moving what another pattern
+    gave to that source to a further one. All patterns that can give to a way do so at once.
+    """
 
-    def arc(self, a: int, b: int, room: int, cost: int = 0) -> int:
-        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
-            self.out[x].append(len(self.to))
-            self.to.append(y)
-            self.room.append(r)
-            self.cost.append(c)
-        return len(self.to) - 2
+    def __init__(self, pattern: np.ndarray, source: np.ndarray, room: np.ndarray, quotas: np.ndarray):
+        self.pattern, self.source, self.room, self.open = pattern, source, room.copy(), quotas.copy()
+        self.sent = np.zeros(len(pattern), np.int64)
+        self.of = [np.flatnonzero(source == s) for s in range(len(quotas))]
 
-    def run(self, a: int, b: int) -> int:
-        sent = 0
+    def way(self, supply: np.ndarray) -> list[int] | None:
+        """Sources of the shortest way to one with an open quota."""
+        giving, seen = supply > 0, np.zeros(len(self.open), bool)
+        layers: list[np.ndarray] = []
         while True:
-            best, by, queue, queued = {a: 0}, {}, deque([a]), {a}
-            while queue:
-                x = queue.popleft()
-                queued.discard(x)
-                for e in self.out[x]:
-                    y = self.to[e]
-                    if self.room[e] > 0 and best[x] + self.cost[e] < best.get(y, 1 << 60):
-                        best[y], by[y] = best[x] + self.cost[e], e
-                        if y not in queued:
-                            queue.append(y)
-                            queued.add(y)
-            if b not in by:
-                return sent
-            path, y = [], b
-            while y != a:
-                path.append(by[y])
-                y = self.to[by[y] ^ 1]
-            step = min(self.room[e] for e in path)
-            for e in path:
-                self.room[e] -= step
-                self.room[e ^ 1] += step
-            sent += step
+            met = np.zeros(len(self.open), bool)
+            met[self.source[giving[self.pattern] & (self.room > 0)]] = True
+            met &= ~seen
+            if not met.any():
+                return None
+            layers.append(np.flatnonzero(met))
+            if (met & (self.open > 0)).any():
+                break
+            seen |= met
+            giving = np.zeros(len(supply), bool)
+            giving[self.pattern[met[self.source] & (self.sent > 0)]] = True
+        out = [int(layers[-1][self.open[layers[-1]] > 0][0])]
+        for layer in reversed(layers[:-1]):
+            takes = self.of[out[0]]
+            can = np.zeros(len(supply), bool)
+            can[self.pattern[takes[self.room[takes] > 0]]] = True
+            gives = np.zeros(len(self.open), bool)
+            gives[self.source[can[self.pattern] & (self.sent > 0)]] = True
+            out.insert(0, int(layer[gives[layer]][0]))
+        return out
+
+    def send(self, supply: np.ndarray) -> None:
+        """Sends what the supply can give; takes it from the supply."""
+        while (way := self.way(supply)) is not None:
+            steps, most = [], int(self.open[way[-1]])
+            for k, to in enumerate(way):
+                into = self.of[to]
+                if not k:
+                    out, held = self.pattern[into], supply[self.pattern[into]]
+                else:
+                    before = self.of[way[k - 1]]
+                    _, x, y = np.intersect1d(self.pattern[before], self.pattern[into], assume_unique=True, return_indices=True)
+                    out, into = before[x], into[y]
+                    held = self.sent[out]
+                can = np.minimum(held, self.room[into])
+                steps.append((out, into, can))
+                most = min(most, int(can.sum()))
+            for k, (out, into, can) in enumerate(steps):
+                moved = np.clip(most - (np.cumsum(can) - can), 0, can)
+                if k:
+                    self.sent[out] -= moved
+                    self.room[out] += moved
+                else:
+                    supply[out] -= moved
+                self.sent[into] += moved
+                self.room[into] -= moved
+            self.open[way[-1]] -= most
 
 
 @dataclass(frozen=True)
@@ -86,54 +109,62 @@ class Plan:
     arcs: list[tuple[int, str, int, int]]
 
 
-def route(patterns: list[tuple[tuple[str, ...], int]], targets: dict[str, tuple[float, int]], total: int | None = None, records: list[dict[str, int]] | None = None) -> Plan:
+def largest_total(held: dict[str, int], wanted: dict[str, tuple[float, int]]) -> int:
+    """The largest mix in which each source keeps its share: none can give more than all it holds as often as it may, and each
+    can give that much, as a record belongs to one source."""
+
+    def fits(total: int) -> bool:
+        return all(round(total * share) <= held[s] * repeats for s, (share, repeats) in wanted.items())
+
+    low, high = 0, int(min(((held[s] * repeats + 1) / share for s, (share, repeats) in wanted.items()), default=0)) + 1
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if fits(middle) else (low, middle - 1)
+    return low
+
+
+def route(arcs: list[tuple[int, str, int, int]], targets: dict[str, tuple[float, int]], total: int | None = None) -> Plan:
     """Routes the tokens of patterns to sources. Without a total, the largest at which all sources with records keep their share.
 
-    patterns has the tokens of each text once, records the tokens of all records by source: the same where no source has copies.
+    arcs has pattern, source, tokens of its records and tokens of its texts once; patterns are numbered from 0.
     """
-    records = records or [dict.fromkeys(sources, tokens) for sources, tokens in patterns]
-    rounds = [max(x.values()) for x in records]
-    held = {s for sources, _ in patterns for s in sources}
+    held: dict[str, int] = {}
+    for _, s, tokens, _ in arcs:
+        held[s] = held.get(s, 0) + tokens
     wanted = {s: (share, repeats) for s, (share, repeats) in targets.items() if s in held and share > 0}
     names = sorted(wanted)
-
-    def flow(size: int) -> tuple[bool, list[tuple[int, str, int]]]:
-        net = _Network(2 + len(patterns) + len(names))
-        at = {s: 2 + len(patterns) + k for k, s in enumerate(names)}
-        quotas = {s: round(size * wanted[s][0]) for s in names}
-        used = []
-        for k, (sources, tokens) in enumerate(patterns):
-            mine = [s for s in sources if s in wanted]
-            for again in range(sum(wanted[s][1] for s in mine)):
-                net.arc(0, 2 + k, rounds[k] if again else tokens, again)
-                if not again and rounds[k] > tokens:  # a copy's first use is a further use of its text
-                    net.arc(0, 2 + k, rounds[k] - tokens, 1)
-            used += [(k, s, net.arc(2 + k, at[s], records[k][s] * wanted[s][1])) for s in mine]
-        for s in names:
-            net.arc(at[s], 1, quotas[s])
-        sent = net.run(0, 1)
-        return sent == sum(quotas.values()), [(k, s, net.room[e ^ 1]) for k, s, e in used if net.room[e ^ 1]]
-
     if total is None:
-        # No source can give more than all it holds as often as it may; between that and nothing the largest full flow is found.
-        most = {s: sum(x.get(s, 0) for x in records) * wanted[s][1] / wanted[s][0] for s in names}
-        low, high = 0, int(min(most.values(), default=0))
-        while low < high:
-            middle = (low + high + 1) // 2
-            if flow(middle)[0]:
-                low = middle
-            else:
-                high = middle - 1
-            if high - low <= high // 10_000:
-                break
-        total = low
-    arcs, ends = [], [0] * len(patterns)
-    for k, s, size in flow(total)[1]:
+        total = largest_total(held, wanted)
+    quotas = {s: round(total * wanted[s][0]) for s in names}
+    at = {s: k for k, s in enumerate(names)}
+    mine = [x for x in arcs if x[1] in at]
+    if not mine:
+        return Plan(total, quotas, [])
+    pattern, source = np.array([x[0] for x in mine]), np.array([at[x[1]] for x in mine])
+    tokens, once = np.array([x[2] for x in mine], np.int64), np.array([x[3] for x in mine], np.int64)
+    repeats = np.array([wanted[names[s]][1] for s in source], np.int64)
+    n = int(pattern.max()) + 1
+    texts, rounds, levels = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    np.maximum.at(texts, pattern, once)
+    np.maximum.at(rounds, pattern, tokens)
+    np.add.at(levels, pattern, repeats)
+    flow = Flow(pattern, source, tokens * repeats, np.array([quotas[s] for s in names], np.int64))
+    supply, level = texts.copy(), 0
+    while True:
+        flow.send(supply)
+        level += 1
+        if not flow.open.any() or level > levels.max():
+            break
+        # A copy's first use is a further use of its text.
+        supply = supply + np.where(level < levels, rounds, 0) + (rounds - texts if level == 1 else 0)
+    out, ends = [], [0] * n
+    for k in np.flatnonzero(flow.sent).tolist():
+        p, size, own = int(pattern[k]), int(flow.sent[k]), int(tokens[k])
         # Ends are told on the longest circle of the pattern and brought to the length of the source's own.
-        begins = ends[k] * records[k][s] // rounds[k]
-        arcs.append((k, s, begins, begins + size))
-        ends[k] += -(-size * rounds[k] // records[k][s])
-    return Plan(total, {s: round(total * wanted[s][0]) for s in names}, arcs)
+        begins = ends[p] * own // int(rounds[p])
+        out.append((p, names[source[k]], begins, begins + size))
+        ends[p] += -(-size * int(rounds[p]) // own)
+    return Plan(total, quotas, out)
 
 
 def sized_records(documents: DataFrame, targets: DataFrame, path: str = TOKENIZER) -> DataFrame:
@@ -158,36 +189,57 @@ def with_start(df: DataFrame, groups: list[str], place: str, size: str, ties: li
     return out.withColumn("start", F.col("_before") + F.coalesce(F.sum(size).over(inside), F.lit(0))).drop("_bucket", "_before")
 
 
+def filled(chosen: DataFrame, seed: int) -> DataFrame:
+    """doc_id and more: further uses of records that still fit what is open of their sources' quotas, in rounds until none fits.
+
+    Only records that are small enough take part, and each round leaves fewer; every round gives each source that any record fits
+    at least one.
+    """
+    left = chosen.groupBy("source", "quota").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("got")).select("source", (F.col("quota") - F.col("got")).alias("open"))
+    can = (F.col("repeats") < F.col("most")) & (F.col("n_tokens") <= F.col("open"))
+    fits, out = chosen.join(left, "source").where(can).select("doc_id", "source", "n_tokens", "most", "repeats", "open"), None
+    while True:
+        seed += 1
+        placed = with_start(durable(fits).withColumn("place", F.xxhash64(F.lit(seed), "doc_id")), ["source"], "place", "n_tokens", ["doc_id"])
+        added = durable(placed.where(F.col("start") + F.col("n_tokens") <= F.col("open")).select("doc_id", "source", "n_tokens", F.lit(1).alias("more")))
+        out = added if out is None else out.unionByName(added)
+        if added.isEmpty():
+            return out.groupBy("doc_id").agg(F.sum("more").cast("int").alias("more"))
+        used = added.groupBy("source").agg(F.sum("n_tokens").alias("used"))
+        fits = fits.join(used, "source").join(added.select("doc_id", "more"), "doc_id", "left").withColumn("open", F.col("open") - F.col("used"))
+        fits = fits.withColumn("repeats", F.col("repeats") + F.coalesce("more", F.lit(0))).where(can).drop("used", "more")
+
+
 def mix(spark: SparkSession, documents: DataFrame, targets: DataFrame, seed: int = 1, total: int | None = None, path: str = TOKENIZER) -> DataFrame:
     """doc_id, source, n_tokens and repeats of the chosen records."""
     rows = durable(sized_records(documents, targets, path).withColumn("n_tokens", F.col("n_tokens").cast("bigint")))
     # One row for each text with the sources that hold it and the first record of each; all others are copies.
     held = rows.groupBy("h1", "h2", "source").agg(F.min("doc_id").alias("doc_id"))
     texts = held.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("source")).alias("pattern"), F.collect_list("doc_id").alias("firsts"))
+    texts = texts.select("h1", "h2", F.xxhash64("pattern").alias("p1"), F.xxhash64("pattern", F.lit("salt")).alias("p2"), "firsts")
     rows = rows.join(texts, ["h1", "h2"]).withColumn("copy", ~F.array_contains("firsts", F.col("doc_id")))
     # Copies have the first bit, so that they lie behind; their place is by doc_id, as a text may have any number of them.
     place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "h1", "h2"), 1)
     behind = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "h1", "h2", "doc_id"), 1).bitwiseOR(F.lit(-(1 << 63)).cast("bigint"))
-    rows = durable(rows.select("doc_id", "source", "n_tokens", "pattern", "copy", F.when(F.col("copy"), behind).otherwise(place).alias("place")))
-    sums = rows.groupBy("pattern", "source").agg(F.sum("n_tokens").alias("tokens"), F.sum(F.when(~F.col("copy"), F.col("n_tokens"))).alias("once"))
-    sums = sums.groupBy("pattern").agg(F.max("once").alias("once"), F.collect_list(F.struct("source", "tokens")).alias("records"))
-    sums = sorted((tuple(r.pattern), r.once, {x.source: x.tokens for x in r.records}) for r in small(sums, PATTERNS, "patterns of membership"))
-    patterns, records = [(p, once) for p, once, _ in sums], [x for *_, x in sums]
+    rows = durable(rows.select("doc_id", "source", "n_tokens", "p1", "p2", "copy", F.when(F.col("copy"), behind).otherwise(place).alias("place")))
+    sums = rows.groupBy("p1", "p2", "source").agg(F.sum("n_tokens").alias("tokens"), F.sum(F.when(F.col("copy"), F.lit(0)).otherwise(F.col("n_tokens"))).alias("once"))
+    sums = sums.limit(ARCS + 1).toPandas().sort_values(["p1", "p2", "source"])
+    if len(sums) > ARCS:
+        raise ValueError(f"more than {ARCS} pairs of a pattern and a source can't be routed by the driver")
+    number = sums.groupby(["p1", "p2"], sort=False).ngroup()
+    ids = list(zip(sums.p1.tolist(), sums.p2.tolist(), strict=True))
+    pairs = list(zip(number.tolist(), sums.source.tolist(), sums.tokens.tolist(), sums.once.tolist(), strict=True))
+    own = {(k, s): (ids[at], tokens) for at, (k, s, tokens, _) in enumerate(pairs)}
     wanted = {r.source: (r.target_share or 0.0, max(r.max_repeats or 1, 1)) for r in small(targets.select("source", "target_share", "max_repeats"), 100_000, "targets")}
-    plan = route(patterns, wanted, total, records)
-    arcs = [(list(patterns[k][0]), s, a, b, records[k][s]) for k, s, a, b in plan.arcs]
-    arcs = spark.createDataFrame(arcs, "pattern array<string>, source string, begins bigint, ends bigint, round bigint")
+    plan = route(pairs, wanted, total)
+    arcs = [(*own[k, s][0], s, a, b, own[k, s][1]) for k, s, a, b in plan.arcs]
+    arcs = spark.createDataFrame(arcs, "p1 bigint, p2 bigint, source string, begins bigint, ends bigint, round bigint")
     quotas = spark.createDataFrame([(s, n, wanted[s][1]) for s, n in plan.quotas.items()], "source string, quota bigint, most int")
-    lain = with_start(rows, ["pattern", "source"], "place", "n_tokens", ["doc_id"])
-    lain = lain.join(arcs, ["pattern", "source"], "left").join(quotas, "source")
+    lain = with_start(rows, ["p1", "p2", "source"], "place", "n_tokens", ["doc_id"])
+    lain = lain.join(arcs, ["p1", "p2", "source"], "left").join(quotas, "source")
     turns = F.floor((F.col("ends") - F.col("start") - F.col("n_tokens")) / F.col("round")) - F.ceil((F.col("begins") - F.col("start")) / F.col("round")) + 1
     chosen = durable(lain.select("doc_id", "source", "n_tokens", "quota", "most", F.greatest(F.coalesce(turns, F.lit(0)), F.lit(0)).cast("int").alias("repeats")))
-    for again in range(ROUNDS):
-        got = chosen.groupBy("source", "quota").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("got")).select("source", (F.col("quota") - F.col("got")).alias("open"))
-        fits = chosen.join(got, "source").where((F.col("repeats") < F.col("most")) & (F.col("n_tokens") <= F.col("open")))
-        fits = fits.withColumn("place", F.xxhash64(F.lit(seed + again + 1), "doc_id"))
-        added = with_start(fits, ["source"], "place", "n_tokens", ["doc_id"]).where(F.col("start") + F.col("n_tokens") <= F.col("open")).select("doc_id", F.lit(1).alias("more"))
-        chosen = durable(chosen.join(added, "doc_id", "left").withColumn("repeats", F.col("repeats") + F.coalesce("more", F.lit(0))).drop("more"))
+    chosen = chosen.join(filled(chosen, seed), "doc_id", "left").withColumn("repeats", F.col("repeats") + F.coalesce("more", F.lit(0)))
     return chosen.where("repeats > 0").select("doc_id", "source", F.col("n_tokens").cast("int").alias("n_tokens"), "repeats")
 
 

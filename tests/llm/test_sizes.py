@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -55,16 +56,118 @@ def test_split_table(spark):
 
 def test_flow_prefers_few_repeats():
     # Text that only A holds, text that both hold: A's quota needs the shared text, B's must then repeat.
-    plan = mixing.route([(("a",), 100), (("a", "b"), 100)], {"a": (0.5, 1), "b": (0.5, 2)})
-    sizes = {}
-    for k, s, x, y in plan.arcs:
-        sizes[k, s] = y - x
+    plan = mixing.route([(0, "a", 100, 100), (1, "a", 100, 100), (1, "b", 100, 100)], {"a": (0.5, 1), "b": (0.5, 2)})
+    sizes = {(k, s): y - x for k, s, x, y in plan.arcs}
     assert plan.total > 300 and sizes[0, "a"] == 100 and sizes[1, "b"] > 100
     assert mixing.route([], {"a": (1.0, 1)}).arcs == []
-    plan = mixing.route([(("a",), 10)], {"a": (0.5, 3), "gone": (0.5, 1)})
+    plan = mixing.route([(0, "a", 10, 10)], {"a": (0.5, 3), "gone": (0.5, 1)})
     assert plan.total == pytest.approx(60, abs=1)
 
 
+def plain_cost(arcs, targets, total):
+    """Cost of the cheapest flow by augmenting along cheapest paths one by one, and what it sends."""
+    patterns, sources = sorted({a[0] for a in arcs}), sorted({a[1] for a in arcs if a[1] in targets})
+    edges, graph = [], {}
+
+    def arc(a, b, room, cost=0):
+        for x, y, r, c in ((a, b, room, cost), (b, a, 0, -cost)):
+            graph.setdefault(x, []).append(len(edges))
+            edges.append([y, r, c])
+
+    for k in patterns:
+        mine = [a for a in arcs if a[0] == k and a[1] in targets]
+        if not mine:
+            continue
+        rounds, once = max(a[2] for a in mine), max(a[3] for a in mine)
+        for again in range(sum(targets[a[1]][1] for a in mine)):
+            arc("from", k, rounds if again else once, again)
+            if not again:
+                arc("from", k, rounds - once, 1)
+        for _, s, tokens, _ in mine:
+            arc(k, s, tokens * targets[s][1])
+    for s in sources:
+        arc(s, "to", round(total * targets[s][0]))
+    sent = cost = 0
+    while True:
+        best, by, changed = {"from": 0}, {}, True
+        while changed:
+            changed = False
+            for x in list(best):
+                for e in graph.get(x, []):
+                    y, room, c = edges[e]
+                    if room > 0 and best[x] + c < best.get(y, 1 << 60):
+                        best[y], by[y], changed = best[x] + c, e, True
+        if "to" not in by:
+            return cost, sent
+        path, y = [], "to"
+        while y != "from":
+            path.append(by[y])
+            y = edges[by[y] ^ 1][0]
+        step = min(edges[e][1] for e in path)
+        for e in path:
+            edges[e][1] -= step
+            edges[e ^ 1][1] += step
+        sent, cost = sent + step, cost + step * best["to"]
+
+
+def cost_of(plan, arcs, targets):
+    """What the uses of each pattern cost when its cheapest are taken."""
+    used, cost = {}, 0
+    for k, _, a, b in plan.arcs:
+        used[k] = used.get(k, 0) + b - a
+    for k, n in used.items():
+        mine = [a for a in arcs if a[0] == k and a[1] in targets]
+        rounds, once = max(a[2] for a in mine), max(a[3] for a in mine)
+        slabs = [(0, once), (1, rounds - once), *((again, rounds) for again in range(1, sum(targets[a[1]][1] for a in mine)))]
+        for level, size in slabs:
+            took = min(size, n)
+            n, cost = n - took, cost + level * took
+        assert n == 0
+    return cost
+
+
+def test_the_flow_is_the_cheapest_and_fills_all_quotas():
+    rng = random.Random(4)
+    for _ in range(60):
+        names = "abcd"[: rng.randint(1, 4)]
+        arcs = []
+        for k in range(rng.randint(1, 6)):
+            for s in rng.sample(names, rng.randint(1, len(names))):
+                once = rng.randint(1, 30)
+                arcs.append((k, s, once + rng.choice([0, 0, rng.randint(1, 20)]), once))
+        weights = [rng.random() + 0.05 for _ in names]
+        targets = {s: (w / sum(weights), rng.randint(1, 3)) for s, w in zip(names, weights, strict=True)}
+        plan = mixing.route(arcs, targets)
+        sent = {}
+        for _, s, a, b in plan.arcs:
+            sent[s] = sent.get(s, 0) + b - a
+        assert {s: n for s, n in plan.quotas.items() if n} == sent
+        held = {s: sum(a[2] for a in arcs if a[1] == s) * targets[s][1] for s in plan.quotas}
+        assert any(round((plan.total + 1) * targets[s][0]) > held[s] for s in plan.quotas)
+        smaller = rng.randint(0, plan.total)
+        for total in (plan.total, smaller):
+            cost, sent = plain_cost(arcs, targets, total)
+            plan = mixing.route(arcs, targets, total)
+            assert sent == sum(plan.quotas.values()) and cost_of(plan, arcs, targets) == cost
+
+
+def test_thousands_of_patterns_are_routed_at_once():
+    rng = random.Random(6)
+    names = [f"s{k}" for k in range(24)]
+    arcs = [(k, s, n, n) for k in range(20_000) for n in [rng.randint(1, 10**7)] for s in rng.sample(names, rng.randint(1, 6))]
+    shares = [rng.random() + 0.02 for _ in names]
+    targets = {s: (w / sum(shares), rng.randint(1, 4)) for s, w in zip(names, shares, strict=True)}
+    began = time.process_time()
+    plan = mixing.route(arcs, targets)
+    assert time.process_time() - began < 20
+    held = {s: sum(a[2] for a in arcs if a[1] == s) * targets[s][1] for s in names}
+    assert all(n <= held[s] for s, n in plan.quotas.items()) and any(round((plan.total + 1) * targets[s][0]) > held[s] for s in names)
+    sent = dict.fromkeys(names, 0)
+    for _, s, a, b in plan.arcs:
+        sent[s] += b - a
+    assert sent == plan.quotas
+
+
 DOCS = "doc_id bigint, text string, source string, n_tokens int"
 TARGETS = "source string, target_share double, max_repeats int"
 
@@ -109,10 +212,10 @@ def test_each_record_of_a_repeated_text_counts(spark):
 
 def test_copies_count_in_the_flow():
     # A has 100 tokens of texts in 300 tokens of records: the mix needn't shrink to one record for each text.
-    plan = mixing.route([(("a",), 100), (("b",), 300)], {"a": (0.5, 1), "b": (0.5, 1)}, None, [{"a": 300}, {"b": 300}])
+    plan = mixing.route([(0, "a", 300, 100), (1, "b", 300, 300)], {"a": (0.5, 1), "b": (0.5, 1)})
     assert plan.total > 590 and {(k, s): y - x for k, s, x, y in plan.arcs}[0, "a"] > 295
     # Copies of a are used only when the texts that a shares with b are.
-    plan = mixing.route([(("a",), 100), (("a", "b"), 100)], {"a": (1.0, 1), "b": (0.0, 1)}, 200, [{"a": 300}, {"a": 100, "b": 100}])
+    plan = mixing.route([(0, "a", 300, 100), (1, "a", 100, 100), (1, "b", 100, 100)], {"a": (1.0, 1), "b": (0.0, 1)}, 200)
     assert {(k, s): y - x for k, s, x, y in plan.arcs} == {(0, "a"): 100, (1, "a"): 100}
 
 
