@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loamgrid.functions.text import SENTENCE_ENDS, clean_lines, sentences, stripped, words
 from loamgrid.operators import evaluate, layout, ports, retrieve, segment
 from loamgrid.sources import tables
-from loamgrid.session import fresh, table
+from loamgrid.session import fresh, shared_folder, table
 from loamgrid.streaming import incremental
 
 QUERIES: dict = {}
@@ -583,11 +583,16 @@ def content_signature(spark: SparkSession, folder: str) -> DataFrame:
     return whole.select("code", "pages", F.substring(F.sha2(joined, 256), 1, 16).alias("mark"))
 
 
-@query("SELECT sha256(coalesce(embed_text, '')) AS content, min(chunk_id) AS chunk_id, max(length(embed_text))::INT AS chars FROM chunks GROUP BY coalesce(embed_text, '')")
+@query("SELECT sha256(coalesce(embed_text, '')) AS content, CASE WHEN min(ingested_at) < TIMESTAMP '2026-03-05' THEN 1 ELSE 2 END::INT AS run, max(length(embed_text))::INT AS chars FROM chunks GROUP BY coalesce(embed_text, '')")
 def incremental_index(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream over the files of chunks gives what one batch over all of them would."""
-    schema = table(spark, folder, "chunks").schema
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/chunks.parquet")
-    single = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile()
-    source, pattern = (folder, "chunks.parquet") if single else (f"{folder}/chunks.parquet", "*.parquet")
-    return incremental.run(spark, source, pattern, schema, incremental.shared_folder(spark)).select("content", "chunk_id", "chars")
+    """Two runs of a stream over landed files on one folder: the second brings only contents that the first hasn't brought."""
+    place = shared_folder(spark, "stream")
+    rows = table(spark, folder, "chunks").select("chunk_id", "code", "embed_text", "ingested_at")
+    late = ~F.coalesce(F.col("ingested_at") < F.lit("2026-03-05").cast("timestamp"), F.lit(False))
+    last = -1
+    for part in (~late, late):
+        rows.where(part).write.mode("append").parquet(f"{place}/landed")
+        index = incremental.run(spark, f"{place}/landed", "*.parquet", rows.schema, f"{place}/taken")
+        if last < 0:
+            last = index.agg(F.max("epoch")).first()[0]
+    return index.select("content", F.when(F.col("epoch") <= last, 1).otherwise(2).alias("run"), "chars")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Setting of the session: partitions that `spread_out` makes of a table that is read in fewer; unset or 0 leaves all as they are read.
+SPREAD = "spark.loamgrid.spread"
 #: Largest number of rows that `small` lets through to the driver or a broadcast.
 SMALL_ROWS = 200_000
 
@@ -20,22 +23,35 @@ def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config(SPREAD, str(cpus))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a checkpoint in the folder that all executors share.
+def shared_folder(spark: SparkSession, kind: str = "checkpoint") -> str:
+    """The folder below `spark.checkpoint.dir` or the folder that was set for checkpoints, or a new one below it for another kind.
 
-    The folder is the session's `spark.checkpoint.dir`. Only where that is unset (tests on one machine) a temporary
-    folder is taken.
+    Where neither is set, a local session takes a temporary folder; on a cluster that folder would be on one machine, so it raises.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="loamgrid-checkpoint-"))
+    base = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="loamgrid-")
+        context.setCheckpointDir(base)
+    return base if kind == "checkpoint" else f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a checkpoint in the shared folder. `spark.cleaner.referenceTracking.cleanCheckpoints` removes it after use."""
+    context = df.sparkSession.sparkContext
+    base = shared_folder(df.sparkSession)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(base)
     return df.checkpoint(eager=True)
 
 
@@ -53,16 +69,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread_out(df: DataFrame) -> DataFrame:
-    """Rows of a small table in few files over all cores, before heavy work on each row; a large table stays as it is read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Rows of a table in few files over the partitions that the session's setting SPREAD names, before heavy work on each row."""
+    least = int(df.sparkSession.conf.get(SPREAD, "0"))
+    return df.repartition(least) if least and df.rdd.getNumPartitions() < least else df
 
 
 def fresh(df: DataFrame, key: str) -> DataFrame:
     """One row for each key: rows delivered again are the same row. Which of unequal copies stays is left open."""
     return df.dropDuplicates([key])
 
-
-def spread(column, salts: int):
-    """A salt from 0 to salts - 1, the same for the same value at every run."""
-    return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")

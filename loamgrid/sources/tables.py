@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,10 +11,12 @@ PAGE = "code string, name string, page int, section string, text string, tables
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Lines of JSON; a path that isn't there is an empty table."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).json(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -46,11 +49,6 @@ def whole_pdf(content: Column, length: Column) -> Column:
     return (length >= 20_000) & (F.locate("%PDF", head.cast("string")) > 0) & (F.locate("%%EOF", tail.cast("string")) > 0)
 
 
-def file_mark(content: Column) -> Column:
-    """Sixteen hex digits of the hash of a file's first MiB."""
-    return F.substring(F.sha2(F.substring(content, 1, 1 << 20), 256), 1, 16)
-
-
 #: Words in titles of announcements that aren't the report itself.
 BANNED = ("摘要", "英文", "取消", "提示性", "补充", "更正", "说明", "意见", "问询", "回复", "公告", "决议", "审计报告", "修订")
 

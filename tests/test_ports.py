@@ -1,5 +1,6 @@
 import pytest
 
+from loamgrid import session
 from loamgrid.operators import ports
 from loamgrid.streaming import incremental
 
@@ -62,6 +63,26 @@ def test_stream_taken_up_again_changes_nothing(spark, tmp_path):
     assert {r[1] for r in first} == {"c1", "c2"}
     assert {tuple(r) for r in incremental.run(spark, source, "*.parquet", schema, work).collect()} == first
     spark.createDataFrame([("c0", "a", "x"), ("c3", "a", "z"), ("c3", "a", "z")], kind).coalesce(1).write.parquet(f"{source}/2")
-    assert {r.chunk_id for r in incremental.run(spark, source, "*.parquet", schema, work).collect()} == {"c0", "c2", "c3"}
-    incremental.store_new(spark.createDataFrame([("c3", "a", "z")], kind), f"{work}/index", 1)  # a batch that is repeated
-    assert spark.read.parquet(f"{work}/index").select("content").distinct().count() == 3
+    # A second run writes only contents that the first hasn't written.
+    rows = incremental.run(spark, source, "*.parquet", schema, work).collect()
+    assert {r.chunk_id for r in rows} == {"c1", "c2", "c3"} and first < {tuple(r) for r in rows} and len(rows) == 3
+    last = max(r.epoch for r in rows)
+    assert [r.chunk_id for r in rows if r.epoch == last] == ["c3"]
+    incremental.store_new(spark.createDataFrame([("c3", "a", "z"), ("c9", "a", "y")], kind), work, last)  # a batch that is repeated
+    assert {tuple(r) for r in incremental.read_index(spark, work).collect()} == {tuple(r) for r in rows}
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session())
+    Session.conf = {"spark.checkpoint.dir": "hdfs://x/y/"}
+    assert session.shared_folder(Session()) == "hdfs://x/y/" and session.shared_folder(Session(), "stream").startswith("hdfs://x/y/stream-")
