@@ -2,8 +2,9 @@
 
 The JVM brings text to one form, takes tables apart and cuts the statements of a level out of running text. The grammar of
 numbers (groups of digits, Chinese numerals, compound amounts such as 3亿2,000万) and of unit expressions (千元, 元/股, MWh,
-per cent) then reads these short pieces in Arrow batches. A unit is a product of atoms with exponents; each atom has a vector of
-dimensions, a scale and an offset. An amount is converted only if its vector is that of the metric, with exact fractions.
+kg/m³, 元每千瓦时) then reads these short pieces in Arrow batches. A unit is a product of atoms with exponents; each atom has a vector of
+dimensions, a scale and an offset. An amount is converted only if its vector is that of the metric, with exact fractions. An
+offset counts where a unit is one atom by itself; a denominator that isn't known makes an amount unreadable.
 
 Defined results: null and empty tables, rows, cells and texts give nothing; a cell without a number gives nothing; an amount
 without any unit in reach gives nothing; an amount that isn't a whole number of base units, or is beyond a bigint, gives
@@ -25,7 +26,7 @@ from loamgrid.functions.glyphs import plain
 from loamgrid.session import small
 
 #: The places of a dimension vector.
-DIMENSIONS = ("money", "share", "person", "energy", "mass", "length", "time")
+DIMENSIONS = ("money", "share", "person", "energy", "mass", "length", "time", "temperature")
 
 
 @dataclass(frozen=True)
@@ -42,9 +43,11 @@ def _powers(**kinds: int) -> tuple[int, ...]:
 
 
 _YUAN, _SHARE, _PERSON = _powers(money=1), _powers(share=1), _powers(person=1)
-_KWH, _KG, _M, _MINUTE, _ONE = _powers(energy=1), _powers(mass=1), _powers(length=1), _powers(time=1), _powers()
+_KWH, _KG, _M, _MINUTE, _KELVIN, _ONE = _powers(energy=1), _powers(mass=1), _powers(length=1), _powers(time=1), _powers(temperature=1), _powers()
+#: An amount that has a unit which can't be read; it fits nothing.
+UNREADABLE = Unit((), Fraction(1))
 
-#: Atoms of unit expressions in the canonical units yuan, share, person, kWh, kg, m, minute.
+#: Atoms of unit expressions in the canonical units yuan, share, person, kWh, kg, m, minute, kelvin.
 ATOMS = {
     **{w: Unit(_YUAN, Fraction(1)) for w in ("元", "yuan", "rmb", "cny", "人民币")},
     **{w: Unit(_YUAN, Fraction(1, 10)) for w in ("角", "jiao")},
@@ -59,8 +62,8 @@ ATOMS = {
     **{w: Unit(_KWH, Fraction(1000)) for w in ("兆瓦时", "mwh")},
     **{w: Unit(_KWH, Fraction(1_000_000)) for w in ("吉瓦时", "gwh")},
     **{w: Unit(_KG, Fraction(1)) for w in ("千克", "公斤", "kg")},
-    **{w: Unit(_KG, Fraction(1000)) for w in ("吨", "t", "tonnes", "tonne", "tons")},
-    **{w: Unit(_KG, Fraction(1_000_000)) for w in ("kt", "kilotonnes")},
+    **{w: Unit(_KG, Fraction(1000)) for w in ("吨", "t", "tonnes", "tonne", "tons", "tco2e")},
+    **{w: Unit(_KG, Fraction(1_000_000)) for w in ("kt", "kilotonnes", "ktco2e")},
     **{w: Unit(_M, Fraction(1)) for w in ("米", "m", "metre", "metres")},
     **{w: Unit(_powers(length=2), Fraction(1)) for w in ("平方米", "sqm", "square metres", "square meters")},
     **{w: Unit(_powers(length=2), Fraction(10_000)) for w in ("公顷", "hectares", "hectare", "ha")},
@@ -71,34 +74,50 @@ ATOMS = {
     **{w: Unit(_MINUTE, Fraction(1)) for w in ("分钟", "minutes", "minute")},
     **{w: Unit(_MINUTE, Fraction(60)) for w in ("小时", "hours", "hour")},
     **{w: Unit(_MINUTE, Fraction(1440)) for w in ("天", "日", "days", "day")},
+    **{w: Unit(_KELVIN, Fraction(1), Fraction(27315, 100)) for w in ("℃", "°c", "摄氏度", "degrees celsius")},
+    **{w: Unit(_KELVIN, Fraction(5, 9), Fraction(45967, 180)) for w in ("℉", "°f", "华氏度", "degrees fahrenheit")},
+    **{w: Unit(_KELVIN, Fraction(1)) for w in ("开尔文", "kelvin")},
 }
+#: Atoms that are a unit only where a denominator follows.
+NOT_ALONE = ("角", "jiao", "分", "厘", "股", "share", "人民币", "rmb", "cny", "米", "metre", "metres")
 #: Words for powers of ten before a unit.
 SCALES = {"thousand": 10**3, "'000": 10**3, "million": 10**6, "mn": 10**6, "billion": 10**9, "bn": 10**9, "十": 10, "百": 100, "千": 1000, "万": 10**4, "亿": 10**8}
-#: Expressions in use, made of the atoms.
-EXPRESSIONS = (
-    *("元/股", "角/股", "分/股", "厘/股", "yuan per share", "jiao per share", "fen per share", "rmb per share"),
-    *("m²", "m³", "吨二氧化碳当量", "千克二氧化碳当量", "公斤二氧化碳当量", "tco2e", "tonnes of co2e", "kt of co2e", "kg of co2e"),
-)
 #: What may stand after a mass of greenhouse gas without changing it.
-_GAS = re.compile(r"(二氧化碳当量| ?of co2e|co2e)$")
+_GAS = r"(?:二氧化碳当量|\s?(?:of\s)?co2e)"
+_PER = r"(?:\s?/\s?|\sper\s(?!cent)|每)"
 
 
-def parse_unit(text: str) -> Unit:
-    """The unit that an expression means: atoms joined by `/` or `per`, with ² and ³ as exponents."""
-    out = Unit(_ONE, Fraction(1))
-    for k, part in enumerate(re.split(r"/| per (?!cent)", _GAS.sub("", text.strip().lower()))):
-        power = {"²": 2, "³": 3}.get(part[-1:], 1)
-        atom = ATOMS[part.rstrip("²³").strip()]
-        sign = -1 if k else 1
-        powers = tuple(a + sign * power * b for a, b in zip(out.powers, atom.powers, strict=True))
-        out = Unit(powers, out.scale * atom.scale ** (sign * power), out.offset + (atom.offset if not k else 0))
-    return out
+def _factor(text: str, scaled: bool) -> Unit | None:
+    """An atom with its exponent, behind a scale if there may be one."""
+    text = re.sub(f"{_GAS}$", "", text.strip())
+    power = {"²": 2, "³": 3}.get(text[-1:], 1)
+    name = text.rstrip("²³").strip()
+    if atom := ATOMS.get(name):
+        alone = atom.offset if power == 1 else Fraction(0)
+        return Unit(tuple(power * x for x in atom.powers), atom.scale**power, alone)
+    found = re.match(f"({_SCALE})\\s?(.+)", name) if scaled else None
+    inner = _factor(found.group(2) + text[len(text.rstrip("²³")) :], False) if found else None
+    return inner and Unit(inner.powers, inner.scale * scale_of(found.group(1)))
 
 
-def unit_table() -> dict[str, Unit]:
-    """All unit expressions the grammar knows, longest first."""
-    words = {w: parse_unit(w) for w in (*ATOMS, *EXPRESSIONS)}
-    return dict(sorted(words.items(), key=lambda x: -len(x[0])))
+@lru_cache(maxsize=100_000)
+def read_unit(text: str) -> Unit:
+    """The unit that an expression means: factors behind `/`, `per` or 每 divide. What isn't known makes it unreadable."""
+    first, *behind = re.split(_PER, text.strip().lower())
+    out = _factor(first, False)
+    for part in behind:
+        factor = _factor(part, True)
+        if out is None or factor is None:
+            return UNREADABLE
+        out = Unit(tuple(a - b for a, b in zip(out.powers, factor.powers, strict=True)), out.scale / factor.scale)
+    return out or UNREADABLE
+
+
+def parse_unit(text: str) -> Unit:
+    """The unit of an expression that must be known."""
+    if (found := read_unit(text)) is UNREADABLE:
+        raise ValueError(f"unknown unit: {text}")
+    return found
 
 
 # --- the grammar ------------------------------------------------------------------------------------------------------
@@ -113,7 +132,11 @@ def _words(words) -> str:
     return "|".join(re.escape(w).replace(r"\ ", r"\s") + ("(?![a-z])" if w[-1].isascii() and w[-1].isalpha() else "") for w in sorted(words, key=len, reverse=True))
 
 
-_UNIT = f"{_words([u for u in unit_table() if u not in ('角', '分', '厘', '股', 'share', 'rmb', 'cny', '人民币', '米', 'metre', 'metres')])}|per\\sshare(?![a-z])"
+_ATOM = rf"(?:(?:{_words(ATOMS)})[²³]?{_GAS}?)"
+#: Factors with their denominators, of which those behind a slash, `per` or 每 may be words that aren't known.
+_UNIT = rf"{_ATOM}(?:{_PER}(?:{_ATOM}|(?:{_SCALE})\s?{_ATOM}|[^\W\d_]+))*|per\s(?!cent)(?:{_ATOM}|[a-z]+)"
+#: The same to cut statements out of text: a denominator is any word there.
+_UNIT_CUT = rf"{_ATOM}(?:{_PER}\p{{L}}{{1,12}}[²³]?)*|per\s(?!cent)\p{{L}}+"
 _MONEY = r"人民币|rmb|cny|[¥￥]"
 #: 1 loss, 2 sign, 3 currency, 4 sign, 5 number, 6 second number of a compound, 7 scale, 8 unit, 9 scale without unit
 QUANTITY = (
@@ -121,7 +144,7 @@ QUANTITY = (
     rf"(?:\s?亿\s?({_NUMBER})(?=\s?万))?(?:\s?({_SCALE})?\s?({_UNIT})|\s?({_SCALE}))?"
 )
 #: The same without groups, to stand inside another expression.
-_Q = re.sub(r"\((?!\?)(?![^\[\]]*\])", "(?:", QUANTITY)
+_Q = re.sub(r"\((?!\?)(?![^\[\]]*\])", "(?:", QUANTITY.replace(_UNIT, _UNIT_CUT))
 _ABOUT = r"(?:\s?(?:为|达到|达|约|:|实现|是|合计|共计|近|仅|总计))*"
 _ENGLISH = r"\s(?:was|were|is|reached|amounted\sto|stood\sat|totalled|came\sto|of)\s(?:about\s|approximately\s|around\s|nearly\s)?"
 _STATED = r"(?:单位|数字|金额|amounts?|figures?)[^。;.\n0-9]{0,34}?(?:以|为|均为|:|\sin)\s?(?:人民币|rmb|cny)?\s?((?:[十百千万亿]*元)|(?:million|billion|thousand|'000))"
@@ -149,11 +172,6 @@ def _expressions() -> tuple[re.Pattern, ...]:
     return tuple(re.compile(x) for x in (rf"(?i){QUANTITY}", rf"(?i)^\s*{QUANTITY}\s*\)?\s*$", alone, rf"(?i){_STATED}"))
 
 
-@lru_cache(maxsize=1)
-def _units() -> dict[str, Unit]:
-    return unit_table()
-
-
 def chinese_number(text: str) -> int:
     """The whole number a Chinese numeral means."""
     total = section = digit = 0
@@ -184,12 +202,18 @@ def scale_of(word: str) -> int:
 def scaled_unit(scale: str, unit: str, money: bool) -> Unit | None:
     """The unit that a scale and a unit expression mean; `money` says that a currency stands before. None without a unit."""
     word = re.sub(r"\s", " ", unit.lower())
-    if word == "per share" and money:
-        word = "rmb per share"
-    elif not word and money:
+    if word.startswith("per ") and word != "per cent":
+        found = read_unit("元 " + word)
+        # Without a currency the numerator is open: that of shares stands elsewhere, and a word that isn't known is none.
+        if not money:
+            return None if word == "per share" or found is UNREADABLE else UNREADABLE
+        word = "元 " + word
+    elif not word:
+        if not money:
+            return None
         word = "元"
-    found = _units().get(word)
-    return found and Unit(found.powers, found.scale * scale_of(scale), found.offset)
+    found = read_unit(word)
+    return found if found is UNREADABLE else Unit(found.powers, found.scale * scale_of(scale), found.offset if scale_of(scale) == 1 else Fraction(0))
 
 
 def quantity(text: str, whole: bool = False) -> tuple[Fraction, Unit | None] | None:
@@ -198,6 +222,10 @@ def quantity(text: str, whole: bool = False) -> tuple[Fraction, Unit | None] | N
     if not match:
         return None
     loss, sign, money, second_sign, number, more, scale, unit, scale_alone = (x or "" for x in match.groups())
+    if unit.lower() in NOT_ALONE:
+        if whole:
+            return None
+        scale, unit, scale_alone = "", "", scale
     value = Fraction(re.sub("[, ]", "", number)) if number[0].isdigit() and number[0].isascii() else Fraction(chinese_number(number))
     if more:  # a compound is counted in 万: 795亿2,663万 is 7950000 + 2663
         value = value * 10**4 + Fraction(re.sub("[, ]", "", more))
@@ -212,6 +240,8 @@ def stated_unit(text: str | None) -> Unit | None:
     if not match:
         return None
     money, scale, unit, alone = (x or "" for x in match.groups())
+    if unit.lower() in NOT_ALONE:
+        return None
     return scaled_unit(scale or alone, unit, bool(money or alone))
 
 
@@ -286,7 +316,7 @@ def _cell_reader(known: Metrics):
                 number, unit = amount
                 if unit is None:
                     near = (unit_of_label, stated_unit(h), stated_unit(t), passage_unit(s))
-                    unit = next((u for u in near if metric.fits(u)), None)
+                    unit = next((u for u in near if u is UNREADABLE or metric.fits(u)), None)
                 value = metric.in_base(number, unit)
             ids.append(None if value is None else metric.metric_id)
             values.append(value)

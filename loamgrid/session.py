@@ -63,6 +63,11 @@ def small(df: DataFrame, limit: int = SMALL_ROWS, what: str = "table") -> list:
     return rows
 
 
+def fitting(df: DataFrame, limit: int = 1_000_000) -> DataFrame:
+    """A narrow table that is stored already, marked for a broadcast if it has at most `limit` rows; else as it is, to be joined by shuffles."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A test table by its name."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

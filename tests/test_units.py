@@ -21,13 +21,36 @@ def metric_table(spark):
 
 
 def test_units_are_products_of_atoms():
-    assert units.parse_unit("元/股").powers == (1, -1, 0, 0, 0, 0, 0)
+    assert units.parse_unit("元/股").powers == (1, -1, 0, 0, 0, 0, 0, 0)
     assert units.parse_unit("元/股").scale / units.parse_unit("厘/股").scale == 1000
-    assert units.parse_unit("m²").powers == units.parse_unit("平方米").powers == (0, 0, 0, 0, 0, 2, 0)
+    assert units.parse_unit("m²").powers == units.parse_unit("平方米").powers == (0, 0, 0, 0, 0, 2, 0, 0)
     assert units.parse_unit("tonnes of co2e").scale == 1000
     assert units.parse_unit("per cent").scale == Fraction(1, 100)
 
 
+def test_unit_expressions_are_read_with_their_denominators():
+    def powers(text, whole=False):
+        unit = units.quantity(text, whole)[1]
+        return unit and {d: p for d, p in zip(units.DIMENSIONS, unit.powers, strict=False) if p}
+
+    assert powers("5元/千瓦时") == powers("RMB 5 per kWh") == powers("5元每度") == {"money": 1, "energy": -1}
+    assert powers("3 kWh/m²", True) == {"energy": 1, "length": -2} and powers("1 kg/m³") == {"mass": 1, "length": -3}
+    assert powers("3吨/人同比增长") == {"mass": 1, "person": -1} and powers("2元/吨") == {"money": 1, "mass": -1}
+    assert units.quantity("5元/万股")[1].scale == Fraction(1, 10_000) and units.quantity("3 yuan per MWh")[1].scale == Fraction(1, 1000)
+    for text in ("3吨/套", "5元/户", "RMB 5 million per year", "2 tonnes per widget", "3吨每套"):
+        assert units.quantity(text)[1] is units.UNREADABLE
+    assert powers("5元/6元") == {"money": 1} and powers("5 per cent") == {} and units.quantity("5 per share")[1] is None
+    assert units.quantity("5分")[1] is None and units.quantity("5分", whole=True) is None and units.stated_unit("(分)") is None
+    assert units.stated_unit("(元/套)") is units.UNREADABLE
+
+
+def test_offsets_and_denominators_in_levels(spark):
+    table = spark.createDataFrame([(1, "机房温度", "room temperature", "temperature", "开尔文", []), (2, "用水强度", None, "intensity", "千克/平方米", None), (3, "电价", None, "price", "分/千瓦时", []), (4, "总资产", "total assets", "money", "元", [])], METRICS)
+    texts = {"a": "机房温度为26.85℃。", "b": "Room temperature was 80.33°F.", "c": "用水强度为0.5吨/m²,电价为0.62元/千瓦时。", "d": "总资产为5元/千瓦时。总资产达3亿元/户。", "e": "总资产为5亿元/年。"}
+    rows = units.found_levels(spark.createDataFrame([], PAGES), spark.createDataFrame([(k, "text", t, "z", 1) for k, t in texts.items()], CHUNKS), table)
+    assert {(r.rec_key, r.metric_id, r.value_base) for r in rows.collect()} == {("a", 1, 300), ("b", 1, 300), ("c", 2, 500), ("c", 3, 62)}
+
+
 def test_numbers():
     assert units.chinese_number("三百六十九亿") == 369 * 10**8
     assert units.chinese_number("两千零五万") == 2005 * 10**4
