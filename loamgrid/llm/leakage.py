@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from loamgrid.llm.canon import PLANES, blocks, decode, encode, fold_codes
-from loamgrid.session import durable, shared_folder
+from loamgrid.session import durable, fitting, shared_folder
 
 #: Letters and digits in a term, terms of which one has a posting, and the least length of a run that is sure to have one.
 TERM, WINDOW = 10, 10
@@ -186,7 +186,8 @@ def shared_runs(documents: DataFrame, items: DataFrame, run: int = 40, index: Da
         index = build_index(documents, shared_folder(documents.sparkSession, "postings"), doc_key, text)
     found = durable(candidate_runs(index, items, run, item_key, text))
     whole = documents.where(F.col(text).isNotNull()).select(F.col(doc_key).alias("doc_id"), F.col(text).alias("text"))
-    whole = whole.join(found.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", _letters_only("text").alias("letters"))
+    affected = durable(found.select("doc_id").distinct())
+    whole = whole.join(fitting(affected), "doc_id", "left_semi").select("doc_id", _letters_only("text").alias("letters"))
     parts = items.where(F.col(text).isNotNull()).select(F.col(item_key).alias("item_id"), _letters_only(F.col(text)).alias("wording"))
     begin = F.greatest(F.col("first") - (WINDOW - 1), F.lit(0), -F.col("offset"))
     rows = found.withColumn("begin", begin).withColumn("n", F.col("last") + WINDOW - F.col("begin")).join(parts, "item_id").join(whole, "doc_id")
