@@ -34,15 +34,13 @@ _BRACKETS = r"\([^()]*\)|【[^】]*】"
 _HAN, _KANA = r"\p{IsHan}", r"[\p{IsHiragana}\p{IsKatakana}]"
 _WORD = rf"{_HAN}|{_KANA}|[\p{{L}}\p{{N}}]+"
 
-#: Words that only one language uses so often.
-ENGLISH = "the of and to was were is are for in at by with from on it that this as not which stood reported year end over since during before after"
-FOREIGN = (
-    "der die das und ist für im den dem mit von nicht ein eine bericht jahr nennt weitere blieb laut wurde sich auf zu "
-    "le la les des du et est une selon rapport valeur sans après dans pour sur avec cette par au aux ne pas "
-    "el los las según informe y es una para con del valor año por "
-    "il lo gli che secondo rapporto valore di per con sono della "
-    "o os uma segundo relatório não em com do da no na para"
-)
+#: Scripts whose words are parted by blanks; a word of theirs weighs as much as two characters of Chinese or Japanese.
+ALPHABETS = ("Latin", "Cyrillic", "Hangul", "Greek", "Arabic", "Hebrew", "Thai", "Devanagari")
+#: A word belongs to a language's profile if it stands in this share of the texts and in this many at least; a profile has at most so
+#: many words, and is learned from so many texts at least.
+COMMON, COMMON_TEXTS, PROFILE, LEARNED = 0.03, 3, 100, 30
+#: A text of another language has a smaller share of a profile's words, a text of the same language a larger one.
+TYPICAL = 0.15
 
 
 def _letters(text: Column) -> Column:
@@ -134,12 +132,15 @@ def refusal_openings(pairs: DataFrame) -> DataFrame:
     that should not be rejected: what mostly answers the others says rightly that the material lacks the information.
     An opening without evidence that is too rare to recur counts if it is mostly made of the pairs of words of such classes.
     """
-    keyed = pairs.where("not plain").withColumn("id", F.xxhash64("opening"))
+    # Prompts that are alike are one prompt: a question with and without its mark, or in other words of the same template and names.
+    prompts = pairs.where("not plain").select(F.xxhash64("question").alias("q"), opening_of(F.col("question")).alias("opening")).distinct()
+    prompts = prompts.withColumn("id", F.xxhash64("opening")).join(opening_classes(prompts), "id", "left").select("q", F.coalesce("cls", "id").alias("prompt"))
+    keyed = pairs.where("not plain").withColumn("q", F.xxhash64("question")).join(prompts, "q").withColumn("id", F.xxhash64("opening"))
     # Openings by prompt: counted before any join.
     sums = [F.sum(F.col(c).cast("int")).alias(c) for c in ("evidence", "foreign", "expect_reject")]
-    keyed = durable(keyed.groupBy("id", "question").agg(F.count("*").alias("n"), *sums, F.min("opening").alias("opening")))
+    keyed = durable(keyed.groupBy("id", "prompt").agg(F.count("*").alias("n"), *sums, F.min("opening").alias("opening")))
     stats = keyed.join(opening_classes(pairs.where("not plain and not evidence")), "id")
-    by_class = stats.groupBy("cls", "question").agg(*[F.sum(c).alias(c) for c in ("n", "evidence", "foreign", "expect_reject")])
+    by_class = stats.groupBy("cls", "prompt").agg(*[F.sum(c).alias(c) for c in ("n", "evidence", "foreign", "expect_reject")])
     by_class = by_class.groupBy("cls").agg(F.count("*").alias("prompts"), *[F.sum(c).alias(c) for c in ("n", "evidence", "foreign", "expect_reject")])
     calm = (F.col("evidence") <= 0.1 * F.col("n")) & (F.col("foreign") <= 0.5 * F.col("n"))
     recurring = by_class.where((F.col("prompts") >= PROMPTS) & calm).withColumn("refuses", F.col("expect_reject") <= 0.5 * F.col("n"))
@@ -158,10 +159,6 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def _words(words: str) -> str:
-    return r"(?i)(?<![\p{L}])(?:" + "|".join(sorted(set(words.split()))) + r")(?![\p{L}])"
-
-
 def own_words(text: Column) -> Column:
     """The answer's own wording: no quotations, brackets, citations, table lines, units behind numbers or capitalised names."""
     text = F.regexp_replace(without_marks(text), r"(?m)^\s*\|.*$", " ")
@@ -169,15 +166,58 @@ def own_words(text: Column) -> Column:
     return F.regexp_replace(text, r"(?i)(?:rmb|cny)?\s?\d[\d,. ]*\s?(?:(?:thousand|million|billion|mn|bn|square|cubic|per|fen|kt|kg|tonnes|of|co2e|tco2e|yuan|share|cent|metres|megalitres|litres|hectares|minutes|hours|days|people|employees|bps|times|sqm|[kmg]wh|m²)(?![\p{L}])\s?)*", " ")
 
 
-def language_differs(question: Column, answer: Column) -> Column:
-    own = own_words(answer)
-    han, kana, latin = _count(own, _HAN), _count(own, _KANA), _count(own, r"[a-zA-ZÀ-ɏ]+")
-    foreign, english = _count(own, _words(FOREIGN)), _count(own, _words(ENGLISH))
-    chinese = _count(question, _HAN) > _count(question, r"[a-zA-Z]+")
+def script(text: Column) -> Column:
+    """struct<name, amount, words>: the script that most of a text is in. Japanese has kana; `words` counts words of an alphabet, else characters."""
+    han, kana = _count(text, _HAN), _count(text, _KANA)
     japanese = (kana >= 3) & (kana * 8 >= han)
-    to_chinese = japanese | ((latin >= 3) & (latin * 2 > han))
-    to_english = ((han + kana >= 4) & (han + kana > latin * 2)) | ((latin >= 3) & (foreign > english))
-    return F.when(chinese, to_chinese).otherwise(to_english)
+    east = F.struct((han + kana).alias("amount"), (han + kana).alias("words"), F.when(japanese, "Japanese").otherwise("Chinese").alias("name"))
+    found = [F.struct((2 * n).alias("amount"), n.alias("words"), F.lit(name).alias("name")) for name in ALPHABETS for n in [_count(text, rf"\p{{Is{name}}}[\p{{Is{name}}}\p{{M}}]*")]]
+    return F.greatest(east, *found)
+
+
+def text_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{M}]+)"), F.lit(1))
+
+
+def language_profiles(rows: DataFrame) -> dict[str, list[str]]:
+    """The common words of questions and of answers in the same script, by script: at most PROFILE words for each alphabet.
+
+    rows has question, own, asked and told (the scripts of both).
+    """
+    same = rows.where((F.col("asked.name") == F.col("told.name")) & F.col("asked.name").isin(*ALPHABETS))
+    texts = same.select(F.col("asked.name").alias("name"), F.explode(F.array("question", "own")).alias("text")).distinct()
+    words = texts.select("name", F.explode(F.array_distinct(text_words(F.col("text")))).alias("word")).groupBy("name", "word").agg(F.count("*").alias("n"))
+    totals = texts.groupBy("name").agg(F.count("*").alias("total")).where(F.col("total") >= LEARNED)
+    place = F.row_number().over(Window.partitionBy("name").orderBy(F.col("n").desc(), "word"))
+    words = words.where(F.col("n") >= COMMON_TEXTS).join(totals, "name").where(F.col("n") >= COMMON * F.col("total"))
+    out: dict[str, list[str]] = {}
+    for row in words.withColumn("place", place).where(F.col("place") <= PROFILE).select("name", "word").collect():  # a profile for each of a few alphabets
+        out.setdefault(row.name, []).append(row.word)
+    return out
+
+
+def _share(text: Column, name: Column, profiles: dict[str, list[str]]) -> tuple[Column, Column]:
+    """Words of a text, and the share of them that its script's profile has; null without a profile."""
+    words = text_words(text)
+    known = F.lit(None).cast("array<string>")
+    for script_name, profile in sorted(profiles.items()):
+        known = F.when(name == script_name, F.array(*map(F.lit, sorted(profile)))).otherwise(known)
+    return F.size(words), F.size(F.filter(words, lambda w: F.array_contains(known, w))) / F.nullif(F.size(words), F.lit(0))
+
+
+def script_differs(asked: Column, told: Column) -> Column:
+    """The answer's own wording is mostly in another script than the question."""
+    return (asked["words"] > 0) & (told["name"] != asked["name"]) & (told["words"] >= F.when(told["name"].isin("Chinese", "Japanese"), 4).otherwise(3))
+
+
+def words_differ(question: Column, own: Column, asked: Column, told: Column, profiles: dict[str, list[str]]) -> Column:
+    """The answer is in the question's script without the words that the question's language has in common, or the other way
+    round. Where the script has no profile nothing can be said."""
+    asked_words, asked_share = _share(question, asked["name"], profiles)
+    told_words, told_share = _share(own, told["name"], profiles)
+    other_words = (told["name"] == asked["name"]) & (told_words >= 3) & (asked_words >= 3)
+    other_words = other_words & (((asked_share >= TYPICAL) & (told_share < TYPICAL)) | ((asked_share == 0) & (told_share >= TYPICAL)))
+    return F.coalesce(other_words, F.lit(False))
 
 
 _NUMERALS = "一二三四五六七八九十"
@@ -221,20 +261,23 @@ def features(results: DataFrame) -> DataFrame:
     rows = rows.withColumn("copy", ~F.col("empty") & F.coalesce(copies(F.col("question"), F.col("answer")), F.lit(False)))
     rows = rows.withColumn("plain", F.col("empty") | F.col("copy"))
     evidence = F.regexp_replace(bare, _QUOTED, "“”").rlike(r"^[^。！？!?\n]*(?:\d|“”)") | F.col("answer").rlike(rf"^[^。！？!?\n]*{_MARKS}")
-    rows = rows.withColumn("foreign", ~F.col("plain") & F.coalesce(language_differs(F.col("question"), F.col("answer")), F.lit(False)))
+    rows = rows.withColumn("own", own_words(F.col("answer")))
+    rows = rows.withColumn("asked", script(F.coalesce("question", F.lit("")))).withColumn("told", script(F.coalesce("own", F.lit(""))))
+    rows = rows.withColumn("foreign", ~F.col("plain") & script_differs(F.col("asked"), F.col("told")))
     return rows.withColumn("opening", opening_of(F.col("answer"))).withColumn("evidence", F.coalesce(evidence, F.lit(False)))
 
 
 def defects(results: DataFrame) -> DataFrame:
     """result_id and defect of every broken pair."""
     rows = durable(features(results))
+    other_words = words_differ(F.col("question"), F.col("own"), F.col("asked"), F.col("told"), language_profiles(rows.where("not plain")))
     refused = refusal_openings(rows).withColumn("refused", F.lit(True))
     rows = rows.withColumn("id", F.xxhash64("opening")).join(refused, "id", "left")
     kind = (
         F.when(F.col("empty"), "empty")
         .when(F.col("copy"), "copy")
         .when(F.coalesce(F.col("refused"), F.lit(False)) & ~F.col("evidence"), "refusal")
-        .when(F.col("foreign"), "other_language")
+        .when(F.col("foreign") | other_words, "other_language")
         .when(breaks_off(F.col("answer")), "truncated")
     )
     return rows.select("result_id", kind.alias("defect")).where("defect is not null")

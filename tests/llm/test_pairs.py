@@ -6,6 +6,7 @@ from loamgrid.llm import pairs
 
 KIND = "result_id bigint, question string, answer string, expect_reject boolean, opening string, id int"
 ZH, EN = "东曦谷期货{}如何解释平均理赔时效的变动？", "What was the revenue of North {} Insurance in 2025?"
+NAMES = [a + b for a in ("An", "Bo", "Cheng", "Du") for b in ("", "hai", "ning", "ling", "xi")]
 
 
 def found(spark, rows):
@@ -27,10 +28,41 @@ def test_each_defect(spark):
         (q, "原因有以下两点：\n1. 甲。\n2. 乙。", None), (q, "为9小时[1]。\n\n| 指标 | 数值 |\n|---|---|\n| 时效 | 9小时 |", None), (e, "Revenue was 5 mn in 2025. [1]", None),
         (None, "为9小时。", None),
     ]
-    got = found(spark, [(a, b, None) for a, b, _ in cases])
+    # Ordinary pairs, from which the words of the language are learned.
+    usual = [(EN.format(n), f"The revenue of North {n} Insurance was CNY {k} mn in 2025 [1].", None) for k, n in enumerate(NAMES)]
+    usual += [(EN.format(n), f"It stood at {k} mn in {n}. The main drivers were the sales of the year.", None) for k, n in enumerate(NAMES)]
+    got = found(spark, [(a, b, None) for a, b, _ in [*cases, *usual]])
+    assert max(got) < len(cases)
     assert {k: got.get(k) for k in range(len(cases))} == {k: w for k, (_, _, w) in enumerate(cases)}
 
 
+def test_languages_without_lists_of_words(spark):
+    german = [(f"Wie hoch war der Umsatz der Gesellschaft {n} im Jahr 2025?", f"Der Umsatz der Gesellschaft {n} war im Jahr 2025 laut Bericht hoch.") for n in NAMES]
+    english = [(EN.format(n), f"The revenue of North {n} Insurance was large in 2025.") for n in NAMES]
+    same = [
+        ("平均処理時間はどのくらいですか？", "平均処理時間は九時間であり、前年と同じです。"), ("Какова выручка компании за год?", "Выручка компании за год выросла."), ("올해 매출은 얼마입니까?", "올해 매출은 크게 늘었습니다."),
+    ]
+    other = [
+        (EN.format("Xi"), "Выручка компании за год заметно выросла."), (EN.format("Xi"), "올해 매출은 크게 늘었습니다 그리고 안정적입니다."), (ZH.format("甲"), "Срок урегулирования составил девять часов."),
+        (ZH.format("甲"), "평균 처리 시간은 아홉 시간이었습니다."), ("平均処理時間はどのくらいですか？", "本年度平均处理时长为九小时，与上年持平。"), ("Какова выручка компании за год?", "The revenue of the company was large in the year."),
+        (EN.format("Xi"), "Der Umsatz der Gesellschaft blieb laut Bericht stabil."), (EN.format("Xi"), "所给材料显示营业收入有所增长。"), ("올해 매출은 얼마입니까?", "本年度营业收入有所增长。"),
+    ]
+    rows = [*english, *same, *other]
+    got = found(spark, [(a, b, None) for a, b in rows])
+    assert got == {k: "other_language" for k in range(len(english) + len(same), len(rows))}
+    # A table of German pairs has a German profile, and English is the other language there.
+    rows = [*german, ("Wie hoch war der Umsatz der Gesellschaft G im Jahr 2025?", "Revenue of this company rose again during last year.")]
+    assert found(spark, [(a, b, None) for a, b in rows]) == {len(german): "other_language"}
+
+
+def test_a_question_and_its_variant_are_one_prompt(spark):
+    q = "".join(chr(0x4E00 + 7 * k) for k in range(30))
+    rows = [(ZH.format(k), f"根据第{k}页，为{k}小时。[1]", False) for k in range(8)]
+    said = "对不起，该请求超出了我可以提供帮助的范围。"
+    assert found(spark, [*rows, (q, said, False), (q + "？", said, False), (q + "呢", said, False)]) == {}
+    assert set(found(spark, [*rows, (q, said, False), (q + "？", said, False), (ZH.format("子"), said, False)]).values()) == {"refusal"}
+
+
 def test_templates_reveal_refusals(spark):
     rows = []
     for k in range(40):
