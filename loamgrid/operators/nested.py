@@ -1,9 +1,10 @@
 """Deeply nested semi-structured records as related flat tables that keep parent and child linked.
 
-A depth-first walk visits each record once and emits every node as one tagged row: tag, pk, parent, pos, payload. All tables of
-one source come from that single pass; `write_tables` stores them partitioned by tag and `read_table` applies a tag's schema.
+A depth-first walk visits each record once and emits every node as one tagged row: tag, pk, parent, path, leaf, payload. All tables of
+one source come from that single pass; `write_tables` stores them partitioned by source and tag and `read_table` applies a tag's schema.
 Arrays of known type are walked by array functions in the JVM. Payloads of uneven JSON are walked by a small visitor in
-Arrow batches, as no fixed schema can read them.
+Arrow batches, as no fixed schema can read them. A pk is made of positions, so that it is unique whatever the records call themselves; the
+path has their own numbers where they have some.
 
 Defined results: null or empty records, lists and payloads give nothing; text that is no JSON object gives nothing; an empty
 string is a leaf, a null isn't; missing keys give null fields; rows delivered again count once; other columns are left out, so
@@ -19,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.session import fresh
+from loamgrid.session import fresh_rows
 
-#: One emitted node. `path` is the place below the record, `leaf` the value that identifies a child, if it has one.
+#: One emitted node. `key` is the record's, `path` the place below it, `leaf` the value that identifies a child, if it has one.
 TAGGED = "tag string, pk string, parent string, path string, leaf string, payload string"
 
 
@@ -38,7 +39,7 @@ def walk_tables(df: DataFrame, key: str, tables: str) -> DataFrame:
     none = F.lit(None).cast("string")
 
     def cells(at: Column, row: Column) -> Column:
-        every = F.transform(row, lambda cell, k: _node(tag=F.lit("cell"), pk=F.concat_ws("/", at, _text(k)), parent=at, leaf=cell, payload=cell))
+        every = F.transform(row, lambda cell, k: _node(tag=F.lit("cell"), pk=F.concat_ws("/", at, _text(k)), parent=at, leaf=cell, payload=none))
         return F.filter(every, lambda x: x["leaf"].isNotNull())
 
     def rows(at: Column, all_rows: Column) -> Column:
@@ -93,7 +94,7 @@ def _deep(record, name: str):
 
 
 _RESULT = frozenset({"no", "question", "kind", "chunks", "per_company_coverage", "recall"})
-_CHUNK = frozenset({"idx", "chunk_id", "meta", "retrieval", "snippet", "company", "page"})
+_CHUNK = frozenset({"idx", "chunk_id", "meta", "retrieval", "snippet", "company", "page", "section", "kind", "rrf_score"})
 _COVER = frozenset({"company", "covered", "n_chunks", "chunk_idxs", "cited_in_answer"})
 
 
@@ -101,37 +102,57 @@ def _word(value) -> str | None:
     return None if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
 
-def visit(payload: str) -> Iterator[tuple[str, str, str, str | None, str]]:
-    """tag, path, parent path, leaf and payload of each node of one evaluation run, parents first."""
+def _leaves(record: dict) -> dict:
+    """A record without levels: fields of records inside it stand beside its own, which come first."""
+    out, inner = {}, []
+    for name, value in record.items():
+        if isinstance(value, dict):
+            inner.append(value)
+        elif value is not None:
+            out[name] = value
+    for value in inner:
+        out = _leaves(value) | out
+    return out
+
+
+def _json(value) -> str:
+    return json.dumps(value, ensure_ascii=False)
+
+
+def visit(payload: str) -> Iterator[tuple[str, str, str, str, str | None, str]]:
+    """tag, pk, parent, path, leaf and payload of each node of one evaluation run, parents first; pk and parent below the run's own."""
     try:
         run = json.loads(payload)
     except (ValueError, RecursionError):
         return
     if not isinstance(run, dict):
         return
-    yield "run", "", "", _word(_deep(run.get("run"), "id")), json.dumps(run.get("run"), ensure_ascii=False)
+    yield "run", "", "", "", _word(_deep(run.get("run"), "id")), _json({k: v for k, v in run.items() if k not in ("result", "results")})
     results = [x for name in ("result", "results") for x in _records(_deep(run, name) if name not in run else run[name], _RESULT)]
     for at, (under, result) in enumerate(results):
-        no = _word(result.get("no", under)) or str(at + 1)
-        yield "result", no, "", _word(result.get("question")), json.dumps({k: v for k, v in result.items() if k not in ("chunks", "per_company_coverage")}, ensure_ascii=False)
+        no, own = _word(result.get("no", under)) or str(at + 1), str(at)
+        yield "result", own, "", no, _word(result.get("question")), _json({k: v for k, v in result.items() if k not in ("chunks", "per_company_coverage")})
         for k, (under, chunk) in enumerate(_records(result.get("chunks"), _CHUNK)):
             idx = _word(chunk.get("idx", under)) or str(k + 1)
-            flat = {name: _deep(chunk, name) for name in ("chunk_id", "company", "page", "vector_rank", "bm25_rank", "snippet")}
-            yield "chunk", f"{no}/{idx}", no, _word(flat["chunk_id"]), json.dumps({"idx": idx} | flat, ensure_ascii=False)
+            flat = _leaves(chunk)
+            yield "chunk", f"{own}/c{k}", own, f"{no}/{idx}", _word(flat.get("chunk_id")), _json(flat | {"idx": idx})
         cover = result.get("per_company_coverage")
-        for k, (_, one) in enumerate(_records(cover.get("coverage") if isinstance(cover, dict) else None, _COVER)):
-            yield "coverage", f"{no}/{k}", no, _word(_deep(one, "company")), json.dumps(one, ensure_ascii=False)
+        if not isinstance(cover, dict):
+            continue
+        yield "cover", f"{own}/p", own, no, None, _json({k: v for k, v in cover.items() if k != "coverage"})
+        for k, (_, one) in enumerate(_records(cover.get("coverage"), _COVER)):
+            yield "coverage", f"{own}/p/{k}", f"{own}/p", f"{no}/{k}", _word(_deep(one, "company")), _json(_leaves(one))
 
 
 def walk_payloads(df: DataFrame, key: str, payload: str) -> DataFrame:
-    """Tags `run`, `result`, `chunk` and `coverage` of JSON payloads of uneven shape."""
+    """Tags `run`, `result`, `chunk`, `cover` and `coverage` of JSON payloads of uneven shape."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             out: list[list] = [[] for _ in range(7)]
             for k, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                for tag, path, above, leaf, body in visit(text):
-                    for column, value in zip(out, (k, tag, f"{k}/{path}" if path else k, f"{k}/{above}" if above else k, path, leaf, body), strict=True):
+                for tag, pk, above, path, leaf, body in visit(text):
+                    for column, value in zip(out, (k, tag, f"{k}/{pk}" if pk else k, f"{k}/{above}" if above else k if pk else "", path, leaf, body), strict=True):
                         column.append(value)
             names = ["key", *(x.split()[0] for x in TAGGED.split(", "))]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=names)
@@ -140,34 +161,55 @@ def walk_payloads(df: DataFrame, key: str, payload: str) -> DataFrame:
     return narrow.mapInArrow(batches, "key string, " + TAGGED)
 
 
-def found_leaves(pages: DataFrame, results: DataFrame, raw: DataFrame) -> DataFrame:
-    """Leaves of the nested tables with the place they hang at: src, parent_key, path, leaf."""
-    cells = walk_tables(fresh(pages.select("page_id", "tables"), "page_id"), "page_id", "tables").where("tag = 'cell'").withColumn("src", F.lit("page_records.tables"))
-    chunks = walk_structs(fresh(results.select("result_id", "chunks"), "result_id"), "result_id", "chunks", "chunk_id", "chunk").withColumn("src", F.lit("eval_results.chunks"))
-    nodes = walk_payloads(fresh(raw.select("raw_id", "payload"), "raw_id"), "raw_id", "payload").where("tag in ('chunk', 'coverage')")
-    nodes = nodes.withColumn("src", F.when(F.col("tag") == "chunk", "raw_results.chunks").otherwise("raw_results.coverage"))
-    out = [x.select("src", F.col("key").alias("parent_key"), "path", "leaf") for x in (cells, chunks, nodes)]
-    return out[0].unionByName(out[1]).unionByName(out[2].distinct()).where("leaf is not null")
+def all_nodes(pages: DataFrame, results: DataFrame, raw: DataFrame) -> DataFrame:
+    """Tagged rows of all nested columns: src, key, tag, pk, parent, path, leaf and payload."""
+    parts = {
+        "page_records": walk_tables(fresh_rows(pages.select("page_id", "tables"), "page_id"), "page_id", "tables"),
+        "eval_results": walk_structs(fresh_rows(results.select("result_id", "chunks"), "result_id"), "result_id", "chunks", "chunk_id", "chunk"),
+        "raw_results": walk_payloads(fresh_rows(raw.select("raw_id", "payload"), "raw_id"), "raw_id", "payload"),
+    }
+    out = None
+    for src, nodes in parts.items():
+        nodes = nodes.select(F.lit(src).alias("src"), "key", *(x.split()[0] for x in TAGGED.split(", ")))
+        out = nodes if out is None else out.unionByName(nodes)
+    return out
 
 
-#: What `read_table` makes of each tag's payload.
+#: What `read_table` makes of each tag's payload. Fields beyond these stay in the payload.
 SCHEMAS = {
-    "run": "id string",
+    "run": "run struct<id: string, config: struct<topk: int, fusion: struct<k: int>>>",
     "result": "no string, question string, kind string, recall struct<n_vector: int, n_bm25: int>",
-    "chunk": "idx string, chunk_id string, company string, page string, vector_rank int, bm25_rank int, snippet string",
+    "chunk": "idx string, chunk_id string, company string, section string, page string, kind string, rrf_score double, vector_rank int, bm25_rank int, snippet string",
+    "cover": "targets array<string>, covered int, missing array<string>",
     "coverage": "company string, covered boolean, n_chunks int, chunk_idxs array<int>, cited_in_answer boolean",
     "table": "title string, degraded boolean",
 }
 
 
 def write_tables(nodes: DataFrame, folder: str) -> None:
-    """Stores all tables of one pass, a folder for each tag."""
-    nodes.write.mode("overwrite").partitionBy("tag").parquet(folder)
+    """Stores all tables of one pass, a folder for each source and tag."""
+    nodes.write.mode("overwrite").partitionBy("src", "tag").parquet(folder)
 
 
-def read_table(spark: SparkSession, folder: str, tag: str) -> DataFrame:
-    """One flat table: pk, parent, path and the fields of the tag's schema. Only its folder is read."""
-    rows = spark.read.parquet(folder).where(F.col("tag") == tag)
+def read_table(spark: SparkSession, folder: str, src: str, tag: str) -> DataFrame:
+    """One flat table: key, pk, parent, path, leaf and the fields of the tag's schema. Only its folder is read."""
+    kind = "key string, pk string, parent string, path string, leaf string, payload string, src string, tag string"
+    rows = spark.read.schema(kind).parquet(folder).where((F.col("src") == src) & (F.col("tag") == tag))
+    own = ["key", "pk", "parent", "path", "leaf"]
     if tag not in SCHEMAS:
-        return rows.select("pk", "parent", "path", F.col("leaf").alias("value"))
-    return rows.select("pk", "parent", "path", F.from_json("payload", SCHEMAS[tag]).alias("x")).select("pk", "parent", "path", "x.*")
+        return rows.select(*own)
+    return rows.select(*own, F.from_json("payload", SCHEMAS[tag]).alias("x")).select(*own, "x.*")
+
+
+#: Where the leaves of each source stand: source, tag and the name of both together.
+LEAVES = (("page_records", "cell", "page_records.tables"), ("eval_results", "chunk", "eval_results.chunks"), ("raw_results", "chunk", "raw_results.chunks"), ("raw_results", "coverage", "raw_results.coverage"))
+
+
+def found_leaves(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaves of the flat tables in a folder with the place they hang at: src, parent_key, path, leaf."""
+    out = None
+    for src, tag, name in LEAVES:
+        rows = read_table(spark, folder, src, tag).where("leaf is not null").select(F.lit(name).alias("src"), F.col("key").alias("parent_key"), "path", "leaf")
+        rows = rows.distinct() if src == "raw_results" else rows  # results may bear one number twice
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -83,3 +83,14 @@ def fresh(df: DataFrame, key: str) -> DataFrame:
     """One row for each key: rows delivered again are the same row. Which of unequal copies stays is left open."""
     return df.dropDuplicates([key])
 
+
+
+def fresh_rows(df: DataFrame, key: str) -> DataFrame:
+    """The same for wide rows: only rows whose key occurs several times are shuffled, as long as these keys are few enough to broadcast.
+
+    Rows without a key all stay.
+    """
+    twice = durable(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key))
+    if twice.limit(1_000_001).count() > 1_000_000:
+        return df.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(df.where(F.col(key).isNull()))
+    return df.join(F.broadcast(twice), key, "left_anti").unionByName(df.join(F.broadcast(twice), key, "left_semi").dropDuplicates([key]))

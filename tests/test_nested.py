@@ -1,5 +1,6 @@
 import json
 
+from loamgrid import session
 from loamgrid.operators import nested
 
 TABLES = "page_id bigint, tables array<struct<title:string,rows:array<array<string>>,degraded:boolean>>"
@@ -7,8 +8,10 @@ CHUNKS = "result_id bigint, chunks array<struct<idx:int,chunk_id:string>>"
 
 
 def leaves(spark, pages=(), results=(), raw=()):
-    found = nested.found_leaves(spark.createDataFrame(list(pages), TABLES), spark.createDataFrame(list(results), CHUNKS), spark.createDataFrame(list(raw), "raw_id bigint, payload string"))
-    return sorted(tuple(r) for r in found.collect())
+    nodes = nested.all_nodes(spark.createDataFrame(list(pages), TABLES), spark.createDataFrame(list(results), CHUNKS), spark.createDataFrame(list(raw), "raw_id bigint, payload string"))
+    folder = session.shared_folder(spark, "nested")
+    nested.write_tables(nodes, folder)
+    return sorted(tuple(r) for r in nested.found_leaves(spark, folder).collect())
 
 
 def test_cells_keep_their_place(spark):
@@ -34,10 +37,24 @@ def test_structs_and_empty_tables(spark):
 
 
 def test_tables_are_written_by_tag_and_read_with_their_schema(spark, tmp_path):
-    run = {"run": {"id": "r"}, "results": [{"no": 1, "question": "q", "recall": {"n_vector": 4}, "chunks": [{"idx": 1, "chunk_id": "c", "page": "9", "retrieval": {"vector_rank": 2}}]}]}
-    nodes = nested.walk_payloads(spark.createDataFrame([(5, json.dumps(run))], "raw_id bigint, payload string"), "raw_id", "payload")
+    chunk = {"idx": 1, "chunk_id": "c", "page": "9", "retrieval": {"vector_rank": 2, "rrf_score": 0.5}, "meta": {"section": "s", "kind": "text"}, "more": [1]}
+    cover = {"targets": ["A", "B"], "covered": 1, "missing": ["B"], "coverage": [{"company": "A", "covered": True, "chunk_idxs": [1]}, {"company": "B"}]}
+    run = {"run": {"id": "r", "config": {"topk": 8}}, "results": [{"no": 2, "question": "q", "recall": {"n_vector": 4}, "chunks": [chunk], "per_company_coverage": cover}, {"chunks": {"chunk_id": "d"}}]}
+    rows = spark.createDataFrame([(5, json.dumps(run), "x")], "raw_id bigint, payload string, tag string")
+    nodes = nested.all_nodes(spark.createDataFrame([(1, [("t", [["a"]], True)])], TABLES), spark.createDataFrame([(1, [(1, "a")])], CHUNKS), rows)
     nested.write_tables(nodes, str(tmp_path / "t"))
-    chunk = nested.read_table(spark, str(tmp_path / "t"), "chunk").first()
-    assert (chunk.pk, chunk.parent, chunk.chunk_id, chunk.page, chunk.vector_rank, chunk.bm25_rank) == ("5/1/1", "5/1", "c", "9", 2, None)
-    assert nested.read_table(spark, str(tmp_path / "t"), "result").first().recall.n_vector == 4
-    assert nested.read_table(spark, str(tmp_path / "t"), "run").first().parent == "5"
+
+    def read(tag, src="raw_results"):
+        return nested.read_table(spark, str(tmp_path / "t"), src, tag).orderBy("pk").collect()
+
+    first, second = read("chunk")
+    assert (first.pk, first.parent, first.path, first.chunk_id, first.page, first.vector_rank, first.bm25_rank) == ("5/0/c0", "5/0", "2/1", "c", "9", 2, None)
+    # No field is lost, and a number by place that another result bears itself leaves the keys apart.
+    assert (first.section, first.kind, first.rrf_score) == ("s", "text", 0.5) and (second.pk, second.path) == ("5/1/c0", "2/1")
+    assert json.loads(nodes.where("pk = '5/0/c0'").first().payload)["more"] == [1]
+    assert read("result")[0].recall.n_vector == 4 and read("run")[0].parent == "" and read("run")[0].run.config.topk == 8
+    assert (read("cover")[0].targets, read("cover")[0].covered, read("cover")[0].missing) == (["A", "B"], 1, ["B"])
+    assert [(r.company, r.parent, r.path, r.chunk_idxs) for r in read("coverage")] == [("A", "5/0/p", "2/0", [1]), ("B", "5/0/p", "2/1", None)]
+    assert [(r.pk, r.leaf) for r in read("cell", "page_records")] == [("1/0/0/0", "a")] and read("table", "page_records")[0].degraded
+    keys = [(r.src, r.pk) for r in nodes.collect()]
+    assert len(keys) == len(set(keys)) and {(r.src, r.parent) for r in nodes.collect() if r.parent not in ("", r.key)} <= set(keys)
