@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from loamgrid.functions.glyphs import compositions, foldings
+from loamgrid.session import durable
 
 #: Bytes of text that are folded at once; bounds the memory of a task whatever the rows hold.
 BLOCK_BYTES = 2_000_000
@@ -190,25 +191,32 @@ def canonical_text(df: DataFrame, column: str = "text", to: str | None = None) -
     return df.withColumn(to or column, canonical(F.col(column)))
 
 
-def fingerprint(text: Column) -> list[Column]:
-    """128 bits of a text as two columns; equal texts have equal ones."""
-    return [F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit("salt")).alias("h2")]
+def marked_rows(df: DataFrame, key: str, text: str) -> DataFrame:
+    """k, 128 bits of the form (f1, f2) and of the string (r1, r2) of each text; stored, as texts are folded once only."""
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), canonical(F.col(text)).alias("f"))
+    bits = [F.xxhash64(x, *salt).alias(n) for n, x, salt in (("f1", "f", ()), ("f2", "f", (F.lit("salt"),)), ("r1", "t", ()), ("r2", "t", (F.lit("salt"),)))]
+    return durable(rows.select("k", *bits))
 
 
-def lookalike_pairs(df: DataFrame, key: str = "key", text: str = "text", hot: int = 20_000, salts: int = 64) -> DataFrame:
+def lookalike_classes(df: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
+    """key and class (its smallest key) of each row whose text has the form of a different string, with the class's strings and rows."""
+    marked = marked_rows(df, key, text).distinct()
+    strings = marked.groupBy("f1", "f2", "r1", "r2").agg(F.min("k").alias("least"), F.count("*").alias("n"))
+    classes = strings.groupBy("f1", "f2").agg(F.min("least").alias("class"), F.count("*").alias("n_strings"), F.sum("n").alias("n_rows")).where("n_strings > 1")
+    return marked.join(classes, ["f1", "f2"]).select(F.col("k").alias("key"), "class", "n_strings", "n_rows").distinct()
+
+
+def lookalike_pairs(df: DataFrame, key: str = "key", text: str = "text", hot: int = 1_000, salts: int = 64) -> DataFrame:
     """Pairs of keys whose texts differ as strings but have one form: columns key_a < key_b.
 
     Only fingerprints are shuffled. A class of rows of one form takes part only if it holds two different strings. Rows of
     a class with more than `hot` members are salted on one side and repeated for each salt on the other, so that its pairs
     are made by many tasks. Null texts take no part. A key that comes with several different texts is not paired with itself.
     """
-    marked = df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    marked = marked.withColumn("f", canonical(F.col("t"))).select(
-        "k", F.xxhash64("f").alias("f1"), F.xxhash64("f", F.lit("salt")).alias("f2"), F.xxhash64("t").alias("r1"), F.xxhash64("t", F.lit("salt")).alias("r2")
-    )
+    marked = marked_rows(df, key, text)
     classes = marked.groupBy("f1", "f2").agg(F.min("r1").alias("a"), F.max("r1").alias("b"), F.count("*").alias("n"))
     classes = classes.where("a <> b").select("f1", "f2", (F.col("n") > hot).alias("big"))
-    rows = marked.join(classes, ["f1", "f2"]).distinct()
+    rows = durable(marked.join(classes, ["f1", "f2"]).distinct())
     left = rows.withColumn("s", F.when(F.col("big"), F.pmod(F.xxhash64("k"), F.lit(salts))).otherwise(F.lit(0)).cast("int"))
     right = rows.withColumn("s", F.explode(F.when(F.col("big"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     a, b = left.alias("a"), right.alias("b")

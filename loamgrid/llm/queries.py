@@ -22,6 +22,24 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return out[0].unionByName(out[1])
 
 
+def p2_canonical(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text of documents and chunks in its one form."""
+    out = []
+    for name, key in (("documents", "doc_id"), ("chunks", "chunk_id")):
+        rows = canon.canonical_text(spread_out(table(spark, folder, name).select(F.col(key).cast("string").alias("key"), "text")))
+        out.append(rows.select(F.lit(name).alias("tbl"), "key", "text"))
+    return out[0].unionByName(out[1])
+
+
+def p2_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of rows of one table whose texts differ but read the same, and their members."""
+    out = []
+    for name, key in (("documents", "doc_id"), ("chunks", "chunk_id")):
+        rows = spread_out(table(spark, folder, name).select(F.col(key).cast("string").alias("key"), "text"))
+        out.append(canon.lookalike_classes(rows).select(F.lit(name).alias("tbl"), "key", "class", "n_strings", "n_rows"))
+    return out[0].unionByName(out[1])
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """Running lines of documents by source and of page records by company."""
     out = []
@@ -32,8 +50,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_cleaned(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents without their running lines."""
-    return repeated_lines.without_running_lines(table(spark, folder, "documents"), "doc_id", "source", "text")
+    """Documents and page records without their running lines."""
+    out = []
+    for name, key, group in (("documents", "doc_id", "source"), ("page_records", "page_id", "code")):
+        rows = repeated_lines.without_running_lines(spread_out(table(spark, folder, name).select(key, group, "text")), key, group, "text")
+        out.append(rows.select(F.lit(name).alias("tbl"), "row_id", "text", "n_removed"))
+    return out[0].unionByName(out[1])
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,5 +88,5 @@ def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_texts(_documents(spark, folder), table(spark, folder, "size_limits"))
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_cleaned": p3_cleaned, "p5_found": p5_found, "p6_found": p6_found, "p6_proximity": p6_proximity, "p7_selection": p7_selection, "p7_shares": p7_shares, "p8_pieces": p8_pieces}
+QUERIES = {f.__name__: f for f in (p2_found, p2_canonical, p2_classes, p3_found, p3_cleaned, p5_found, p6_found, p6_proximity, p7_selection, p7_shares, p8_pieces)}
 SQL: dict[str, str] = {}

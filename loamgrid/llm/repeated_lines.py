@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamgrid.llm.canon import canonical
-from loamgrid.session import durable
+from loamgrid.session import durable, fitting, fresh_rows
 
 #: Copies of the short lists of lines, one for each salt of the rows of a source.
 SALTS = 32
+#: Groups whose lists are broadcast.
+LISTS = 20_000
 #: Steps of the histogram of ratios and its last bin, beyond which a chance is below 1e-20.
 STEP, LAST = 0.05, 2000
 
@@ -65,6 +67,7 @@ def keyed_lines(df: DataFrame, key: str, group: str, text: str) -> DataFrame:
 def excess_lines(rows: DataFrame, min_rows: int = 3, min_share: float = 0.2, rate: float = 0.1) -> DataFrame:
     """grp, key and g of lines in significant excess that pass the exact rule."""
     counts = rows.select("grp", F.explode(F.array_distinct(F.array_compact("keys"))).alias("key")).groupBy("grp", "key").agg(F.count("*").alias("n"))
+    counts = durable(counts)
     sizes = rows.groupBy("grp").agg(F.count("*").alias("size"))
     total = rows.count()
     totals = counts.groupBy("key").agg(F.sum("n").alias("n_all"), F.max("n").alias("most")).where(F.col("most") >= min_rows).drop("most")
@@ -73,30 +76,47 @@ def excess_lines(rows: DataFrame, min_rows: int = 3, min_share: float = 0.2, rat
     tested = tested.join(totals, "key").join(running, "key", "left")
     own = F.when(F.col("running"), F.lit(0)).otherwise(F.col("n"))
     outside = F.greatest(F.col("n_all") - F.coalesce("n_running", F.lit(0)) - own, F.lit(0))
-    # One imagined row outside keeps the ratio defined where a single source is all there is.
-    g = log_likelihood_ratio(F.col("n"), F.col("size"), outside, F.greatest(F.lit(total) - F.col("size"), F.lit(1)))
+    # Where a source is most of the table, as many imagined rows without the line stand outside. A line that others hold just below
+    # the share is still in excess of what is usual, so the background counts up to a quarter of the share.
+    rest = F.greatest(F.lit(total) - F.col("size"), F.col("size"))
+    outside = F.when(F.col("running"), F.least(outside, F.floor(rest * (min_share / 4)))).otherwise(outside)
+    g = log_likelihood_ratio(F.col("n"), F.col("size"), outside, rest)
     tested = durable(tested.select("grp", "key", "n", "size", "running", g.alias("g")))
     lowest = critical_ratio(tested, rate)
     return tested.where((F.col("g") >= lowest) & F.col("running")).select("grp", "key", "g")
 
 
-def lines_to_remove(df: DataFrame, key: str, group: str, text: str, min_rows: int = 3, min_share: float = 0.2, rate: float = 0.1) -> DataFrame:
-    """row_id and line_no, from 0, of every running line.
+def with_running(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """Rows of a group (grp) that has running lines, with the keys of these lines.
 
-    A source has at most 1 / min_share times its mean number of lines as running lines, so their list by source is short.
-    Rows of a large source are salted and meet a copy of the list each.
+    A group has at most 1 / min_share times its mean number of lines as running lines, so its list is short. Lists of few
+    groups are broadcast; else rows are salted, so that those of a large group meet a copy of its list each in many tasks.
     """
-    rows = keyed_lines(df, key, group, text)
-    lists = excess_lines(rows, min_rows, min_share, rate).groupBy("grp").agg(F.collect_set("key").alias("running"))
+    lists = durable(lists.groupBy("grp").agg(F.collect_set("key").alias("running")))
+    if lists.count() <= LISTS:
+        return rows.join(F.broadcast(lists), "grp")
     lists = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int"))
-    hit = rows.join(lists, ["grp", "salt"]).select("row_id", F.posexplode("keys").alias("line_no", "key"), "running")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int")).join(lists, ["grp", "salt"]).drop("salt")
+
+
+def lines_to_remove(df: DataFrame, key: str, group: str, text: str, min_rows: int = 3, min_share: float = 0.2, rate: float = 0.1) -> DataFrame:
+    """row_id and line_no, from 0, of every running line."""
+    rows = keyed_lines(df, key, group, text)
+    hit = with_running(rows, excess_lines(rows, min_rows, min_share, rate)).select("row_id", F.posexplode("keys").alias("line_no", "key"), "running")
     return hit.where(F.array_contains("running", F.col("key"))).select("row_id", "line_no")
 
 
 def without_running_lines(df: DataFrame, key: str, group: str, text: str, **limits) -> DataFrame:
-    """row_id, the text put together again from the lines that stay, and how many went. Rows without such lines stay whole."""
-    gone = lines_to_remove(df, key, group, text, **limits).groupBy("row_id").agg(F.collect_set("line_no").alias("gone"))
-    rows = df.select(F.col(key).alias("row_id"), F.col(text).alias("text")).dropDuplicates(["row_id"]).join(gone, "row_id", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
-    return rows.select("row_id", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept).alias("text"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_removed"))
+    """row_id, the text put together again by position from the lines that stay, and how many went; one row for each key.
+
+    Each row's lines are anti-joined with its group's list where they stand, so that no text is shuffled but for rows
+    delivered again. Rows without a group or without such lines stay whole; a null text stays null.
+    """
+    gone = durable(excess_lines(keyed_lines(df, key, group, text), **limits))
+    rows = fresh_rows(df.select(F.col(key).alias("row_id"), F.col(group).alias("grp"), F.col(text).alias("text")), "row_id")
+    listed = durable(gone.select("grp").distinct())
+    found = with_running(rows.where("text is not null").withColumn("keys", line_keys(canonical(F.col("text")))), gone)
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("running", F.get("keys", i)) | F.get("keys", i).isNull())
+    found = found.withColumn("kept", kept).select("row_id", F.array_join("kept", "\n").alias("text"), (F.size("keys") - F.size("kept")).alias("n_removed"))
+    rest = rows.where("text is not null and grp is not null").join(fitting(listed), "grp", "left_anti").unionByName(rows.where("text is null or grp is null"))
+    return found.unionByName(rest.select("row_id", "text", F.lit(0).alias("n_removed")))

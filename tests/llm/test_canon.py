@@ -58,3 +58,6 @@ def test_pairs(spark):
     for hot in (20_000, 1):  # salted or not
         assert sorted(tuple(r) for r in canon.lookalike_pairs(data, hot=hot).collect()) == want
     assert canon.lookalike_pairs(data.limit(0)).count() == 0
+    got = {(r.key, r["class"], r.n_strings, r.n_rows) for r in canon.lookalike_classes(data).collect()}
+    assert got == {("1", "1", 2, 3), ("2", "1", 2, 3), ("3", "1", 2, 3), ("6", "6", 2, 2), ("7", "6", 2, 2)}
+    assert canon.lookalike_classes(data.limit(0)).count() == 0

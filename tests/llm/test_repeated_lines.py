@@ -49,6 +49,27 @@ def test_one_source_and_empty_table(spark):
     assert repeated_lines.lines_to_remove(table(spark, data).limit(0), "id", "grp", "text").count() == 0
 
 
+def test_share_at_the_edge(spark):
+    # One source with a line in a fifth of its rows; a line just above the share in one source and just below it in the others.
+    data = [(k, "only", "y" * (k + 1) + ("\n尾" if k % 5 == 0 else "")) for k in range(100)]
+    assert {tuple(r) for r in repeated_lines.lines_to_remove(table(spark, data), "id", "grp", "text").collect()} == brute(data) != set()
+    data = [(k, "abcd"[k % 4], "y" * (k + 1) + ("\n尾" if (k // 4) % 50 < (12 if k % 4 == 0 else 9) else "")) for k in range(800)]
+    assert {tuple(r) for r in repeated_lines.lines_to_remove(table(spark, data), "id", "grp", "text").collect()} == brute(data) != set()
+
+
+def test_many_lists_are_salted(spark, monkeypatch):
+    data = rows(3)
+    want = {tuple(r) for r in repeated_lines.lines_to_remove(table(spark, data), "id", "grp", "text").collect()}
+    whole = {tuple(r) for r in repeated_lines.without_running_lines(table(spark, data + data[:9]), "id", "grp", "text").collect()}
+    monkeypatch.setattr(repeated_lines, "LISTS", 0)
+    assert {tuple(r) for r in repeated_lines.lines_to_remove(table(spark, data), "id", "grp", "text").collect()} == want
+    got = repeated_lines.without_running_lines(table(spark, data + data[:9]), "id", "grp", "text").collect()
+    assert {tuple(r) for r in got} == whole and len(got) == len(data)
+    lines = {k: (t or "").split("\n") for k, _, t in data}
+    kept = {k: "\n".join(x for i, x in enumerate(xs) if (k, i) not in want) for k, xs in lines.items()}
+    assert {r.row_id: r.text or "" for r in got} == kept
+
+
 def test_rest_is_put_together_by_position(spark):
     data = [(k, "s", f"{'z' * k}\n尾 {k}\n\n{'w' * k}") for k in range(1, 12)] + [(50, "s", None), (51, "s", "")]
     got = {r.row_id: (r.text, r.n_removed) for r in repeated_lines.without_running_lines(table(spark, data), "id", "grp", "text").collect()}
