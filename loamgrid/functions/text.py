@@ -10,7 +10,13 @@ SENTENCE_ENDS = "。！？；!?;"
 #: White space that is stripped, named so that all engines strip the same.
 BLANKS = " \\t\\r\\n\\x0B\\x0C\\u00A0\\u3000"
 #: Lines that begin so are noise.
-NOISE = ("证券代码", "证券简称", r"第\s*\d+\s*页", r"\d+\s*/\s*\d+", "©", "www\\.", "https?:")
+NOISE = ("证券代码", "证券简称", "股票代码", "股票简称", "年度报告", "半年度报告", r"第\s*\d+\s*页", "©", "www\\.", "http", "本公司不保证", "请务必阅读")
+#: Words that say nothing in a search.
+STOPWORDS = (
+    *("的", "了", "和", "是", "在", "有", "为", "与", "及", "或", "等", "公司", "本", "该", "其", "之", "以", "上", "以下", "包括"),
+    *("报告", "年度", "报告期", "期末", "期初", "单位", "人民币", "元", "其中", "我们", "本公司", "集团", "合计", "小计", "其他"),
+    *("一", "二", "三", "四", "五", "六", "七", "八", "九", "十"),
+)
 
 
 def stripped(text: Column) -> Column:
@@ -29,7 +35,7 @@ def clean_lines(text: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: (x != "") & ~x.rlike("^(" + "|".join(NOISE) + ")")), "\n")
 
 
-def words(text: Column, stop: tuple[str, ...] = ()) -> Column:
+def words(text: Column, stop: tuple[str, ...] = STOPWORDS) -> Column:
     """Words of letters or digits as they stand; a run of Chinese characters gives its overlapping pairs.
 
     One letter alone is no word, one digit is. Repeated words are kept; those of `stop` are left out.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loamgrid.functions.text import bare_number, citations
 
 #: Phrases by which an answer says that the material lacks something.
-SAID_NO = ("未提及", "未披露", "没有披露", "未涉及", "不包含", "无法确定", "无法给出", "not disclosed", "do not mention", "no such")
+SAID_NO = ("未提及", "未披露", "没有", "无法", "不包含", "不含", "不提供", "未预测", "未涉及", "无法确定", "不能确定")
 
 
 def _form(text: Column) -> Column:
@@ -21,18 +21,14 @@ def expected_hits(answer: Column, expected: Column) -> Column:
 
 
 def said_no(answer: Column) -> Column:
-    low = F.lower(F.coalesce(answer, F.lit("")))
-    out = F.lit(False)
-    for phrase in SAID_NO:
-        out = out | F.contains(low, F.lit(phrase))
-    return out
+    return bare_number(F.coalesce(answer, F.lit(""))).rlike("|".join(SAID_NO))
 
 
 def grade(df: DataFrame) -> DataFrame:
     """Adds hits, misses and grade (正确, 部分正确, 错误). Needs answer, expect, expect_all, expect_reject and recall_ok.
 
     An empty answer is wrong. Where a refusal is expected, it is right if it says so and names no amount in 亿. Else all, some
-    or none of expect_all decide, or any of expect where there is no such list.
+    or none of expect_all decide, or any of expect where there is no such list; where nothing is expected nothing is hit.
     """
     strict = F.size(F.coalesce("expect_all", F.array().cast("array<string>"))) > 0
     wanted = F.when(strict, F.col("expect_all")).otherwise(F.coalesce("expect", F.array().cast("array<string>")))
@@ -40,9 +36,9 @@ def grade(df: DataFrame) -> DataFrame:
     df = df.withColumn("misses", F.array_except(wanted, "hits"))
     answer = F.col("answer")
     right, some, wrong = F.lit("正确"), F.lit("部分正确"), F.lit("错误")
-    rejected = F.when(said_no(answer) & ~answer.rlike(r"[0-9]+\.?[0-9]*[ ]*亿"), right).otherwise(wrong)
+    rejected = F.when(said_no(answer) & ~answer.rlike(r"[0-9]+\.?[0-9]*\s*亿"), right).otherwise(wrong)
     listed = F.when(F.size("misses") == 0, right).when((F.size("hits") > 0) & F.coalesce("recall_ok", F.lit(False)), some).otherwise(wrong)
-    loose = F.when((F.size("hits") > 0) | (F.size(wanted) == 0), right).otherwise(wrong)
+    loose = F.when(F.size("hits") > 0, right).otherwise(wrong)
     empty = F.trim(F.coalesce(answer, F.lit(""))) == ""
     return df.withColumn("grade", F.when(empty, wrong).when(F.coalesce("expect_reject", F.lit(False)), rejected).when(strict, listed).otherwise(loose))
 
@@ -65,6 +61,13 @@ def coverage(results: DataFrame) -> DataFrame:
     return rows.select("result_id", "company", (F.size("chunk_idxs") > 0).alias("covered"), F.size("chunk_idxs").alias("n_chunks"), "chunk_idxs", (F.size(F.array_intersect("chunk_idxs", "used")) > 0).alias("cited"))
 
 
+def not_targeted(results: DataFrame) -> DataFrame:
+    """result_id and company of every company that was recalled without being needed."""
+    none = F.array().cast("array<string>")
+    more = F.array_except(F.array_distinct(F.coalesce("companies_recalled", none)), F.coalesce("need_companies", none))
+    return results.select("result_id", F.explode(more).alias("company"))
+
+
 def spotted(texts: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
     """key and name of every known name that a text holds.
 

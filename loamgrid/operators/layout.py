@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamgrid.functions.text import stripped
+from loamgrid.session import durable, fitting
+
 NUMERIC = r"^[0-9,.()\-—/%．，（） ]+$"
 
 
@@ -20,11 +23,12 @@ def tabular_row(cells: Column) -> Column:
 
 
 def fit_table(table: Column) -> Column:
-    """At least three rows, 2 to 12 columns and cells of 24 characters at the mean."""
-    cells = F.filter(F.flatten(table["rows"]), lambda c: F.trim(c) != "")
-    total = F.aggregate(cells, F.lit(0), lambda s, c: s + F.length(c))
-    widest = F.array_max(F.transform(table["rows"], F.size))
-    return (F.size(table["rows"]) >= 3) & widest.between(2, 12) & (total <= 24 * F.size(cells))
+    """Without blank cells and rows: at least three rows, 2 to 12 columns and cells of 24 characters at the mean."""
+    none = F.array().cast("array<array<string>>")
+    filled = F.transform(F.coalesce(table["rows"], none), lambda r: F.filter(r, lambda c: F.trim(c) != ""))
+    rows = F.filter(filled, lambda r: F.size(r) > 0)
+    total = F.aggregate(F.flatten(rows), F.lit(0), lambda s, c: s + F.length(c))
+    return (F.size(rows) >= 3) & F.array_max(F.transform(rows, F.size)).between(2, 12) & (total <= 24 * F.size(F.flatten(rows)))
 
 
 def islands(df: DataFrame, group: list[str], order: list[str], flag: str, least: int) -> DataFrame:
@@ -39,11 +43,11 @@ def islands(df: DataFrame, group: list[str], order: list[str], flag: str, least:
 def as_of(rows: DataFrame, marks: DataFrame, group: str, at: str, value: str) -> DataFrame:
     """Each row with the value of the last mark at or before it; "" before the first.
 
-    Marks are few per group: they are laid out as one sorted array per group, so that rows are neither sorted nor moved
-    but for the join on the group.
+    Marks are few per group: they are laid out as one sorted array per group. Lists of few groups are broadcast, so that rows, of
+    which one group may have most, are neither sorted nor moved.
     """
-    lists = marks.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(at, value))).alias("_marks"))
-    met = rows.join(lists, group, "left")
+    lists = durable(marks.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(at, value))).alias("_marks")))
+    met = rows.join(fitting(lists, 20_000), group, "left")
     last = F.element_at(F.filter("_marks", lambda m: m[at] <= F.col(at)), -1)
     found = F.when(F.exists(F.col("_marks"), lambda m: m[at] <= F.col(at)), last[value])
     return met.withColumn(value, F.coalesce(found, F.lit(""))).drop("_marks")
@@ -95,3 +99,87 @@ def cells(words: DataFrame, least: float = 18.0) -> DataFrame:
 
     start = F.named_struct(F.lit("x"), F.lit(0.0), F.lit("out"), F.array().cast("array<string>"))
     return row.select("doc", "page", "row_no", F.aggregate("w", start, step, lambda s: s["out"]).alias("cells"))
+
+
+# --- sections ---------------------------------------------------------------------------------------------------------
+
+#: Names of sections that are known, of groups of sections, and of bodies that are no section.
+KNOWN_SECTIONS = (
+    *("释义", "公司简介", "公司信息", "公司概况", "公司基本信息", "公司业务概要", "核心竞争力分析", "经营情况讨论与分析", "管理层讨论与分析", "经营分析与战略"),
+    *("重要事项", "股份变动及股东情况", "普通股股份变动及股东情况", "债券相关情况", "财务报告", "财务报告及备查文件", "公司治理", "环境与社会责任", "环境和社会"),
+    *("审计报告", "年度财务报告", "补充资料", "备查文件目录", "信息披露索引", "董事长致辞", "总裁致辞", "首席执行官致辞", "经营亮点", "财务摘要", "风险因素"),
+    *("业务概要", "业务综述", "经营概览", "经营业绩", "利润表", "资产负债表", "现金流量表", "财务报表", "股东情况", "关联交易", "募集资金", "重大关联交易"),
+    *("董事、高级管理人员和员工情况", "企业管治报告", "董事会报告", "合并财务报表", "综合金融", "医疗养老", "业绩综述", "内含价值", "内含价值分析", "利源分析"),
+    *("风险管理", "流动性及资本资源", "主要财务指标", "致股东函", "致股东报告", "备查文件目录及信息披露索引", "其他信息", "关于公司", "经营情况"),
+)
+GROUP_TITLES = ("公司治理与债券相关情况", "财务报告及备查文件", "经营业绩", "其他信息", "关于公司", "经营情况", "释义项", "释义内容", "关于我们", "经营分析", "财务报告及其他", "战略与经营分析")
+ORG_NAMES = ("中国证监会", "上交所", "深交所", "中证协", "证券时报", "上海证券报", "公司登记机关", "会计师事务所", "律师事务所", "保荐机构", "国家外汇管理局", "深圳证监局", "海南证监局", "北京证监局")
+#: A heading with its name on the line, one without, and what a continued page adds.
+HEADING, BARE_HEADING, CONTINUED = r"^第[一二三四五六七八九十]+\s*节\s*(\S.*)$", r"^第[一二三四五六七八九十]+\s*节$", r"[（(]续[）)]\s*$"
+
+
+def head_lines(text: Column, n: int | None = 8) -> Column:
+    """The first filled lines of a page, stripped."""
+    lines = F.filter(F.transform(F.split(text, "\n"), stripped), lambda x: x != "")
+    return F.slice(lines, 1, n) if n else lines
+
+
+def body_headings(pages: DataFrame, group: str = "code", page: str = "page", text: str = "text") -> DataFrame:
+    """group, section and page: names of sections in headings, at the first page of each.
+
+    Of the first eight lines of a page the first heading with a usable name counts: 2 to 24 characters on its line, or on the next line without
+    digits and stops where the heading has no name.
+    """
+    lines = pages.select(group, page, head_lines(F.col(text), None).alias("x"))
+    heads = F.slice("x", 1, 8)
+
+    def named(line: Column, i: Column) -> Column:
+        own = stripped(F.regexp_extract(line, HEADING, 1))
+        nxt = F.coalesce(F.get("x", i + 1), F.lit(""))
+        below = F.when(line.rlike(BARE_HEADING) & F.length(nxt).between(2, 24) & ~nxt.rlike(r"[0-9，,。、；;：:]"), nxt)
+        return F.when(line.rlike(HEADING), F.when(F.length(own).between(2, 24), own)).otherwise(below)
+
+    found = F.get(F.filter(F.transform(heads, named), lambda n: n.isNotNull()), F.lit(0))
+    lines = lines.select(group, page, stripped(F.regexp_replace(found, CONTINUED, "")).alias("section")).where("section <> ''")
+    return lines.groupBy(group, "section").agg(F.min(page).alias(page))
+
+
+def trusted(spans: DataFrame, group: str = "code", widest: int = 15, many: int = 30) -> DataFrame:
+    """Sections that can be trusted: known names, or clean names of at least five pages; where more than `many` are left, the widest only.
+
+    spans has group, section, page and span.
+    """
+    name = F.col("section")
+    bare = F.regexp_replace(F.regexp_replace(name, r"^第[一二三四五六七八九十]+\s*节\s*", ""), r"^[0-9]{1,2}\s+", "")
+    known = name.rlike("|".join(KNOWN_SECTIONS)) | bare.rlike("|".join(KNOWN_SECTIONS))
+    han = F.regexp_count(name, F.lit("[一-鿿]"))
+    clean = F.length(name).between(3, 20) & ~name.rlike(r"[，,。、；;：:（）()【】\[\]｜|/\\%#@]") & ~name.rlike("[0-9]") & ~name.rlike("[A-Za-z]{2,}") & (han > 1)
+    fine = ~name.rlike(r"[\x00-\x1f\x7f]") & ~name.rlike("|".join(ORG_NAMES)) & (han >= 2) & ~name.isin(*GROUP_TITLES)
+    kept = spans.where(fine & (known | (clean & (F.col("span") >= 5))))
+    by = Window.partitionBy(group)
+    kept = kept.withColumn("_n", F.count("*").over(by)).withColumn("_place", F.row_number().over(by.orderBy(F.col("span").desc(), "page", "section")))
+    return kept.where((F.col("_n") <= many) | (F.col("_place") <= widest)).drop("_n", "_place")
+
+
+def page_offset(body: DataFrame, contents: DataFrame, group: str = "code") -> DataFrame:
+    """group and page_offset: the most frequent difference of pages of sections that both know, the smallest of ties; 0 for fewer than two.
+
+    Each section of the body meets the first one of the contents that is equal to it, holds it or is held by it. Both lists are short
+    for each group.
+    """
+    lists = contents.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("page", "section"))).alias("_c"))
+    met = body.join(lists, group)
+    first = F.get(F.filter("_c", lambda c: F.contains(c["section"], F.col("section")) | F.contains(F.col("section"), c["section"])), F.lit(0))
+    rows = met.select(group, (F.col("page") - first["page"]).alias("d")).where("d is not null")
+    return rows.groupBy(group).agg(F.when(F.count("*") >= 2, F.mode("d", True)).otherwise(0).cast("int").alias("page_offset"))
+
+
+def merged_sections(body: DataFrame, contents: DataFrame, offsets: DataFrame, pages: DataFrame, group: str = "code") -> DataFrame:
+    """group, section and page: sections of the contents moved by the offset and kept within the document, those of the body instead where both know one.
+
+    pages has group and pages, the last page.
+    """
+    moved = contents.join(offsets, group, "left").join(pages, group)
+    moved = moved.select(group, "section", F.least("pages", F.greatest(F.lit(1), F.col("page") + F.coalesce("page_offset", F.lit(0)))).alias("moved"))
+    both = moved.join(body.select(group, "section", "page"), [group, "section"], "full_outer")
+    return both.select(group, "section", F.coalesce("page", "moved").alias("page"))

@@ -1,10 +1,14 @@
 """Segmentation: pieces of text and of tables, and the catalogue of chunks with stable ids.
 
-Pieces are folded over the lengths of sentences, not over the sentences, so the state of the fold is a few numbers.
+Sentences are found in the JVM; which of them make up a piece is told by their lengths alone, by one walk over running sums in Arrow batches.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from itertools import accumulate
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,34 +16,30 @@ from loamgrid.functions.text import sentences, stripped
 from loamgrid.params import DEFAULTS, Params
 
 
-def _ends(lengths: Column) -> Column:
-    """Running lengths, from 0."""
-    zero = F.array(F.lit(0))
-    return F.aggregate(lengths, zero, lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
-
-
-def _spans(ends: Column, size: int, overlap: int, tail_over: int, keep_copies: bool) -> Column:
-    """array<struct<a, b>>: first and last sentence of each piece."""
-    spans = "array<struct<a:int,b:int>>"
-    start = F.named_struct(F.lit("from"), F.lit(0), F.lit("out"), F.array().cast(spans))
+def piece_spans(lengths: list[int], p: Params, keep_copies: bool) -> list[tuple[int, int]]:
+    """First and last sentence of each piece."""
+    ends, out, start = [0, *accumulate(lengths)], [], 0
+    for i in range(len(lengths)):
+        if ends[i + 1] - ends[start] >= p.chunk_size:
+            out.append((start, i))
+            # The next piece begins with the last sentence that leaves the overlap behind it, never before this one's first.
+            back = bisect_right(ends, ends[i + 1] - p.chunk_overlap, start, i + 1) - 1
+            start = max(back, start)
+    n = len(lengths)
+    if n and ends[n] - ends[start] > p.tail_over and (keep_copies or not out or out[-1][1] < n - 1):
+        out.append((start, n - 1))
+    return out
 
-    def step(s: Column, i: Column) -> Column:
-        full = F.get(ends, i + 1) - F.get(ends, s["from"]) >= size
-        back = F.array_max(F.filter(F.sequence(s["from"], i), lambda j: F.get(ends, i + 1) - F.get(ends, j) >= overlap))
-        span = F.array(F.named_struct(F.lit("a"), s["from"], F.lit("b"), i))
-        return F.when(full, F.named_struct(F.lit("from"), F.coalesce(back, s["from"]), F.lit("out"), F.concat(s["out"], span))).otherwise(s)
 
-    count = F.size(ends) - 1
-    walked = F.aggregate(F.sequence(F.lit(0), count - 1), start, step)
+def _spans(lengths: Column, p: Params, keep_copies: bool) -> Column:
+    """array<struct<a, b>> of piece_spans."""
 
-    def finish(s: Column) -> Column:
-        last = F.get(ends, count) - F.get(ends, s["from"])
-        fresh = F.coalesce(F.try_element_at(s["out"], F.lit(-1))["b"] < count - 1, F.lit(True)) if not keep_copies else F.lit(True)
-        span = F.array(F.named_struct(F.lit("a"), s["from"], F.lit("b"), count - 1))
-        return F.when((last > tail_over) & fresh, F.concat(s["out"], span)).otherwise(s["out"])
+    @F.arrow_udf("array<struct<a: int, b: int>>")
+    def walk(rows: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+        return pa.array([[{"a": a, "b": b} for a, b in piece_spans(x or [], p, keep_copies)] for x in rows.to_pylist()], kind)
 
-    done = F.element_at(F.transform(F.array(walked), finish), 1)
-    return F.when(count > 0, done).otherwise(F.array().cast(spans))
+    return walk(lengths)
 
 
 def chunk_text(df: DataFrame, text: str, keep_copies: bool = True, p: Params = DEFAULTS, ends: str | None = None) -> DataFrame:
@@ -51,10 +51,7 @@ def chunk_text(df: DataFrame, text: str, keep_copies: bool = True, p: Params = D
     """
     kept = df.columns
     df = df.withColumn("_s", sentences(F.col(text), ends) if ends else sentences(F.col(text)))
-    # As a lambda's variable the running lengths are one value, not an expression that each step evaluates again.
-    ends_of = F.array(_ends(F.transform("_s", F.length)))
-    found = F.transform(ends_of, lambda e: _spans(e, p.chunk_size, p.chunk_overlap, p.tail_over, keep_copies))
-    df = df.withColumn("_p", F.element_at(found, 1))
+    df = df.withColumn("_p", _spans(F.transform("_s", F.length), p, keep_copies))
     df = df.select(*kept, "_s", F.posexplode("_p").alias("piece_no", "_x"))
     piece = F.array_join(F.slice("_s", F.col("_x.a") + 1, F.col("_x.b") - F.col("_x.a") + 1), "")
     return df.select(*kept, "piece_no", piece.alias("piece"))
@@ -78,16 +75,17 @@ def chunk_tables(df: DataFrame, tables: str, p: Params = DEFAULTS) -> DataFrame:
     return df.select(*kept, "table_no", "piece_no", F.array_join(F.slice("_l", F.col("piece_no") * n + 1, F.lit(n)), "\n").alias("piece"))
 
 
-def running_number(df: DataFrame, group: str, block: str, order: list[str], to: str) -> DataFrame:
+def running_number(df: DataFrame, group: str | list[str], block: str, order: list[str], to: str) -> DataFrame:
     """Numbers rows 1.. within a group by (block, order) without sorting a whole group in one task.
 
     Blocks are counted first and added up per group; only the rows of one block are sorted together.
     """
-    counts = df.groupBy(group, block).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(group, block, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(group, block).orderBy(*order))
-    return df.join(counts, [group, block]).withColumn(to, (F.col("_before") + inside).cast("bigint")).drop("_before")
+    group = [group] if isinstance(group, str) else group
+    counts = df.groupBy(*group, block).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*group, block, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*group, block).orderBy(*order))
+    return df.join(counts, [*group, block]).withColumn(to, (F.col("_before") + inside).cast("bigint")).drop("_before")
 
 
 def chunk_catalog(pages: DataFrame, p: Params = DEFAULTS) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loamgrid.session import fresh
+
 PAGE = "code string, name string, page int, section string, text string, tables array<struct<title: string, rows: array<array<string>>, degraded: boolean>>"
 
 
@@ -29,8 +31,8 @@ def write_by_company(df: DataFrame, path: str) -> None:
 
 
 def page(pages: DataFrame, code: str, number: int) -> DataFrame:
-    """One page; the filters reach the scan."""
-    return pages.where((F.col("code") == code) & (F.col("page") == number)).limit(1)
+    """One page, once however often it was delivered; the filters reach the scan."""
+    return fresh(pages.where((F.col("code") == code) & (F.col("page") == number)), "page")
 
 
 def latest(rows: DataFrame, key: str, version: str, *ties: str) -> DataFrame:
@@ -50,13 +52,11 @@ def whole_pdf(content: Column, length: Column) -> Column:
 
 
 #: Words in titles of announcements that aren't the report itself.
-BANNED = ("摘要", "英文", "取消", "提示性", "补充", "更正", "说明", "意见", "问询", "回复", "公告", "决议", "审计报告", "修订")
+BANNED = ("摘要", "英文", "更正", "取消", "修订", "审计报告", "内部控制", "社会责任", "ESG", "独立董事", "关于", "说明", "公告", "致股东")
 
 
 def report_priority(title: Column, year: Column) -> Column:
-    """0 for a title that ends in the report's name, 1 for one that holds it, null for none or a banned word."""
-    name = [F.concat(year.cast("string"), F.lit(x)) for x in ("年年度报告", "年度报告")]
-    banned = title.rlike("|".join(BANNED))
-    ends = F.endswith(title, name[0]) | F.endswith(title, name[1])
-    holds = F.contains(title, name[0]) | F.contains(title, name[1])
-    return F.when(banned, None).when(ends, 0).when(holds, 1)
+    """0 for a title that names the year's report and ends in a report's name, 1 for one that names it, null for none or a banned word."""
+    named = [F.contains(title, F.concat(year.cast("string"), F.lit(x))) for x in ("年年度报告", "年度报告")]
+    priority = F.when(F.endswith(title, F.lit("年度报告")), 0).otherwise(1)
+    return F.when((named[0] | named[1]) & ~title.rlike("|".join(BANNED)), priority)

@@ -17,7 +17,7 @@ def one(spark, text, f):
 def test_sentences_and_words(spark):
     assert one(spark, "a。 b！c", sentences) == ["a。", "b！", "c"]
     assert one(spark, "", sentences) == []
-    assert one(spark, "营收 up5 A 7。", words) == ["营收", "up5", "7"]
+    assert one(spark, "公司 营收 up5 A 7。", words) == ["营收", "up5", "7"]
     assert one(spark, "一二三", words) == ["一二", "二三"]
     assert one(spark, "the sum of 3", lambda c: words(c, ("the", "of"))) == ["sum", "3"]
     assert one(spark, "a[1] b[9] c[1][2]", citations) == [1, 2, 9]
@@ -76,14 +76,33 @@ def test_running_number_matches_a_window(spark):
     assert {(r.g, r.b, r.k): r.n for r in got} == want
 
 
-def test_bm25_by_hand(spark):
+def test_bm25_by_hand(spark, tmp_path):
     docs = spark.createDataFrame([(1, "aa bb"), (2, "aa aa cc"), (3, "")], "id int, text string")
-    asked = spark.createDataFrame([(9, "aa aa")], "qid bigint, q string")
-    got = {r.id: r.score for r in retrieve.bm25_topk(asked, docs, "id", "text").collect()}
+    asked = spark.createDataFrame([(9, "aa aa"), (8, "zz")], "qid bigint, q string")
+    index = retrieve.write_index(docs, "id", "text", str(tmp_path / "i"))
+    got = {r.id: r.score for r in retrieve.bm25_topk(asked, index).collect()}
     assert got.keys() == {1, 2} and math.isclose(got[1], 0.431196, abs_tol=1e-6) and math.isclose(got[2], 0.534095, abs_tol=1e-6)
-    assert retrieve.bm25_topk(asked, docs.limit(0), "id", "text").count() == 0
-    index = retrieve.build_index(docs, "id", "text")
-    assert math.isclose(index.vocabulary.where("term = 'aa'").first().idf, math.log(1.6))
+    assert math.isclose(index.vocabulary.where("term = 'aa'").first().idf, math.log(1.6)) and index.stats.first().n == 3
+    empty = retrieve.write_index(docs.limit(0), "id", "text", str(tmp_path / "e"))
+    assert retrieve.bm25_topk(asked, empty).count() == 0
+
+
+@pytest.mark.parametrize("block", [4, 2048])
+def test_vectors_in_blocks_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(retrieve, "BLOCK", block)
+    rng = random.Random(block)
+    data = [(k, [float(rng.randint(-2, 2)) for _ in range(3)]) for k in range(40)] + [(90, None)]
+    v = spark.createDataFrame(data, "id bigint, v array<float>")
+    got = retrieve.vector_topk(v.where("id % 3 = 0").select(F.col("id").alias("qid"), "v"), v, "id", "v", 5).collect()
+
+    def form(x):
+        n = math.sqrt(sum(a * a for a in x)) or 1.0
+        return [a / n for a in x]
+
+    forms = {k: form(x) for k, x in data if x}
+    for q in (k for k in forms if k % 3 == 0):
+        want = sorted((-round(sum(a * b for a, b in zip(forms[q], forms[k], strict=True)), 9), k) for k in forms)[:5]
+        assert [r.id for r in sorted((r for r in got if r.qid == q), key=lambda r: r["rank"])] == [k for _, k in want]
 
 
 def test_vectors_and_fusion(spark):
@@ -153,8 +172,37 @@ def test_sources(spark, tmp_path):
 
 
 def test_titles(spark):
-    rows = spark.createDataFrame([("2025年年度报告摘要", 2025), ("2025年年度报告", 2025), ("2025年年度报告全文", 2025), ("季报", 2025)], "t string, y int")
-    assert [r.p for r in rows.select(tables.report_priority(F.col("t"), F.col("y")).alias("p")).collect()] == [None, 0, 1, None]
+    rows = spark.createDataFrame([("2025年年度报告摘要", 2025), ("2025年年度报告", 2025), ("2025年度报告全文", 2025), ("季报", 2025), ("关于2025年年度报告", 2025), ("2024年年度报告", 2025)], "t string, y int")
+    assert [r.p for r in rows.select(tables.report_priority(F.col("t"), F.col("y")).alias("p")).collect()] == [None, 0, 1, None, None, None]
+
+
+def test_sections_of_pages(spark):
+    pages = [("c", 1, "第一节\n公司简介\n正文"), ("c", 2, "页眉\n第二节 管理层讨论与分析\n第三节 公司治理"), ("c", 5, "第二节 管理层讨论与分析（续）"), ("c", 9, "第四节\n1，2\n"), ("c", 10, None), ("d", 3, "\n" * 3 + "一\n" * 8 + "第五节 重要事项")]
+    got = layout.body_headings(spark.createDataFrame(pages, "code string, page int, text string"))
+    assert {(r.code, r.section, r.page) for r in got.collect()} == {("c", "公司简介", 1), ("c", "管理层讨论与分析", 2)}
+    spans = [("c", n, k, span) for k, (n, span) in enumerate((("释义", 1), ("业务回顾总览", 5), ("业务回顾", 4), ("2025年回顾", 9), ("中国证监会公告", 9), ("经营业绩", 9), ("们", 9), ("Board回顾", 9), ("第三节 公司治理", 1)))]
+    spans += [("m", "甲乙" + chr(0x4E00 + k), k, 5 + k) for k in range(31)] + [("n", "甲乙" + chr(0x4E00 + k), k, 5 + k) for k in range(30)]
+    kept = layout.trusted(spark.createDataFrame(spans, "code string, section string, page int, span int")).collect()
+    assert {r.section for r in kept if r.code == "c"} == {"释义", "业务回顾总览", "第三节 公司治理"}
+    assert sorted(r.span for r in kept if r.code == "m") == list(range(21, 36)) and sum(r.code == "n" for r in kept) == 30
+
+
+def test_offsets_and_merged_sections(spark):
+    kind = "code string, section string, page int"
+    body = spark.createDataFrame([("c", "释义", 7), ("c", "公司治理", 25), ("c", "风险", 33), ("d", "释义", 9)], kind)
+    contents = spark.createDataFrame([("c", "释义", 2), ("c", "公司治理与社会", 20), ("c", "风险管理", 30), ("c", "附录", 98), ("d", "释义", 5)], kind)
+    offsets = layout.page_offset(body, contents)
+    assert {r.code: r.page_offset for r in offsets.collect()} == {"c": 5, "d": 0}
+    pages = spark.createDataFrame([("c", 100), ("d", 50)], "code string, pages int")
+    got = {(r.code, r.section): r.page for r in layout.merged_sections(body, contents, offsets, pages).collect()}
+    assert got == {("c", "释义"): 7, ("c", "公司治理"): 25, ("c", "风险"): 33, ("c", "公司治理与社会"): 25, ("c", "风险管理"): 35, ("c", "附录"): 100, ("d", "释义"): 9}
+
+
+def test_tables_that_fit(spark):
+    kind = "t struct<rows: array<array<string>>>"
+    cases = [([["a", "b"]] * 3,), ([["a", "b"], [" ", ""], ["a", "b"]],), ([["a", " "]] * 3,), ([["a"] * 13] * 3,), ([["长" * 25, "长" * 24]] * 3,), (None,), ([["a", "b"], None, ["c"], ["d"]],)]
+    rows = spark.createDataFrame([(c,) for c in cases], kind)
+    assert [bool(r.x) for r in rows.select(layout.fit_table(F.col("t")).alias("x")).collect()] == [True, False, False, False, False, False, True]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
