@@ -168,11 +168,23 @@ def own_words(text: Column) -> Column:
 
 def script(text: Column) -> Column:
     """struct<name, amount, words>: the script that most of a text is in. Japanese has kana; `words` counts words of an alphabet, else characters."""
-    han, kana = _count(text, _HAN), _count(text, _KANA)
-    japanese = (kana >= 3) & (kana * 8 >= han)
-    east = F.struct((han + kana).alias("amount"), (han + kana).alias("words"), F.when(japanese, "Japanese").otherwise("Chinese").alias("name"))
-    found = [F.struct((2 * n).alias("amount"), n.alias("words"), F.lit(name).alias("name")) for name in ALPHABETS for n in [_count(text, rf"\p{{Is{name}}}[\p{{Is{name}}}\p{{M}}]*")]]
-    return F.greatest(east, *found)
+
+    def words_of(name: str) -> Column:
+        return _count(text, rf"\p{{Is{name}}}[\p{{Is{name}}}\p{{M}}]*")
+
+    def largest(counts: Column) -> Column:
+        kana, han, latin = counts["kana"], counts["han"], counts["latin"]
+        east = F.struct((han + kana).alias("amount"), (han + kana).alias("words"), F.when((kana >= 3) & (kana * 8 >= han), "Japanese").otherwise("Chinese").alias("name"))
+        return F.greatest(east, F.struct((2 * latin).alias("amount"), latin.alias("words"), F.lit("Latin").alias("name")), counts["other"])
+
+    # Few texts hold any letter of the other alphabets, which are counted there only.
+    rest = F.array_max(F.array(*[F.struct(words_of(name).alias("words"), F.lit(name).alias("name")) for name in ALPHABETS if name != "Latin"]))
+    none = F.struct(F.lit(0).alias("words"), F.lit("").alias("name"))
+    rest = F.when(text.rlike("[" + "".join(rf"\p{{Is{name}}}" for name in ALPHABETS if name != "Latin") + "]"), rest).otherwise(none)
+    other = F.element_at(F.transform(F.array(rest), lambda x: F.struct((2 * x["words"]).alias("amount"), x["words"].alias("words"), x["name"].alias("name"))), 1)
+    counts = F.struct(_count(text, _HAN).alias("han"), _count(text, _KANA).alias("kana"), words_of("Latin").alias("latin"), other.alias("other"))
+    # As a lambda's variable the counts are made once, not for each use.
+    return F.element_at(F.transform(F.array(counts), largest), 1)
 
 
 def text_words(text: Column) -> Column:
@@ -196,13 +208,16 @@ def language_profiles(rows: DataFrame) -> dict[str, list[str]]:
     return out
 
 
-def _share(text: Column, name: Column, profiles: dict[str, list[str]]) -> tuple[Column, Column]:
-    """Words of a text, and the share of them that its script's profile has; null without a profile."""
-    words = text_words(text)
+def _share(text: Column, name: Column, profiles: dict[str, list[str]]) -> Column:
+    """struct<words, share>: words of a text, and the share of them that its script's profile has; null without a profile."""
     known = F.lit(None).cast("array<string>")
     for script_name, profile in sorted(profiles.items()):
         known = F.when(name == script_name, F.array(*map(F.lit, sorted(profile)))).otherwise(known)
-    return F.size(words), F.size(F.filter(words, lambda w: F.array_contains(known, w))) / F.nullif(F.size(words), F.lit(0))
+
+    def shared(words: Column) -> Column:
+        return F.struct(F.size(words).alias("words"), (F.size(F.filter(words, lambda w: F.array_contains(known, w))) / F.nullif(F.size(words), F.lit(0))).alias("share"))
+
+    return F.when(name.isin(*profiles), F.element_at(F.transform(F.array(text_words(text)), shared), 1)) if profiles else F.lit(None).cast("struct<words: int, share: double>")
 
 
 def script_differs(asked: Column, told: Column) -> Column:
@@ -213,11 +228,14 @@ def script_differs(asked: Column, told: Column) -> Column:
 def words_differ(question: Column, own: Column, asked: Column, told: Column, profiles: dict[str, list[str]]) -> Column:
     """The answer is in the question's script without the words that the question's language has in common, or the other way
     round. Where the script has no profile nothing can be said."""
-    asked_words, asked_share = _share(question, asked["name"], profiles)
-    told_words, told_share = _share(own, told["name"], profiles)
-    other_words = (told["name"] == asked["name"]) & (told_words >= 3) & (asked_words >= 3)
-    other_words = other_words & (((asked_share >= TYPICAL) & (told_share < TYPICAL)) | ((asked_share == 0) & (told_share >= TYPICAL)))
-    return F.coalesce(other_words, F.lit(False))
+
+    def differ(x: Column) -> Column:
+        asked_share, told_share = x["asked"]["share"], x["told"]["share"]
+        enough = (x["asked"]["words"] >= 3) & (x["told"]["words"] >= 3)
+        return enough & (((asked_share >= TYPICAL) & (told_share < TYPICAL)) | ((asked_share == 0) & (told_share >= TYPICAL)))
+
+    both = F.struct(_share(question, asked["name"], profiles).alias("asked"), _share(own, told["name"], profiles).alias("told"))
+    return F.coalesce((told["name"] == asked["name"]) & F.element_at(F.transform(F.array(both), differ), 1), F.lit(False))
 
 
 _NUMERALS = "一二三四五六七八九十"
@@ -263,13 +281,12 @@ def features(results: DataFrame) -> DataFrame:
     evidence = F.regexp_replace(bare, _QUOTED, "“”").rlike(r"^[^。！？!?\n]*(?:\d|“”)") | F.col("answer").rlike(rf"^[^。！？!?\n]*{_MARKS}")
     rows = rows.withColumn("own", own_words(F.col("answer")))
     rows = rows.withColumn("asked", script(F.coalesce("question", F.lit("")))).withColumn("told", script(F.coalesce("own", F.lit(""))))
-    rows = rows.withColumn("foreign", ~F.col("plain") & script_differs(F.col("asked"), F.col("told")))
     return rows.withColumn("opening", opening_of(F.col("answer"))).withColumn("evidence", F.coalesce(evidence, F.lit(False)))
 
 
 def defects(results: DataFrame) -> DataFrame:
     """result_id and defect of every broken pair."""
-    rows = durable(features(results))
+    rows = durable(features(results)).withColumn("foreign", ~F.col("plain") & script_differs(F.col("asked"), F.col("told")))
     other_words = words_differ(F.col("question"), F.col("own"), F.col("asked"), F.col("told"), language_profiles(rows.where("not plain")))
     refused = refusal_openings(rows).withColumn("refused", F.lit(True))
     rows = rows.withColumn("id", F.xxhash64("opening")).join(refused, "id", "left")
