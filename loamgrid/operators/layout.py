@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgrid.functions.text import stripped
+from loamgrid.functions.text import NOISE, stripped
 from loamgrid.session import durable, fitting
 
 NUMERIC = r"^[0-9,.()\-—/%．，（） ]+$"
@@ -118,6 +118,65 @@ ORG_NAMES = ("中国证监会", "上交所", "深交所", "中证协", "证券
 HEADING, BARE_HEADING, CONTINUED = r"^第[一二三四五六七八九十]+\s*节\s*(\S.*)$", r"^第[一二三四五六七八九十]+\s*节$", r"[（(]续[）)]\s*$"
 
 
+#: Lines on pages of contents that are no section; names of statements; names of accounts that begin a line of a statement.
+NO_SECTION = (
+    *("目录", "备查文件目录", "释义$", "contents", "CONTENTS", "前导信息", "载有", "在公司", "报告期", "年度报告摘要", "图片索引"),
+    *(r"[0-9]{4}\s*年年度报告$", "年年度报告$", r"第\s*[0-9]+\s*页", "第[一二三四五六七八九十]+节$"),
+)
+STATEMENTS = (
+    *("合并资产负债表", "合并利润表", "合并现金流量表", "母公司资产负债表", "母公司利润表", "母公司现金流量表", "合并所有者权益变动表"),
+    *("利润表", "资产负债表", "现金流量表", "财务报表", "主要会计数据"),
+)
+ACCOUNTS = (
+    *("货币资金", "结算备付金", "拆出资金", "交易性金融资产", "衍生金融资产", "买入返售金融资产", "应收账款", "应收款项", "预付款项", "其他应收款", "存货"),
+    *("发放贷款和垫款", "债权投资", "其他债权投资", "长期股权投资", "投资性房地产", "固定资产", "在建工程", "无形资产", "商誉", "递延所得税资产", "其他资产"),
+    *("资产总计", "负债合计", "所有者权益", "股本", "资本公积", "未分配利润", "营业收入", "营业成本", "营业支出", "营业总成本", "利息收入", "手续费及佣金收入"),
+    *("投资收益", "公允价值变动收益", "业务及管理费", "营业利润", "利润总额", "所得税费用", "净利润", "归属于母公司", "基本每股收益", "稀释每股收益"),
+    *("经营活动产生的现金流量净额", "投资活动产生的现金流量净额", "筹资活动产生的现金流量净额", "现金及现金等价物净增加额", "期末现金余额"),
+)
+
+
+def section_word(line: Column) -> Column:
+    """A line that may be the name of a section: a heading with its name, or 2 to 24 characters with a Chinese one and without digits and signs."""
+    free = ~line.rlike(r"[0-9，,。、；;：:（）()【】\[\]｜|/\\%#@]") & line.rlike("[一-鿿]")
+    return F.length(line).between(2, 24) & ~line.rlike(BARE_HEADING) & (line.rlike(HEADING) | free)
+
+
+def contents_name(line: Column, loose: bool = False) -> Column:
+    """A line that may be a name in a list of contents: no noise, short, no end of a sentence, and without signs unless it is a heading."""
+    noise = line.rlike("^(" + "|".join(NO_SECTION) + ")") | line.rlike("^(" + "|".join(NOISE) + ")")
+    fine = (line != "") & ~noise & (F.length(line) <= (40 if loose else 30)) & ~line.rlike("[。；]$")
+    return fine & (line.rlike(HEADING) | ~line.rlike("[，,、；;：:（）()【】]"))
+
+
+def section_name(name: Column) -> Column:
+    """A section's name without its number and a page stuck to it; of two whole names run into one the first."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(name), r"^[0-9]{1,2}\s+", ""), r"^第[一二三四五六七八九十]+\s*节\s*", "")
+    bare = F.trim(F.regexp_replace(bare, r"[/／]\s*[0-9]{1,4}\s*$", ""))
+    known = sorted({*KNOWN_SECTIONS, *GROUP_TITLES}, key=lambda k: (-len(k), k))
+    # The first known name, the longest at its place, is taken as it is (an atomic group); a whole name must follow.
+    return F.regexp_replace(bare, f"^((?>.*?(?:{'|'.join(known)})))(?:{'|'.join(k for k in known if len(k) >= 3)}).*$", "$1")
+
+
+def statement_title(text: Column) -> Column:
+    """The first of a page's eight head lines that names a statement in at most 30 characters; null for none."""
+    return F.get(F.filter(head_lines(text), lambda x: x.rlike("|".join(STATEMENTS)) & (F.length(x) <= 30)), F.lit(0))
+
+
+def item_tables(pages: DataFrame, group: str = "code", few: int = 20, least: int = 5) -> DataFrame:
+    """Pages with a table put together from lines that begin with an account, where figures couldn't be read: group, page, title and rows.
+
+    Only in documents with at most `few` tables, on pages without one that are headed by a statement and have at least `least` such lines. pages has
+    group, page, text and tables.
+    """
+    total = pages.groupBy(group).agg(F.sum(F.when(F.col("tables").isNull(), 0).otherwise(F.size("tables"))).alias("_total")).where(F.col("_total") <= few)
+    lines = F.transform(F.split("text", "\n"), lambda x: stripped(F.regexp_replace(stripped(x), "[：:]+$", "")))
+    items = F.array_distinct(F.filter(lines, lambda x: x.rlike("^(" + "|".join(ACCOUNTS) + ")") & F.length(x).between(2, 20)))
+    rows = pages.where(F.col("tables").isNull() | (F.size("tables") == 0)).select(group, "page", statement_title(F.col("text")).alias("title"), items.alias("_items"))
+    rows = rows.where(F.col("title").isNotNull() & (F.size("_items") >= least)).join(total, group, "left_semi")
+    return rows.select(group, "page", "title", F.transform("_items", lambda x: F.array(x)).alias("rows"))
+
+
 def head_lines(text: Column, n: int | None = 8) -> Column:
     """The first filled lines of a page, stripped."""
     lines = F.filter(F.transform(F.split(text, "\n"), stripped), lambda x: x != "")

@@ -1,4 +1,4 @@
-"""Ports to outside services: embedders, answer models and page parsers are plugged in; the engine brings the batches.
+"""Ports to outside services: embedders and answer models are plugged in; the engine brings the batches.
 
 A port's calls run inside Arrow batches on the executors. Each task keeps its own pace, and retries what may pass; Spark's own
 retry of a task would repeat calls that went well.
@@ -6,7 +6,6 @@ retry of a task would repeat calls that went well.
 
 from __future__ import annotations
 
-import hashlib
 import random
 import time
 from collections.abc import Callable, Iterator
@@ -32,12 +31,6 @@ class Answerer(Protocol):
     def answer(self, prompt: str) -> str: ...
 
 
-class PageParser(Protocol):
-    """Placed words of a file: page, x0, y0, x1, word."""
-
-    def words(self, content: bytes) -> Iterator[tuple[int, float, float, float, str]]: ...
-
-
 class Refused(Exception):
     """A call that no retry can mend, such as a wrong key."""
 
@@ -62,16 +55,6 @@ class Retry:
                 sleep(min(self.longest, self.first * 2**k) * random.uniform(0.7, 1.3))
 
 
-@dataclass(frozen=True)
-class HashEmbedder:
-    """A stand-in for tests: the same text has the same vector, and nothing is meant by it."""
-
-    dim: int = 16
-
-    def embed(self, texts: list[str]) -> list[list[float]]:
-        return [[(b - 127.5) / 127.5 for b in hashlib.blake2b(t.encode(), digest_size=self.dim).digest()] for t in texts]
-
-
 def embed(df: DataFrame, key: str, text: str, embedder: Embedder, batch: int = 16, retry: Retry = Retry(), pause: float = 0.0) -> DataFrame:
     """content and embedding of each distinct text. Blank texts are not sent and get zeros.
 

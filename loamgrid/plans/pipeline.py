@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loamgrid.functions.text import NOISE, SENTENCE_ENDS, STOPWORDS, clean_lines, sentences, words
+from loamgrid.functions.text import NOISE, SENTENCE_ENDS, STOPWORDS, clean_lines, sentences, stripped, words
 from loamgrid.operators import evaluate, layout, ports, retrieve, segment
 from loamgrid.sources import tables
 from loamgrid.session import fresh, fresh_rows, shared_folder, table
@@ -381,6 +381,28 @@ def section_map(spark: SparkSession, folder: str) -> DataFrame:
     return layout.merged_sections(body, contents, layout.page_offset(body, contents), pages)
 
 
+@query(f"SELECT code, section, min(origin) AS origin, min_by(page, (origin, page))::INT AS page FROM (SELECT code, section, page, 1 AS origin FROM ({_MARKS}) UNION ALL SELECT code, section, page, 2 FROM ({_CONTENTS})) GROUP BY code, section")
+def section_union(spark: SparkSession, folder: str) -> DataFrame:
+    """Sections that pages or chunks know, each once; what the pages say goes first."""
+    both = _marks(spark, folder).withColumn("origin", F.lit(1)).unionByName(_contents(spark, folder).withColumn("origin", F.lit(2)))
+    return both.groupBy("code", "section").agg(F.min("origin").alias("origin"), F.min_by("page", F.struct("origin", "page")).alias("page"))
+
+
+@query(f"SELECT p.page_id, coalesce(t.ids, []) AS table_chunks FROM (SELECT DISTINCT page_id, code, page FROM page_records) p LEFT JOIN (SELECT code, page, list_sort(list(DISTINCT chunk_id)) AS ids FROM chunks WHERE kind = 'table' GROUP BY code, page) t USING (code, page)")
+def page_table_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Each page with its table chunks, an empty list where it has none."""
+    ids = table(spark, folder, "chunks").where("kind = 'table'").groupBy("code", "page").agg(F.array_sort(F.collect_set("chunk_id")).alias("ids"))  # a page's chunks are few
+    rows = _pages(spark, folder, "code", "page").join(ids, ["code", "page"], "left")
+    return rows.select("page_id", F.coalesce("ids", F.array().cast("array<string>")).alias("table_chunks"))
+
+
+@query(f"SELECT DISTINCT page_id, code FROM page_records WHERE code IN (SELECT code FROM {{}} WHERE status IS NOT NULL AND status NOT IN ('failed', 'no_report'))".format("(SELECT DISTINCT * FROM manifest QUALIFY row_number() OVER (PARTITION BY code ORDER BY updated_at DESC NULLS LAST, url DESC NULLS LAST, size DESC NULLS LAST, title DESC NULLS LAST) = 1)"))
+def usable_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of companies whose last attempt brought a report."""
+    latest = tables.latest(table(spark, folder, "manifest"), "code", "updated_at", "url", "size", "title").where("status is not null and status not in ('failed', 'no_report')")
+    return tables.of_companies(_pages(spark, folder, "code"), latest).select("page_id", "code")
+
+
 @query(f"SELECT chunk_id, md5(text) AS body FROM {_ONE_CHUNK} WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY chunk_id) = 1")
 def first_occurrence_dedupe(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "chunks").where("text is not null").select("chunk_id", F.md5("text").alias("body"))
@@ -400,6 +422,20 @@ def head_lines(spark: SparkSession, folder: str) -> DataFrame:
     return _pages(spark, folder, layout.head_lines(F.col("text")).alias("x")).select("page_id", F.posexplode("x").alias("pos", "line"))
 
 
+_FREE = r"NOT regexp_matches(x, '[0-9，,。、；;：:（）()【】\[\]｜|/\\%#@]') AND regexp_matches(x, '[一-鿿]')"
+_SECTION_WORD = rf"length(x) BETWEEN 2 AND 24 AND NOT regexp_matches(x, '{layout.BARE_HEADING}') AND (regexp_matches(x, '{layout.HEADING}') OR ({_FREE}))"
+_CONTENTS_NAME = rf"x <> '' AND NOT regexp_matches(x, '^({'|'.join(layout.NO_SECTION)})') AND NOT regexp_matches(x, '{_NOISE}') AND length(x) <= 30 AND NOT regexp_matches(x, '[。；]$') AND (regexp_matches(x, '{layout.HEADING}') OR NOT regexp_matches(x, '[，,、；;：:（）()【】]'))"
+
+
+@query(f"WITH l AS (SELECT source, {_strip('unnest(string_split(text, chr(10)))')} AS x FROM documents) SELECT source, count(*)::BIGINT AS n, count_if({_SECTION_WORD})::BIGINT AS n_section_words, count_if({_CONTENTS_NAME})::BIGINT AS n_contents_names FROM l WHERE x <> '' GROUP BY source")
+def line_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of each source, and how many could be names of sections or names in a list of contents."""
+    lines = F.filter(F.transform(F.split("text", "\n"), stripped), lambda x: x != "")
+    kinds = F.struct(F.size(lines).alias("n"), *[F.size(F.filter(lines, f)).alias(n) for n, f in (("n_section_words", layout.section_word), ("n_contents_names", lambda x: layout.contents_name(x)))])
+    rows = table(spark, folder, "documents").where("text is not null").select("source", kinds.alias("x")).select("source", "x.*")
+    return rows.groupBy("source").agg(*[F.sum(c).alias(c) for c in ("n", "n_section_words", "n_contents_names")]).where("n > 0")
+
+
 _HEADING = "^[一二三四五六七八九十]{1,3}、(.{2,24})$"
 
 
@@ -630,10 +666,10 @@ def manifest_latest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    "WITH p AS (SELECT DISTINCT code, title, url, CASE WHEN (contains(title, report_year || '年年度报告') OR contains(title, report_year || '年度报告')) AND NOT regexp_matches(title, '" + "|".join(tables.BANNED) + "') THEN CASE WHEN ends_with(title, '年年度报告') OR ends_with(title, '年度报告') THEN 0 ELSE 1 END END AS priority FROM manifest WHERE title IS NOT NULL) SELECT code, title, url FROM p WHERE priority IS NOT NULL QUALIFY row_number() OVER (PARTITION BY code ORDER BY priority, title, url) = 1"
+    "WITH m AS (SELECT code, url, report_year, trim(regexp_replace(title, '</?em>', '', 'g')) AS title FROM manifest), p AS (SELECT DISTINCT code, title, url, CASE WHEN (contains(title, report_year || '年年度报告') OR contains(title, report_year || '年度报告')) AND NOT regexp_matches(title, '" + "|".join(tables.BANNED) + "') THEN CASE WHEN ends_with(title, '年年度报告') OR ends_with(title, '年度报告') THEN 0 ELSE 1 END END AS priority FROM m WHERE title IS NOT NULL) SELECT code, title, url FROM p WHERE priority IS NOT NULL QUALIFY row_number() OVER (PARTITION BY code ORDER BY priority, title, url) = 1"
 )
 def report_title_pick(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "manifest").where("title is not null")
+    rows = table(spark, folder, "manifest").where("title is not null").withColumn("title", tables.plain_title(F.col("title")))
     rows = rows.withColumn("priority", tables.report_priority(F.col("title"), F.col("report_year"))).where("priority is not null")
     order = Window.partitionBy("code").orderBy("priority", "title", F.col("url").asc_nulls_last())
     return rows.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select("code", "title", "url")

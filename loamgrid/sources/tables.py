@@ -30,6 +30,21 @@ def write_by_company(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("code").parquet(path)
 
 
+def read_by_company(spark: SparkSession, path: str, company: str = "code") -> DataFrame:
+    """All companies' folders, company by company: partitions are ranges of companies, each in order."""
+    return spark.read.parquet(path).repartitionByRange(company, "page").sortWithinPartitions(company, "page")
+
+
+def write_report(lines: DataFrame, path: str, order: list[str], line: str = "line") -> None:
+    """Lines of a report as text files whose names follow their order; a range of lines is one file, so that no task holds a report."""
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select(line).write.mode("overwrite").text(path)
+
+
+def of_companies(rows: DataFrame, companies: DataFrame, company: str = "code") -> DataFrame:
+    """Rows of the companies of a list."""
+    return rows.join(companies.select(company).distinct(), company, "left_semi")
+
+
 def page(pages: DataFrame, code: str, number: int) -> DataFrame:
     """One page, once however often it was delivered; the filters reach the scan."""
     return fresh(pages.where((F.col("code") == code) & (F.col("page") == number)), "page")
@@ -51,6 +66,16 @@ def whole_pdf(content: Column, length: Column) -> Column:
     return (length >= 20_000) & (F.locate("%PDF", head.cast("string")) > 0) & (F.locate("%%EOF", tail.cast("string")) > 0)
 
 
+def file_mark(content: Column) -> Column:
+    """Sixteen hex digits of the hash of a file's first MiB."""
+    return F.substring(F.sha2(F.substring(content, 1, 1 << 20), 256), 1, 16)
+
+
+def plain_title(title: Column) -> Column:
+    """A title without the marks of a search's hits."""
+    return F.trim(F.regexp_replace(title, "</?em>", ""))
+
+
 #: Words in titles of announcements that aren't the report itself.
 BANNED = ("摘要", "英文", "更正", "取消", "修订", "审计报告", "内部控制", "社会责任", "ESG", "独立董事", "关于", "说明", "公告", "致股东")
 

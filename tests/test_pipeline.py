@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -205,6 +206,38 @@ def test_tables_that_fit(spark):
     assert [bool(r.x) for r in rows.select(layout.fit_table(F.col("t")).alias("x")).collect()] == [True, False, False, False, False, False, True]
 
 
+def test_predicates_and_names_of_sections(spark):
+    lines = ["第一节", "第一节 释义、目录", "公司治理", "a" * 5, "治", "公司，治理", "第3页", "目录", "报告期内", "公司" * 16, "结束。", ""]
+    rows = spark.createDataFrame([(x,) for x in lines], "t string")
+    assert [x for x in lines if x and one(spark, x, layout.section_word)] == ["第一节 释义、目录", "公司治理", "目录", "报告期内"]
+    assert [r.t for r in rows.where(layout.contents_name(F.col("t"))).collect()] == ["第一节 释义、目录", "公司治理", "aaaaa", "治"]
+    assert [r.t for r in rows.where(layout.contents_name(F.col("t"), loose=True)).collect()][-1] == "公司" * 16
+    names = {"总裁致辞公司治理与债券相关情况": "总裁致辞", "公司简介和主要财务指标": "公司简介和主要财务指标", "第三节 公司治理/12": "公司治理", "03 释义": "释义", "风险管理": "风险管理", "公司治理情况": "公司治理情况"}
+    assert {n: one(spark, n, layout.section_name) for n in names} == names
+
+
+def test_tables_from_items(spark):
+    text = "合并资产负债表\n货币资金：\n存货\n存货\n商誉\n股本\n净利润 12\n其他"
+    kind = "code string, page int, text string, tables array<struct<title:string>>"
+    pages = [("a", 1, text, None), ("a", 2, text.replace("合并资产负债表", "附表"), []), ("a", 3, text, [("t",)]), ("b", 1, text, []), ("b", 2, "", [("t",)] * 21)]
+    got = layout.item_tables(spark.createDataFrame(pages, kind)).collect()
+    assert [(r.code, r.page, r.title, r.rows) for r in got] == [("a", 1, "合并资产负债表", [["货币资金"], ["存货"], ["商誉"], ["股本"], ["净利润 12"]])]
+
+
+def test_reports_and_files(spark, tmp_path):
+    lines = spark.createDataFrame([("b", 1, "三"), ("a", 2, "二"), ("a", 1, "一")], "k string, n int, line string")
+    tables.write_report(lines, str(tmp_path / "r"), ["k", "n"])
+    assert "".join(x.read_text() for x in sorted((tmp_path / "r").glob("part-*"))) == "一\n二\n三\n"
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "x.bin").write_bytes(b"a" * (1 << 20) + b"tail")
+    mark = spark.read.format("binaryFile").load(str(tmp_path / "f")).select(tables.file_mark(F.col("content")).alias("m")).first().m
+    assert mark == hashlib.sha256(b"a" * (1 << 20)).hexdigest()[:16]
+    pages = spark.createDataFrame([(c, "n", p, "", "t", []) for c in "ba" for p in (2, 1)], tables.PAGE)
+    tables.write_by_company(pages, str(tmp_path / "p"))
+    assert [(r.code, r.page) for r in tables.read_by_company(spark, str(tmp_path / "p")).collect()] == [("a", 1), ("a", 2), ("b", 1), ("b", 2)]
+    assert one(spark, " <em>2025</em>年度报告 ", tables.plain_title) == "2025年度报告"
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_fusion_depends_on_ranks_only(spark, seed):
     rng = random.Random(seed)
