@@ -307,9 +307,11 @@ def _cell_reader(known: Metrics):
 
     @F.arrow_udf(_LEVEL)
     def read(label: pa.Array, cell: pa.Array, head: pa.Array, title: pa.Array, around: pa.Array) -> pa.Array:
-        ids, values = [], []
+        ids, values, labels = [], [], {}
         for a, c, h, t, s in zip(*(x.to_pylist() for x in (label, cell, head, title, around)), strict=True):
-            metric, unit_of_label = labelled(a) if a else (None, None)
+            if a not in labels:  # a few labels stand before most cells
+                labels[a] = labelled(a) if a else (None, None)
+            metric, unit_of_label = labels[a]
             amount = quantity(c, whole=True) if metric and c else None
             value = None
             if amount:
