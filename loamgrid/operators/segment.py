@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loamgrid.functions.text import sentences, stripped
 from loamgrid.params import DEFAULTS, Params
+from loamgrid.session import stored
 
 
 def piece_spans(lengths: list[int], p: Params, keep_copies: bool) -> list[tuple[int, int]]:
@@ -98,7 +99,8 @@ def chunk_catalog(pages: DataFrame, p: Params = DEFAULTS) -> DataFrame:
     texts = texts.select(*base, F.lit("text").alias("kind"), F.lit(0).alias("table_no"), "piece_no", F.col("piece").alias("text"))
     tables = chunk_tables(pages.select(*base, "tables"), "tables", p).where(F.length(stripped(F.col("piece"))) >= p.min_table_piece)
     tables = tables.select(*base, F.lit("table").alias("kind"), (F.col("table_no") + 1).alias("table_no"), "piece_no", F.col("piece").alias("text"))
-    both = running_number(texts.unionByName(tables), "code", "page", ["table_no", "piece_no"], "seq")
+    # Pieces are made once: they are counted and numbered from a stored table.
+    both = running_number(stored(texts.unionByName(tables), "pieces"), "code", "page", ["table_no", "piece_no"], "seq")
     chunk_id = F.concat("code", F.lit("-T"), F.lpad(F.col("seq").cast("string"), 5, "0"))
     chunk_id = F.when(F.col("seq") < 100_000, chunk_id).otherwise(F.concat("code", F.lit("-T"), F.col("seq").cast("string")))
     embed = F.concat(F.coalesce("name", F.lit("")), F.lit("（"), "code", F.lit("） "), F.coalesce("section", F.lit("")), F.lit("\n"), "text")

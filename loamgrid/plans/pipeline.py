@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loamgrid.functions.text import NOISE, SENTENCE_ENDS, STOPWORDS, clean_lines, sentences, stripped, words
 from loamgrid.operators import evaluate, layout, ports, retrieve, segment
 from loamgrid.sources import tables
-from loamgrid.session import fresh, fresh_rows, shared_folder, table
+from loamgrid.session import fresh, fresh_rows, shared_folder, spread_out, table
 from loamgrid.streaming import incremental
 
 QUERIES: dict = {}
@@ -45,7 +45,7 @@ def _results(spark: SparkSession, folder: str, *columns) -> DataFrame:
 
 def _wide(spark: SparkSession, folder: str, name: str, key: str, *columns) -> DataFrame:
     """The same with columns that are too wide to be shuffled."""
-    return fresh_rows(table(spark, folder, name).select(key, *columns), key)
+    return fresh_rows(spread_out(table(spark, folder, name).select(key, *columns)), key)
 
 
 _ONE_PAGE = "(SELECT * FROM page_records QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY extracted_at) = 1)"
@@ -103,7 +103,7 @@ SELECT doc_id, k::INT AS piece_no, md5(array_to_string(ss[a + 1:b + 1], '')) AS
 
 
 def _chunk_text(spark: SparkSession, folder: str, copies: bool) -> DataFrame:
-    rows = segment.chunk_text(table(spark, folder, "documents").select("doc_id", "text"), "text", copies)
+    rows = segment.chunk_text(spread_out(table(spark, folder, "documents").select("doc_id", "text")), "text", copies)
     return rows.select("doc_id", "piece_no", F.md5("piece").alias("piece"), F.length("piece").alias("chars"))
 
 
@@ -235,7 +235,7 @@ def _both_lists(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     mine = asked.join(F.broadcast(many)).join(F.broadcast(first)).select("qid", ((F.col("qid") - F.col("first")) % F.col("m")).alias("vec_id"))
     queries = mine.join(vectors, "vec_id").select("qid", F.col("embedding").alias("v"))
     dense = retrieve.vector_topk(queries, vectors, "vec_id", "embedding").join(F.broadcast(documents.agg(F.min("doc_id").alias("least"))))  # one row
-    index = retrieve.write_index(documents, "doc_id", "text", shared_folder(spark, "index"))
+    index = retrieve.write_index(spread_out(documents), "doc_id", "text", shared_folder(spark, "index"))
     return dense.withColumn("id", F.col("id") + F.col("least")).drop("least"), retrieve.bm25_topk(asked, index)
 
 

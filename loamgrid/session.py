@@ -55,6 +55,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, kind: str = "stored") -> DataFrame:
+    """The same for wide tables that are used several times: written to the shared folder by columns and read from there."""
+    folder = shared_folder(df.sparkSession, kind)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def small(df: DataFrame, limit: int = SMALL_ROWS, what: str = "table") -> list:
     """Rows of a table whose size is bounded by its meaning; raises beyond `limit` instead of flooding the driver."""
     rows = df.limit(limit + 1).collect()
