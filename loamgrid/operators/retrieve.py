@@ -78,6 +78,12 @@ def unit(vector: Column) -> Column:
     return F.transform(vector, lambda x: x.cast("double") / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
 
 
+def write_vectors(rows: DataFrame, key: str, vector: str, folder: str) -> DataFrame:
+    """Stores vectors at length 1 (id, v), so that searches needn't make them again, and reads them from there. Null vectors are left out."""
+    rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), unit(F.col(vector)).alias("v")).write.mode("overwrite").parquet(folder)
+    return rows.sparkSession.read.parquet(folder)
+
+
 def _best(k: int):
     """A function from a block of rows and a block of queries to the k best rows of each query, ties by id."""
 

@@ -106,11 +106,14 @@ def test_vectors_in_blocks_equal_brute_force(spark, monkeypatch, block):
         assert [r.id for r in sorted((r for r in got if r.qid == q), key=lambda r: r["rank"])] == [k for _, k in want]
 
 
-def test_vectors_and_fusion(spark):
+def test_vectors_and_fusion(spark, tmp_path):
     v = spark.createDataFrame([(1, [0.0, 0.0]), (2, [3.0, 4.0]), (3, [4.0, 3.0]), (4, [3.0, 4.0]), (5, None)], "id bigint, v array<float>")
     assert [r.u for r in v.where("id < 3").select(retrieve.unit(F.col("v")).alias("u")).collect()] == [[0.0, 0.0], [0.6, 0.8]]
     found = retrieve.vector_topk(v.where("id = 2").select(F.col("id").alias("qid"), "v"), v, "id", "v", 2).orderBy("rank").collect()
     assert [(r.id, round(r.score, 6)) for r in found] == [(2, 1.0), (4, 1.0)]
+    stored = retrieve.write_vectors(v, "id", "v", str(tmp_path / "v"))
+    again = retrieve.vector_topk(v.where("id = 2").select(F.col("id").alias("qid"), "v"), stored, "id", "v", 2).orderBy("rank").collect()
+    assert stored.count() == 4 and [(r.id, r["rank"]) for r in again] == [(r.id, r["rank"]) for r in found]
     a = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 3)], "qid int, id string, rank int")
     b = spark.createDataFrame([(1, "c", 1), (1, "d", 2)], "qid int, id string, rank int")
     fused = retrieve.fuse(a, b).orderBy("rank").collect()
